@@ -165,6 +165,11 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def tokens_of(text: str | None) -> list[bytes]:
+    """Words [^\\x20\\x09-\\x0D]+ as UTF-8: bytes.split() splits on exactly these bytes."""
+    return text.encode().split() if text else []
+
+
 def learn_rows(labelled: DataFrame, column: str, modulus: int, held: int) -> DataFrame:
     """(doc_id, y) of rows that may be learned from: crc32(doc_id as text) mod modulus is not held."""
     return labelled.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus != held).where(F.col(column).isNotNull()).select("doc_id", F.col(column).cast("int").alias("y")).distinct()

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm import audio, frames, minhash, packing, sentpiece, weak_rules
+from pathloom.llm import audio, frames, minhash, packing, sentpiece, substring, weak_rules
 from pathloom.llm.common import arrow_map, documents, keyed, starts_of, unkeyed
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -19,6 +19,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(documents(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removal_digest(documents(spark, sf_dir))
+
+
 def op3_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.text_media(documents(spark, sf_dir))
 
