@@ -8,9 +8,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pathloom.llm import audio, frames, minhash, packing, sentpiece, substring, weak_rules
-from pathloom.llm.common import arrow_map, documents, keyed, starts_of, unkeyed
+from pathloom.llm import audio, frames, minhash, packing, sentpiece, substring, toxicity, weak_rules
+from pathloom.llm.common import arrow_map, documents, held_out, keyed, labels, starts_of, unkeyed
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -53,6 +54,17 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_map(keyed(documents(spark, sf_dir)), _PIECES, step).select(unkeyed(), *_PIECES.names[1:])
 
 
+def _judged(scores: DataFrame, folds: int, held: int, threshold: float, *more: str) -> DataFrame:
+    rows = scores.select(unkeyed(), "score", *more)
+    return rows.select("doc_id", held_out(folds, held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
+
+
+def op6_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    index = toxicity.fit(docs, labels(spark, sf_dir))
+    return _judged(toxicity.scored(docs, index), toxicity.FOLDS, toxicity.HELD, 0.5, "evidence")
+
+
 def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judged(documents(spark, sf_dir))
 
