@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import audio, frames, minhash, packing, sentpiece, substring, toxicity, weak_rules
+from pathloom.llm import audio, frames, minhash, packing, pu_quality, sentpiece, substring, toxicity, weak_rules
 from pathloom.llm.common import arrow_map, documents, held_out, keyed, labels, starts_of, unkeyed
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -69,6 +69,12 @@ def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judged(documents(spark, sf_dir))
 
 
+def op9_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    net = pu_quality.fit(docs, labels(spark, sf_dir))
+    return _judged(pu_quality.scored(docs, net), pu_quality.FOLDS, pu_quality.HELD, pu_quality.THRESHOLD)
+
+
 def op10_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
