@@ -1,2 +1,75 @@
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""From raw documents to packed sequences: STAGES in order, each on all that its predecessor kept."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pathloom.llm import common, minhash, packing, pu_quality, substring, toxicity
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: No stage order gives the model-scored rows in SQL; tests hold every stage against a brute-force version.
+ORACLE_SQL = None
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5 by their nearest labelled examples."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, common.labels(spark, sf_dir)))
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled classifier scores 0.7 or more."""
+    return pu_quality.with_quality(docs, pu_quality.fit(docs, common.labels(spark, sf_dir)))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: that of the smallest id (rows of one id are one document)."""
+    kept = minhash.near_groups(docs).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 words or more that a smaller id has."""
+    return substring.remove_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens and their places in sequences."""
+    return packing.pack(docs)
+
+
+def _clean(stage: Stage) -> Stage:
+    """Before a stage, what earlier ones settled goes: their results are stored by then."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.release(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", _clean(drop_toxic)),
+    ("quality", _clean(drop_low_quality)),
+    ("near_dedup", _clean(drop_near_duplicates)),
+    ("substring_dedup", _clean(cut_repeats)),
+    ("packing", _clean(pack)),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply STAGES to documents; each result is written as Parquet and read again."""
+    docs = common.documents(spark, sf_dir)
+    before = None
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        path = f"{common.work_dir(spark)}/stage-{name}-{uuid.uuid4().hex[:12]}"
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            common.delete(spark, before)
+        before = path
+    return docs

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import audio, frames, minhash, packing, pu_quality, sentpiece, substring, toxicity, weak_rules
+from pathloom.llm import audio, frames, licenses, minhash, packing, pu_quality, sentpiece, substring, toxicity, weak_rules
 from pathloom.llm.common import arrow_map, documents, held_out, keyed, labels, starts_of, unkeyed
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -65,6 +65,10 @@ def op6_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.scored(docs, index), toxicity.FOLDS, toxicity.HELD, 0.5, "evidence")
 
 
+def op7_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judged(documents(spark, sf_dir))
 
@@ -84,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_license_digests": licenses.oracle()}
