@@ -5,10 +5,11 @@ Banded MinHash keys gather representatives in buckets. In each bucket a hub is
 compared with every other member, never all pairs: a pair is estimated from odd
 sketches (parity bitmaps of the MinHash samples, whose XOR population count
 tells how many samples differ) and, where 0.8 is within reach, confirmed on the
-full shingle sets. Buckets that still span several components get further hubs;
-what is left after those is compared in blocks, only between components. So no
-bucket, however large, meets in one task and no candidate pair of different
-components goes unexamined.
+full shingle sets. Where a bucket still spans several components, members outside
+its main one try their best partners by finer sketches, and at last all partners
+that these allow, in blocks and only between components. So no bucket, however
+large, meets in one task, and no candidate pair of different components that may
+reach the threshold goes unexamined.
 
 Any link at the threshold is a candidate unless all 25 bands of 5 samples
 differ: under 5 in 100,000 at a similarity of exactly 0.8, under 1 in a million
@@ -25,15 +26,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import arrow_map, coded_words, keyed, settle, starts_of, unkeyed, word_hashes
+from pathloom.llm.common import arrow_map, coded_words, ddl, keyed, partitions, settle, starts_of, unkeyed, word_hashes
 
 SAMPLES, BANDS, ROWS = 128, 25, 5
 #: Bits of an odd sketch, in four 64-bit words.
 BITS = 256
 #: XOR population count beyond which a pair is given up: at a similarity of 0.8 the mean is 42 and five deviations end here.
 FAR = 80
-#: Hub rounds before the comparison in blocks, and its block sizes.
-ROUNDS, MINOR_BLOCK, BLOCK = 3, 256, 4096
+#: Samples, bits and count of the finer sketches that block comparisons take: at 0.8 the mean is 675, five deviations end at 815 (0.75).
+FINE_SAMPLES, FINE_BITS, FINE_FAR = 2048, 4096, 815
+#: Rounds in which members outside the main component try their best partners, partners tried of a component, and block sizes.
+ROUNDS, PARTNERS, MINOR_BLOCK, BLOCK = 4, 3, 256, 4096
+#: Links that one task may unite; more are contracted over the cluster first.
+LOCAL_LINKS = 200_000
 _SIGN = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), ("bands", pa.list_(pa.int64())), *((f"s{i}", pa.int64()) for i in range(4))])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -48,9 +53,9 @@ def _randoms(n: int, seed: int) -> np.ndarray:
     return _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
-_MULTIPLY, _ADD, _SALT = _randoms(SAMPLES, 1) | np.uint64(1), _randoms(SAMPLES, 2), _randoms(SAMPLES, 3)
-#: XOR masks below 2^62: hubs of different bands and rounds differ, and min() over masked ids finds them.
-_MASKS = [int(x >> np.uint64(2)) for x in _randoms(4 * ROUNDS, 4)]
+_MULTIPLY, _ADD, _SALT = _randoms(FINE_SAMPLES, 1) | np.uint64(1), _randoms(FINE_SAMPLES, 2), _randoms(FINE_SAMPLES, 3)
+#: XOR masks below 2^62: hubs of different bands differ, and min() over masked ids finds them.
+_MASKS = [int(x >> np.uint64(2)) for x in _randoms(4, 4)]
 
 
 def shingle_sets(texts: pa.Array, size: int = 4) -> list[np.ndarray]:
@@ -75,20 +80,20 @@ def shingle_sets(texts: pa.Array, size: int = 4) -> list[np.ndarray]:
     return out
 
 
-def minhashes(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, SAMPLES) minima; sets must not be empty."""
+def minhashes(sets: list[np.ndarray], samples: int = SAMPLES) -> np.ndarray:
+    """(sets, samples) minima; sets must not be empty."""
     flat, begin = np.concatenate(sets), starts_of(np.fromiter(map(len, sets), np.int64, len(sets)))[:-1]
-    out = np.empty((SAMPLES, len(sets)), np.uint64)
-    for i in range(SAMPLES):
+    out = np.empty((samples, len(sets)), np.uint64)
+    for i in range(samples):
         out[i] = np.minimum.reduceat((flat ^ _ADD[i]) * _MULTIPLY[i] >> np.uint64(20), begin)
     return out.T
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """(sets, 4) int64: each sample flips one of BITS bits."""
-    bit = (_mix(samples + _SALT) >> np.uint64(56)).astype(np.int64) % BITS
-    flips = np.bincount((np.arange(len(samples))[:, None] * BITS + bit).ravel(), minlength=len(samples) * BITS)
-    return np.packbits((flips & 1).astype(np.uint8).reshape(len(samples), BITS), axis=1).view(np.int64)
+def odd_sketches(samples: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """(sets, bits / 64) int64: each sample flips one bit."""
+    bit = (_mix(samples + _SALT[: samples.shape[1]]) >> np.uint64(48)).astype(np.int64) % bits
+    flips = np.bincount((np.arange(len(samples))[:, None] * bits + bit).ravel(), minlength=len(samples) * bits)
+    return np.packbits((flips & 1).astype(np.uint8).reshape(len(samples), bits), axis=1).view(np.int64)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -100,9 +105,9 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return _mix(key).view(np.int64)
 
 
-def estimate(distance: np.ndarray | int) -> np.ndarray:
+def estimate(distance: np.ndarray | int, samples: int = SAMPLES, bits: int = BITS) -> np.ndarray:
     """Similarity that an XOR population count tells."""
-    return 1 + np.log(np.maximum(1 - 2 * np.asarray(distance) / BITS, 1e-9)) * BITS / (4 * SAMPLES)
+    return 1 + np.log(np.maximum(1 - 2 * np.asarray(distance) / bits, 1e-9)) * bits / (4 * samples)
 
 
 def sign(docs: DataFrame, size: int = 4) -> DataFrame:
@@ -122,7 +127,21 @@ def sign(docs: DataFrame, size: int = 4) -> DataFrame:
     return arrow_map(docs, _SIGN, step)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, threshold: int, size: int) -> DataFrame:
+def fine_sketches(texts: DataFrame, size: int = 4) -> DataFrame:
+    """(rep, fine) of documents (doc_id, text) that have words."""
+    shape = pa.schema([("rep", pa.int64()), ("fine", pa.binary())])
+
+    def step(batch: pa.RecordBatch) -> Iterator[dict]:
+        sets = shingle_sets(batch.column("text"), size)
+        full = [i for i, x in enumerate(sets) if len(x)]
+        if full:
+            sketch = odd_sketches(minhashes([sets[i] for i in full], FINE_SAMPLES), FINE_BITS)
+            yield {"rep": batch.column("doc_id").take(pa.array(full)), "fine": [x.tobytes() for x in sketch]}
+
+    return arrow_map(texts, shape, step).dropDuplicates(["rep"])
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, threshold: int, size: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach threshold hundredths; b, the hub, may stand in very many."""
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -135,43 +154,72 @@ def confirm(pairs: DataFrame, docs: DataFrame, threshold: int, size: int) -> Dat
                 links.append(i)
         yield {x: batch.column(x).take(pa.array(links, pa.int64())) for x in ("a", "b")}
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = settle(docs.join(ids, "doc_id", "left_semi"), "texts")
     both = pairs.join(texts.withColumnRenamed("doc_id", "a"), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return arrow_map(both.select("a", "b", "text", "text_b"), _LINK, step).distinct()
 
 
+def _unite(links: DataFrame) -> DataFrame:
+    """(v, component) of at most LOCAL_LINKS links, by union-find in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                parent[max(a, b)] = min(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([root(x) for x in list(parent)], pa.int64())], names=["v", "component"])
+
+    return links.select("a", "b").coalesce(1).mapInArrow(run, "v bigint, component bigint")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, component) for every end of a link: the smallest id that it reaches.
 
-    Each round every node points to its smallest neighbour, pointers are followed
-    twice, and links are rewritten to what their ends point to, until none is left.
+    Beyond LOCAL_LINKS links, rounds contract them: every node points to its smallest
+    neighbour, pointers are followed, and links are rewritten to what their ends
+    point to. What is left is united in one task.
     """
     edges = settle(links.select("a", "b").where("a != b").distinct(), "edges")
-    reached = settle(edges.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("component", F.col("v")), "reached")
-    while not edges.isEmpty():
+    reached = None
+    while edges.count() > LOCAL_LINKS:
         both = edges.union(edges.select("b", "a"))
-        point = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("to"))
-        point = settle(point, "point")
-        for _ in range(2):
-            onward = point.select(F.col("a").alias("to"), F.col("to").alias("next"))
-            point = settle(point.join(onward, "to", "left").select("a", F.coalesce("next", "to").alias("to")), "point")
-        reached = settle(reached.join(point, reached.component == point.a, "left").select("v", F.coalesce("to", "component").alias("component")), "reached")
+        point = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("to")), "point")
+        onward = point.select(F.col("a").alias("to"), F.col("to").alias("next"))
+        point = settle(point.join(onward, "to", "left").select("a", F.coalesce("next", "to").alias("to")), "point")
+        step = point.select(F.col("a").alias("v"), F.col("to").alias("component"))
+        reached = step if reached is None else settle(_onto(reached, step), "reached")
         left, right = point.select("a", F.col("to").alias("x")), point.select(F.col("a").alias("b"), F.col("to").alias("y"))
         edges = settle(edges.join(left, "a").join(right, "b").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-    return reached
+    last = settle(_unite(edges), "united")
+    return last if reached is None else settle(_onto(reached, last), "reached")
+
+
+def _onto(reached: DataFrame, step: DataFrame) -> DataFrame:
+    """Components led on by a later step; ends that the step does not know stay."""
+    onward = step.select(F.col("v").alias("component"), F.col("component").alias("next"))
+    return reached.join(onward, "component", "left").select("v", F.coalesce("next", "component").alias("component"))
 
 
 def _apart(prefix_a: str, prefix_b: str) -> F.Column:
-    return sum((F.bit_count(F.col(f"{prefix_a}{i}").bitwiseXOR(F.col(f"{prefix_b}{i}"))) for i in range(4)), F.lit(0))
+    return sum((F.bit_count(F.col(f"{prefix_a}{i}").bitwiseXOR(F.col(f"{prefix_b}{i}"))) for i in range(BITS // 64)), F.lit(0))
 
 
-def _hub_pairs(rows: DataFrame, sketches: DataFrame, round_: int) -> DataFrame:
-    """(a, b): every member with the hub of its bucket, where the sketches allow a link."""
-    mask = F.element_at(F.array(*(F.lit(x) for x in _MASKS[4 * round_ : 4 * round_ + 4])), F.col("pos") % 4 + 1)
+def _hubs(rows: DataFrame) -> DataFrame:
+    """(key, hub) of buckets with two members or more."""
+    mask = F.element_at(F.array(*(F.lit(x) for x in _MASKS)), F.col("pos") % len(_MASKS) + 1)
     masked = rows.select("key", "pos", F.col("rep").bitwiseXOR(mask).alias("m"))
-    hubs = masked.groupBy("key", "pos").agg(F.min("m").alias("m"), F.max("m").alias("other")).where("m != other").select("key", F.col("m").bitwiseXOR(mask).alias("hub"))
-    met = rows.select("key", "rep").join(hubs, "key").where("rep != hub")
+    return masked.groupBy("key", "pos").agg(F.min("m").alias("m"), F.max("m").alias("other")).where("m != other").select("key", F.col("m").bitwiseXOR(mask).alias("hub"))
+
+
+def _hub_pairs(met: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b): every member (rep) with its bucket's hub, where the sketches allow a link."""
+    met = met.where("rep != hub")
     once = met.groupBy(F.least("rep", "hub").alias("lo"), F.greatest("rep", "hub").alias("hi")).agg(F.max("hub").alias("b")).select((F.col("lo") + (F.col("hi") - F.col("b"))).alias("a"), "b")
     return near(once, sketches)
 
@@ -183,19 +231,54 @@ def near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(_apart("p", "q") <= FAR).select("a", "b")
 
 
-def _block_pairs(rows: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket, the smaller components against all, in blocks."""
+def _block(table: pa.Table, partners: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, y) of the blocks in a table: members of smaller components (role 0) with members of others (role 1).
+
+    Only pairs that the fine sketches allow; of each x and component the nearest `partners`, or all.
+    """
+    block, role, rep, component = (table.column(c).to_numpy() for c in ("block", "role", "rep", "component"))
+    fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint64).reshape(len(rep), -1)
+    order = np.argsort(block, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+        few, all_ = part[role[part] == 0], part[role[part] == 1]
+        if not len(all_):
+            continue
+        for x in few:
+            other = all_[component[all_] != component[x]]
+            far = np.bitwise_count(fine[other] ^ fine[x]).sum(1, dtype=np.int64)
+            near_, far = other[far <= FINE_FAR], far[far <= FINE_FAR]
+            if partners is not None and len(near_) > partners:
+                by = np.lexsort((rep[near_], far, component[near_]))
+                near_ = near_[by]
+                first = np.flatnonzero(np.r_[True, np.diff(component[near_]) != 0])
+                place = np.arange(len(near_)) - np.repeat(first, np.diff(np.r_[first, len(near_)]))
+                near_ = near_[place < partners]
+            if len(near_):
+                yield np.full(len(near_), rep[x]), rep[near_]
+
+
+def _block_pairs(rows: DataFrame, fine: DataFrame, tested: DataFrame, partners: int | None) -> DataFrame:
+    """Untested pairs (a, b) of different components in one bucket, its smaller components against all, in blocks.
+
+    Blocks of a bucket are dealt out over tasks, so no bucket meets in one; only the pairs of _block() leave them.
+    """
     each = rows.groupBy("key", "component").count()
     keys = each.groupBy("key").agg(F.max_by("component", "count").alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
     keys = settle(keys.select("key", "main", F.ceil((F.col("n") - F.col("most")) / MINOR_BLOCK).cast("int").alias("ni"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nj")), "buckets")
-    rows = rows.join(keys, "key")
-    own, every = (lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
-    minor = rows.where("component != main").select("key", F.col("rep").alias("x"), F.col("component").alias("cx"), *(F.col(f"s{i}").alias(f"p{i}") for i in range(4)), own("ni", 1).alias("i"), every("nj").alias("j"))
-    all_ = rows.select("key", F.col("rep").alias("y"), F.col("component").alias("cy"), *(F.col(f"s{i}").alias(f"q{i}") for i in range(4)), own("nj", 2).alias("j"), every("ni").alias("i"))
-    met = minor.join(all_, ["key", "i", "j"]).where((F.col("cx") != F.col("cy")) & (_apart("p", "q") <= FAR))
-    found = met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return found.join(done, ["a", "b"], "left_anti")
+    placed = rows.join(keys, "key").join(fine, "rep")
+    i, j = (F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int") for salt, n in ((1, "ni"), (2, "nj")))  # int as the sequence below: hashes tell types apart
+    of = lambda role, own, other, n: F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda k: F.struct(F.lit(role).alias("role"), F.xxhash64("key", *((own, k) if role == 0 else (k, own))).alias("block")))
+    places = F.when(F.col("component") != F.col("main"), F.concat(of(0, i, j, "nj"), of(1, j, i, "ni"))).otherwise(of(1, j, i, "ni"))
+    dealt = placed.select("rep", "component", "fine", F.explode(places).alias("p")).select("rep", "component", "fine", "p.role", "p.block")
+    groups = 4 * partitions(rows.sparkSession)
+
+    def run(table: pa.Table) -> pa.Table:
+        found = list(_block(table, partners))
+        x, y = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.table([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], schema=_LINK)
+
+    found = dealt.groupBy(F.pmod("block", F.lit(groups)).alias("g")).applyInArrow(run, ddl(_LINK)).distinct()
+    return found.join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
 def near_groups(docs: DataFrame, threshold: int = 80, size: int = 4) -> DataFrame:
@@ -210,28 +293,40 @@ def near_groups(docs: DataFrame, threshold: int = 80, size: int = 4) -> DataFram
     signed = settle(sign(base, size), "signed")
     full = signed.where("n_shingles > 0")
     classes = settle(full.groupBy("c0", "c1").agg(F.min("doc_id").alias("rep")), "classes")
+    # An id with different texts ties their classes together.
+    twofold = full.groupBy("doc_id").agg(F.min(F.struct("c0", "c1")).alias("x"), F.max(F.struct("c0", "c1")).alias("y")).where("x <> y").select("doc_id")
+    tied = full.join(twofold, "doc_id", "left_semi").join(classes, ["c0", "c1"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     reps = settle(full.join(classes, ["c0", "c1"]).where("doc_id = rep").drop("c0", "c1", "doc_id", "n_shingles"), "reps")
     sketches = reps.select("rep", "s0", "s1", "s2", "s3")
-    rows = reps.select("rep", F.posexplode("bands").alias("pos", "key"))
-    tested = links = comps = None
+    banded = reps.select("rep", F.posexplode("bands").alias("pos", "key"))
+    # Only members of buckets that hold two documents or more go on, and only their texts.
+    rows = settle(banded.join(_hubs(banded), "key"), "members")
+    texts = settle(base.join(rows.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
+    tested = settle(_hub_pairs(rows, sketches), "pairs")
+    links = settle(confirm(tested, texts, threshold, size), "links").union(settle(tied, "tied"))
+    comps = components(links)
+    fine, partners = None, PARTNERS
     for round_ in range(ROUNDS + 1):
-        if round_ == ROUNDS:
-            pairs = _block_pairs(rows.join(sketches.dropDuplicates(["rep"]), "rep"), tested)
-        else:
-            pairs = _hub_pairs(rows, sketches, round_)
-        pairs = settle(pairs if tested is None or round_ == ROUNDS else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = settle(confirm(pairs, base, threshold, size), "links")
-        tested, links = (pairs, found) if tested is None else (tested.union(pairs), links.union(found))
-        comps = components(links)
-        if round_ == ROUNDS:
-            break
-        # Buckets that span several components and have members that were no hub yet.
-        at = rows.select("rep", "pos", "key").join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("rep", "pos", "key", F.coalesce("component", "rep").alias("component"))
-        at = settle(at, "members") if round_ else at
-        open_ = at.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where((F.col("least") != F.col("most")) & (F.col("n") > round_ + 2)).select("key")
-        rows = settle(at.join(settle(open_, "open"), "key"), "members")
+        # Buckets that span several components; two members have met in the hub round.
+        at = rows.select("rep", "key").join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("rep", "key", F.coalesce("component", "rep").alias("component"))
+        each = at.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("parts"))
+        rows = settle(at.join(settle(each.where((F.col("parts") > 1) & (F.col("n") > 2)).select("key"), "open"), "key"), "members")
         if rows.isEmpty():
             break
+        if fine is None:
+            fine = settle(fine_sketches(texts.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), size), "fine")
+        partners = PARTNERS if round_ < ROUNDS and partners else None
+        pairs = settle(_block_pairs(rows, fine, tested, partners), "pairs")
+        found = settle(confirm(pairs, texts, threshold, size), "links")
+        new = not found.isEmpty()
+        if new:
+            links = links.union(found)
+            comps = components(links)
+        tested = tested.union(pairs)
+        if partners is None:  # every pair that the sketches allow has been compared
+            break
+        if not new:  # best partners bring nothing more: all that is left, once
+            partners = None
     group = classes.join(comps, classes.rep == comps.v, "left").select("c0", "c1", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "c0", "c1").join(settle(group, "groups"), ["c0", "c1"], "left")
     own = F.coalesce("component_id", "doc_id")

@@ -92,7 +92,7 @@ def test_near_groups(docs, rows, empty):
     assert minhash.near_groups(empty).count() == 0
 
 
-@pytest.mark.parametrize("limits", [{"BLOCK_WORK": 0}, {"BLOCK_WORK": 0, "ROUNDS": 2, "LOCAL_LINKS": 3, "MINOR_BLOCK": 4, "BLOCK": 8}])
+@pytest.mark.parametrize("limits", [{}, {"ROUNDS": 0}, {"PARTNERS": 1, "LOCAL_LINKS": 3, "MINOR_BLOCK": 4, "BLOCK": 8}])
 def test_near_groups_by_each_route(spark, monkeypatch, limits):
     """A group whose members are often too far from a hub."""
     rng = random.Random(3)
