@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import arrow_map, coded_words, keyed, learn_rows, settle, starts_of, text_slices
+from pathloom.llm.common import arrow_map, coded_words, heavy, keyed, learn_rows, settle, starts_of, text_slices
 
 #: Labelled rows that the index may hold of each class (toxic, other), and terms: the documented bounds of the fit.
 EXAMPLES, TERMS = (2000, 4000), 1024
@@ -106,12 +106,13 @@ class Index:
         return [(dim[a:b], weight[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
 
     def _blocks(self) -> tuple[np.ndarray, np.ndarray]:
-        """Weights (dimension, example) with similar examples in one block, and each block's largest."""
+        """Weights (block, dimension, example) with similar examples in one block, and each block's largest (dimension, block)."""
         if not self._ready:
-            full = np.zeros((len(self.terms) + 1, -(-max(1, len(self.rows)) // BLOCK) * BLOCK))
+            n = -(-max(1, len(self.rows)) // BLOCK)
+            full = np.zeros((n, len(self.terms) + 1, BLOCK))
             for i, (dim, weight) in enumerate(self.rows):
-                full[dim, i] = weight
-            self._ready = {"full": full, "most": full.reshape(len(full), -1, BLOCK).max(2)}
+                full[i // BLOCK, dim, i % BLOCK] = weight
+            self._ready = {"full": full, "most": np.ascontiguousarray(full.max(2).T)}
         return self._ready["full"], self._ready["most"]
 
     def nearest(self, dim: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -120,16 +121,18 @@ class Index:
         bound = weight @ most[dim] if len(dim) else np.zeros(most.shape[1])
         order = np.argsort(-bound, kind="stable")
         best, sims = np.zeros(0, np.int64), np.zeros(0)
-        at = 0
+        at, step = 0, 4
         while at < len(order):
-            if len(sims) >= k and bound[order[at]] < sims[-1] - 1e-12:
+            if len(sims) >= k and bound[order[at]] < sims[-1] - 1e-9:
                 break
-            blocks = order[at : at + 4]
-            at += 4
+            blocks = order[at : at + step]
+            at, step = at + step, 2 * step  # each visit is dearer than the blocks that it may save
             members = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            members = members[(members < len(self.rows)) & (members != without)]
-            s = np.round(weight @ full[np.ix_(dim, members)], 12) if len(dim) else np.zeros(len(members))
-            best, sims = np.r_[best, members], np.r_[sims, s]
+            s = np.round(weight @ full[blocks[:, None], dim], 12).ravel() if len(dim) else np.zeros(len(members))
+            real = (members < len(self.rows)) & (members != without)
+            if len(sims) >= k:
+                real &= s >= sims[-1]
+            best, sims = np.r_[best, members[real]], np.r_[sims, s[real]]
             keep = np.lexsort((best, -sims))[:k]
             best, sims = best[keep], sims[keep]
         return best, sims
@@ -246,16 +249,11 @@ def fit(docs: DataFrame, labelled: DataFrame) -> Index:
     return index
 
 
-_worker: dict[str, Index] = {}
-
-
 def _here(shared, name: str) -> Index:
     """The worker's own index, with its matrices made once."""
-    if name not in _worker:
-        _worker.clear()
-        _worker[name] = shared.value
-    _worker[name]._blocks()
-    return _worker[name]
+    index = heavy(f"toxicity {name}", lambda: shared.value)
+    index._blocks()
+    return index
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.list_(pa.int64()))])
@@ -274,7 +272,7 @@ def scored(docs: DataFrame, index: Index) -> DataFrame:
         score, evidence = _here(shared, name).score(batch.column("text"))
         yield {"doc_id": batch.column("doc_id"), "score": score, "evidence": evidence}
 
-    return arrow_map(keyed(docs), _SCORED, step)
+    return arrow_map(keyed(docs), _SCORED, step, keeps=True)
 
 
 def without_toxic(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame:
