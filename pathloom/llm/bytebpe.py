@@ -11,17 +11,24 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from pathloom.llm.common import coded, gather, starts_of
+from pathloom.llm.common import coded, gather, heavy, starts_of
 
-#: Distinct chunks that a worker keeps.
-CACHE = 400_000
+#: Distinct chunks, and pieces of chunks, that a worker keeps.
+CACHE, PIECES = 400_000, 500_000
+#: UTF-8 bytes that one call should hold: more repeat more of their chunks.
+SLICE = 6_000_000
 _ODD = re.compile(r"\s (?:\s|$)")
-_encoders: dict[str, ByteBpe] = {}
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "[.,!?;:#$%&*|]+"
+# A word, marks after it, and words on further lines: the vocabulary's pattern cuts these where this one does.
+_PLAIN = re.compile(f"(?: ?{_LETTERS})?(?:{_MARKS})?(?:\\n{_LETTERS}(?:{_MARKS})?)*\\n?")
+_PART = re.compile(f" ?{_LETTERS}|{_MARKS}|\\n")
 
 
 def default_path() -> str:
@@ -33,9 +40,12 @@ def default_path() -> str:
 def encoder(path: str | None = None) -> ByteBpe:
     """The worker's encoder for a vocabulary file; made once."""
     path = path or default_path()
-    if path not in _encoders:
-        _encoders[path] = ByteBpe(path)
-    return _encoders[path]
+    return heavy(f"bytes {path}", lambda: ByteBpe(path))
+
+
+def _younger(cache: dict[str, bytes], needed: Iterable[str]) -> dict[str, bytes]:
+    """The younger half of a cache, and what is needed now."""
+    return dict(islice(cache.items(), len(cache) // 2, None)) | {x: cache[x] for x in needed if x in cache}
 
 
 class ByteBpe:
@@ -47,6 +57,7 @@ class ByteBpe:
         added = [re.escape(x.content) for x in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(added)) if added else None
         self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bool:
         return bool(_ODD.search(text)) or bool(self.special and self.special.search(text))
@@ -57,10 +68,19 @@ class ByteBpe:
     def _cached(self, chunks: list[str]) -> list[bytes]:
         cache = self.cache
         new = [x for x in dict.fromkeys(chunks) if x not in cache]
-        if len(cache) + len(new) > CACHE:  # what this call needs stays
-            self.cache = cache = {x: cache[x] for x in chunks if x in cache}
-        cache.update(zip(new, self._library(new), strict=True))
-        return [cache[x] for x in chunks]
+        if len(cache) + len(new) > CACHE:
+            self.cache = cache = _younger(cache, chunks)
+        # Words with different marks share the pieces of the word.
+        plain = _PLAIN.fullmatch
+        parts = [_PART.findall(x) if plain(x) else [x] for x in new]
+        pieces = self.pieces
+        fresh = [x for x in dict.fromkeys(chain.from_iterable(parts)) if x not in pieces]
+        if len(pieces) + len(fresh) > PIECES:
+            self.pieces = pieces = _younger(pieces, chain.from_iterable(parts))
+        pieces.update(zip(fresh, self._library(fresh), strict=True))
+        for x, part in zip(new, parts, strict=True):
+            cache[x] = pieces[part[0]] if len(part) == 1 else b"".join(map(pieces.__getitem__, part))
+        return list(map(cache.__getitem__, chunks))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another as <u4, number of ids of each text); a null is empty."""

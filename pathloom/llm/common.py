@@ -121,10 +121,28 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
         yield batch.slice(a, b - a)
 
 
-def arrow_map(df: DataFrame, schema: pa.Schema, step: Callable[[pa.RecordBatch], Iterable[dict]], column: str | None = "text") -> DataFrame:
-    """mapInArrow where step turns a slice of rows into dicts of columns."""
+_heavy: dict[str, object] = {}
+
+
+def heavy(name: str, make: Callable[[], object]):
+    """A worker's large state (caches, indexes), made once and kept between tasks; asking for another one frees it."""
+    if name not in _heavy:
+        _heavy.clear()
+        _heavy[name] = make()
+    return _heavy[name]
+
+
+def light() -> None:
+    """Frees what other operators left in this worker."""
+    _heavy.clear()
+
+
+def arrow_map(df: DataFrame, schema: pa.Schema, step: Callable[[pa.RecordBatch], Iterable[dict]], column: str | None = "text", keeps: bool = False) -> DataFrame:
+    """mapInArrow where step turns a slice of rows into dicts of columns; keeps: step asks for a heavy() state."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            light()
         for batch in batches:
             for part in text_slices(batch, column) if column else [batch]:
                 for out in step(part):

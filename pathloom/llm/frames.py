@@ -157,7 +157,7 @@ def write_shards(docs: DataFrame, uri: str, vocabulary: str | None = None, end_i
 
         def pieces() -> Iterator[bytes]:
             for batch in batches:
-                for part in text_slices(batch):
+                for part in text_slices(batch, limit=bytebpe.SLICE):
                     ids, counts = bpe.encode(part.column("text"))
                     bounds = starts_of(counts)
                     for i, doc in enumerate(part.column("doc_id").to_pylist()):

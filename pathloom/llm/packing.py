@@ -99,7 +99,7 @@ def pieces_of(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, c
         bpe, task, seen = bytebpe.encoder(vocabulary), TaskContext.get().partitionId(), {}
         end = np.asarray([end_id], "<u4")
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=bytebpe.SLICE):
                 ids, counts = bpe.encode(part.column("text"))
                 bounds = starts_of(counts)
                 rows = []

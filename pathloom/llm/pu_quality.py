@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import arrow_map, keyed, learn_rows, text_slices
+from pathloom.llm.common import arrow_map, keyed, learn_rows, light, text_slices
 from pathloom.llm.weak_rules import measure
 
 #: Rows that the fit takes of trusted positives and of unlabelled text, chosen by hash of their id: its documented bound.
@@ -183,6 +183,7 @@ def with_quality(docs: DataFrame, net: Network, threshold: float = THRESHOLD) ->
     """Rows of docs that score the threshold or more; all columns stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        light()
         for batch in batches:
             for part in text_slices(batch):
                 yield part.filter(pa.array(net.score(part.column("text")) >= threshold))

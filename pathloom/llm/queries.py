@@ -51,7 +51,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
             "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in codec.decode_many(full, counts)],
         }
 
-    return arrow_map(keyed(documents(spark, sf_dir)), _PIECES, step).select(unkeyed(), *_PIECES.names[1:])
+    return arrow_map(keyed(documents(spark, sf_dir)), _PIECES, step, keeps=True).select(unkeyed(), *_PIECES.names[1:])
 
 
 def _judged(scores: DataFrame, folds: int, held: int, threshold: float, *more: str) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from pathloom.llm.common import coded, gather, starts_of
+from pathloom.llm.common import coded, gather, heavy, starts_of
 
 MARK = "▁"
 #: Distinct chunks that a worker keeps.
@@ -27,7 +27,6 @@ CACHE = 400_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _NONE = np.iinfo(np.int64).max
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-_codecs: dict[str, SentencePieceCodec] = {}
 
 
 def default_path() -> str:
@@ -39,9 +38,7 @@ def default_path() -> str:
 def codec(path: str | None = None) -> SentencePieceCodec:
     """The worker's codec for a model file; made once."""
     path = path or default_path()
-    if path not in _codecs:
-        _codecs[path] = SentencePieceCodec(path)
-    return _codecs[path]
+    return heavy(f"pieces {path}", lambda: SentencePieceCodec(path))
 
 
 class SentencePieceCodec:

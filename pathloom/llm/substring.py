@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import arrow_map, coded_words, ddl, keyed, partitions, settle, starts_of, text_slices, tokens_of, unkeyed, word_hashes
+from pathloom.llm.common import arrow_map, coded_words, ddl, keyed, light, partitions, settle, starts_of, text_slices, tokens_of, unkeyed, word_hashes
 
 WINDOW, GRAM = 50, 16
 #: Windows that a super-k-mer spans at most, and that one bucket sorts at once (more of one minimiser are dealt out by digest).
@@ -87,6 +87,7 @@ def covered(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     wanted = seen.join(settle(shared, "shared"), "mini").groupBy("doc_id", "rk").agg(F.collect_set("mini").alias("minis"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        light()
         sent: set[bytes] = set()
         for batch in batches:
             for part in text_slices(batch):
