@@ -21,9 +21,9 @@ import pyarrow.compute as pc
 from pathloom.llm.common import coded, gather, heavy, starts_of
 
 #: Distinct chunks, and pieces of chunks, that a worker keeps.
-CACHE, PIECES = 400_000, 500_000
+CACHE, PIECES = 200_000, 400_000
 #: UTF-8 bytes that one call should hold: more repeat more of their chunks.
-SLICE = 6_000_000
+SLICE = 4_000_000
 _ODD = re.compile(r"\s (?:\s|$)")
 _LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "[.,!?;:#$%&*|]+"
 # A word, marks after it, and words on further lines: the vocabulary's pattern cuts these where this one does.

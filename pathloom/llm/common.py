@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -127,14 +129,17 @@ _heavy: dict[str, object] = {}
 def heavy(name: str, make: Callable[[], object]):
     """A worker's large state (caches, indexes), made once and kept between tasks; asking for another one frees it."""
     if name not in _heavy:
-        _heavy.clear()
+        light()
         _heavy[name] = make()
     return _heavy[name]
 
 
 def light() -> None:
-    """Frees what other operators left in this worker."""
+    """Frees what other operators left in this worker, and gives the memory back to the system."""
     _heavy.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def arrow_map(df: DataFrame, schema: pa.Schema, step: Callable[[pa.RecordBatch], Iterable[dict]], column: str | None = "text", keeps: bool = False) -> DataFrame:
