@@ -305,9 +305,7 @@ def temporal_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = order_graph(spark, sf_dir)
-    few = g.entities.where("id like 'user:%' or id like 'proc:%'")
-    return scoring.betweenness(graphs.Graph(few, g.relations.where("rel_type in ('Execute', 'Spawn')")), 64).select("id", F.round("betweenness", 6).alias("betweenness"))
+    return scoring.betweenness(order_graph(spark, sf_dir)).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
 @query("SELECT id, round(CASE WHEN (SELECT max(t) FROM x) > 0 THEN t / (SELECT max(t) FROM x) * 100 ELSE 0 END, 6) AS score FROM x", f"{ORDER_SQL}, {_DEGREE}, x AS (SELECT d.id, 2.0 * n + 0.5 * score AS t FROM d JOIN e ON e.id = d.id)")

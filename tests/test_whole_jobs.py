@@ -1,10 +1,14 @@
 """Queries that once took a part of their tables, against brute force over all of it."""
 
 import random
+from collections import defaultdict
 
 import pytest
 
 from pathloom.queries import registry
+from pathloom.queries.graphs import order_graph
+
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -26,3 +30,32 @@ def test_merge_takes_all_events(spark, events, name):
     pick = {"first": lambda x: x[0], "last": lambda x: x[-1], "append": ", ".join}[name]
     got = {r.id: r.seen for r in registry.QUERIES[f"merge_{name}_all"](spark, at).collect()}
     assert got == {k: pick(v) for k, v in seen.items()}
+
+
+def test_betweenness_takes_the_whole_graph(spark):
+    g = order_graph(spark, SF)
+    ids = sorted(r.id for r in g.entities.select("id").collect())
+    near = defaultdict(list)
+    for r in g.relations.select("source_id", "dest_id").collect():
+        near[r.source_id].append(r.dest_id)
+        near[r.dest_id].append(r.source_id)
+    total = dict.fromkeys(ids, 0.0)
+    for source in sorted({ids[i * len(ids) // 500] for i in range(500)}):
+        far, paths, order = {source: 0}, defaultdict(float, {source: 1.0}), [source]
+        for v in order:
+            for w in near[v]:
+                if w not in far:
+                    far[w] = far[v] + 1
+                    order.append(w)
+                if far[w] == far[v] + 1:
+                    paths[w] += paths[v]
+        given = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            for w in near[v]:
+                if far[w] == far[v] + 1:
+                    given[v] += paths[v] / paths[w] * (1 + given[w])
+            if v != source:
+                total[v] += given[v]
+    got = {r.id: r.betweenness for r in registry.QUERIES["betweenness"](spark, SF).collect()}
+    most = max(total.values())
+    assert got == pytest.approx({k: v / most * 100 for k, v in total.items()}, abs=2e-6)
