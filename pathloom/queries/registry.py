@@ -125,8 +125,7 @@ def hunt_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(hunt_sql("Process -[Spawn]-> Process -[Connect]-> Host"), ORDER_SQL)
 def hunt_untyped_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = order_graph(spark, sf_dir)
-    few = g.relations.where("rel_type in ('Spawn', 'Connect')")
-    return hunt.untyped_walks(few, g.entities, parse("Process -[Spawn]-> Process -[Connect]-> Host"))
+    return hunt.untyped_walks(g.relations, g.entities, parse("Process -[Spawn]-> Process -[Connect]-> Host"))
 
 
 @query(
@@ -303,6 +302,11 @@ def temporal_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.temporal_pagerank(order_graph(spark, sf_dir), _DECAY, rounds=_RANK_ROUNDS).select("id", F.round("pagerank_score", 6).alias("pagerank_score"))
 
 
+@query()
+def temporal_pagerank_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.temporal_pagerank(order_graph(spark, sf_dir), _DECAY).select("id", F.round("pagerank_score", 6).alias("pagerank_score"))
+
+
 @query()
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.betweenness(order_graph(spark, sf_dir)).select("id", F.round("betweenness", 6).alias("betweenness"))
@@ -401,8 +405,7 @@ def threat_of_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def subgraph_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = event_graph(spark, sf_dir)
-    few = graphs.Graph(g.entities, g.relations.where(F.col("timestamp").between(*JANUARY_10)))
-    rows = tensors(few, g.entities.where("entity_type = 'User'").select("id"), hops=2)
+    rows = tensors(g, g.entities.where("entity_type = 'User'").select("id"), hops=2)
     return rows.select("id", F.size("features").alias("n"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
