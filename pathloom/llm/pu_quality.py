@@ -6,23 +6,34 @@ beyond the share of positives in it, and is never let below zero. That share,
 the class prior, is estimated first: a plain classifier of positives against
 unlabelled text ranks both, and the prior is the smallest ratio of the upper
 tails of unlabelled and positive scores, with a bound for their chance.
+
+All unlabelled text counts: its features are dealt over tasks of one barrier
+stage, which add up their gradients and tails in each round and keep equal
+networks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+import socket
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from multiprocessing.connection import Client, Connection, Listener
 
 import numpy as np
 import pyarrow as pa
+from pyspark import BarrierTaskContext, SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import arrow_map, keyed, learn_rows, light, text_slices
+from pathloom.llm.common import arrow_map, keyed, learn_rows, light, settle, text_slices
 from pathloom.llm.weak_rules import measure
 
-#: Rows that the fit takes of trusted positives and of unlabelled text, chosen by hash of their id: its documented bound.
+#: Trusted positives that the fit takes, chosen by hash of their id: its documented bound. Unlabelled text has none.
 SAMPLE = 6000
+#: Rows whose gradients are taken at a time.
+CHUNK = 8192
 HIDDEN, ROUNDS, RATE = 12, 600, 0.02
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.7
@@ -63,22 +74,43 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _start(x: np.ndarray, seed: int = 7) -> Network:
+def _start(mean: np.ndarray, scale: np.ndarray, seed: int = 7) -> Network:
     rng = np.random.default_rng(seed)
-    mean, scale = x.mean(0), x.std(0) + 1e-3
-    return Network(mean, scale, rng.normal(0, 0.6, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), np.zeros(1), 0.5)
+    return Network(mean, scale, rng.normal(0, 0.6, (len(mean), HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), np.zeros(1), 0.5)
+
+
+#: Adds up an array over all tasks; one process alone has its own.
+Total = Callable[[np.ndarray], np.ndarray]
 
 
-def _descend(net: Network, x: np.ndarray, slope, rounds: int) -> Network:
-    """Adam; slope(logits) gives each row's gradient."""
-    z = (x - net.mean) / net.scale
+def _moments(parts: list[np.ndarray], total: Total) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scale over the parts of all tasks."""
+    width = len(FEATURES)
+    got = total(np.r_[sum(len(p) for p in parts), sum((p.sum(0) for p in parts), np.zeros(width))])
+    mean = got[1:] / got[0]
+    return mean, np.sqrt(total(sum((((p - mean) ** 2).sum(0) for p in parts), np.zeros(width))) / got[0]) + 1e-3
+
+
+def _descend(net: Network, positive: np.ndarray, unlabelled: np.ndarray, slopes, mix, total: Total, rounds: int) -> Network:
+    """Adam. slopes(is positive, logits) gives columns of gradients and of losses of rows; mix turns their sums over all tasks into one gradient."""
+    parts = [((x[i : i + CHUNK] - net.mean) / net.scale, own) for own, x in ((True, positive), (False, unlabelled)) for i in range(0, len(x), CHUNK)]
     params = [net.w1, net.b1, net.w2, net.b2]
+    shapes = [p.shape for p in params]
+    ends = np.cumsum([p.size for p in params])
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, rounds + 1):
-        h = np.tanh(z @ params[0] + params[1])
-        g = slope(h @ params[2] + params[3][0])
-        back = np.outer(g, params[2]) * (1 - h * h)
-        grads = [z.T @ back + 1e-4 * params[0], back.sum(0), h.T @ g + 1e-4 * params[2], np.asarray([g.sum()])]
+        sums = np.zeros((2, 2, ends[-1] + 1))  # kind, gradient, numbers and the loss
+        for z, own in parts:
+            h = np.tanh(z @ params[0] + params[1])
+            grads, loss = slopes(own, h @ params[2] + params[3][0])
+            sums[int(own), 0, -1] += loss.sum()
+            for j, g in enumerate(grads):
+                back = np.outer(g, params[2]) * (1 - h * h)
+                sums[int(own), j, :-1] += np.concatenate([(z.T @ back).ravel(), back.sum(0), h.T @ g, [g.sum()]])
+        flat = mix(total(sums))
+        grads = [x.reshape(shape) for x, shape in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
+        for i in (0, 2):
+            grads[i] = grads[i] + 1e-4 * params[i]
         for i, d in enumerate(grads):
             first[i] = 0.9 * first[i] + 0.1 * d
             second[i] = 0.999 * second[i] + 0.001 * d * d
@@ -86,81 +118,151 @@ def _descend(net: Network, x: np.ndarray, slope, rounds: int) -> Network:
     return Network(net.mean, net.scale, *params, net.prior)
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
-    """Share of positives in unlabelled text from scores of both: the smallest ratio of upper tails."""
-    if not len(positive) or not len(unlabelled):
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, total: Total = lambda x: x, every: np.ndarray | None = None) -> float:
+    """Share of positives in unlabelled text from scores of both: the smallest ratio of upper tails.
+
+    With total, the arrays are a task's own and `every` has the positive scores of all.
+    """
+    every = positive if every is None else every
+    sizes = total(np.asarray([len(positive), len(unlabelled)], float))
+    if not sizes.all():
         return 0.5
-    cuts = np.unique(np.quantile(positive, np.linspace(0, 0.99, 100)))
-    p = np.asarray([(positive >= c).mean() for c in cuts])
-    u = np.asarray([(unlabelled >= c).mean() for c in cuts])
-    slack = np.sqrt(np.log(4 / delta) / (2 * len(unlabelled))) + np.sqrt(np.log(4 / delta) / (2 * len(positive)))
+    cuts = np.unique(np.quantile(every, np.linspace(0, 0.99, 100)))
+    tails = total(np.stack([len(x) - np.searchsorted(np.sort(x), cuts) for x in (positive, unlabelled)]).astype(float))
+    p, u = tails[0] / sizes[0], tails[1] / sizes[1]
+    slack = np.sqrt(np.log(4 / delta) / (2 * sizes[1])) + np.sqrt(np.log(4 / delta) / (2 * sizes[0]))
     ok = p > 0
     best = np.argmin((u[ok] + slack) / p[ok])
     return float(np.clip(u[ok][best] / p[ok][best], 0.05, 0.98))
 
 
-def _unseen_scores(positive: np.ndarray, unlabelled: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of both by a plain classifier of the other half, so that the tails are not those of rows it learned by heart."""
-    out = np.zeros(len(positive)), np.zeros(len(unlabelled))
-    halves = [np.arange(len(p)) % 2 == 0 for p in (positive, unlabelled)]
+def _unseen_scores(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], total: Total, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of both, each (rows, half), by a plain classifier of the other half, so that the tails are not those of rows it learned by heart."""
+    out = np.zeros(len(positive[0])), np.zeros(len(unlabelled[0]))
     for flip in (False, True):
-        p, u = positive[halves[0] ^ flip], unlabelled[halves[1] ^ flip]
-        if not len(p) or not len(u):
+        p, u = (x[half ^ flip] for x, half in (positive, unlabelled))
+        n = total(np.asarray([len(p), len(u)], float))
+        if not n.all():
             continue
-        x = np.concatenate([p, u])
-        target = np.r_[np.ones(len(p)), np.zeros(len(u))]
-        weight = np.r_[np.full(len(p), 0.5 / len(p)), np.full(len(u), 0.5 / len(u))]
-        plain = _descend(_start(x), x, lambda z, w=weight, t=target: w * (_sigmoid(z) - t), rounds)
-        for scores, rows, half in zip(out, (positive, unlabelled), halves, strict=True):
+
+        def slopes(own: bool, z: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+            return [_sigmoid(z) - own], np.zeros(0)
+
+        def mix(sums: np.ndarray, n=n) -> np.ndarray:
+            return 0.5 / n[0] * sums[1, 0, :-1] + 0.5 / n[1] * sums[0, 0, :-1]
+
+        plain = _descend(_start(*_moments([p, u], total)), p, u, slopes, mix, total, rounds)
+        for scores, (rows, half) in zip(out, (positive, unlabelled), strict=True):
             scores[~(half ^ flip)] = plain.logits(rows[~(half ^ flip)])
     return out
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = ROUNDS) -> Network:
-    """The network of least non-negative risk; without rows of either kind it scores by the prior alone."""
-    if not len(positive) or not len(unlabelled):
-        net = _start(np.zeros((2, len(FEATURES))))
-        net.w2[:] = 0
-        return net
-    x = np.concatenate([positive, unlabelled])
-    np_, nu = len(positive), len(unlabelled)
-    prior = class_prior(*_unseen_scores(positive, unlabelled, rounds // 4))
+def _keep_all() -> Network:
+    """Where there is nothing to learn from every text scores 1."""
+    net = _start(np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
+    net.w2[:], net.b2[:] = 0, 40
+    return net
+
 
-    def slope(z: np.ndarray) -> np.ndarray:
+def train(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], total: Total = lambda x: x, gather: Total = lambda x: x, rounds: int = ROUNDS) -> Network:
+    """The network of least non-negative risk; without rows of either kind it keeps every text.
+
+    Both are (rows, half) of this task; total adds up, and gather joins, arrays of all tasks.
+    """
+    np_, nu = total(np.asarray([len(positive[0]), len(unlabelled[0])], float))
+    if not np_ or not nu:
+        return _keep_all()
+    seen = _unseen_scores(positive, unlabelled, total, rounds // 4)
+    prior = class_prior(*seen, total=total, every=gather(seen[0]))
+
+    def slopes(own: bool, z: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         s = _sigmoid(z)
-        log_neg = np.logaddexp(0, z)  # logistic loss as a negative
-        negative = log_neg[np_:].mean() - prior * log_neg[:np_].mean()
-        g = np.empty_like(z)
-        if negative >= 0:
-            g[:np_] = prior / np_ * ((s[:np_] - 1) - s[:np_])
-            g[np_:] = s[np_:] / nu
-        else:  # the negatives' risk is over-fitted: climb back
-            g[:np_] = prior / np_ * s[:np_]
-            g[np_:] = -s[np_:] / nu
-        return g
-
-    net = _descend(_start(x), x, slope, rounds)
+        return [s, np.ones_like(s)] if own else [s], np.logaddexp(0, z)  # logistic loss as a negative
+
+    def mix(sums: np.ndarray) -> np.ndarray:
+        own, other = sums[1, 0] * prior / np_, sums[0, 0] / nu
+        if other[-1] - own[-1] >= 0:
+            return (other - sums[1, 1] * prior / np_)[:-1]
+        return (own - other)[:-1]  # the negatives' risk is over-fitted: climb back
+
+    net = _descend(_start(*_moments([positive[0], unlabelled[0]], total)), positive[0], unlabelled[0], slopes, mix, total, rounds)
     net.prior = prior
     return net
 
 
+def _slots(sc: SparkContext) -> int:
+    """Tasks that a barrier stage may have."""
+    jsc = sc._jsc.sc()
+    return max(1, min(sc.defaultParallelism, jsc.maxNumConcurrentTasks(jsc.resourceProfileManager().defaultResourceProfile())))
+
+
+def _exchange(task: BarrierTaskContext, secret: bytes) -> Callable[..., np.ndarray]:
+    """A function that joins the flat arrays of all tasks, in order of tasks, for each of them; by way of task 0, as Spark's own gathering takes a second."""
+    me, infos = task.partitionId(), task.getTaskInfos()
+    server = Listener(("", 0), backlog=len(infos), authkey=secret) if me == 0 else None
+    port = task.allGather(str(server.address[1]) if server else "")[0]
+    peers: dict[int, Connection] = {}
+    if server:
+        for _ in infos[1:]:
+            peer = server.accept()
+            peers[peer.recv()] = peer
+        server.close()
+    else:
+        peers[0] = Client((infos[0].address.rsplit(":", 1)[0], int(port)), authkey=secret)
+        peers[0].send(me)
+
+    for peer in peers.values():  # small messages go out at once
+        with socket.fromfd(peer.fileno(), socket.AF_INET, socket.SOCK_STREAM) as s:
+            s.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+
+    def every(own: np.ndarray, join: Callable[[list[np.ndarray]], np.ndarray]) -> np.ndarray:
+        own = np.ascontiguousarray(own, float).ravel()
+        if me:
+            peers[0].send(own)
+            return peers[0].recv()
+        out = join([own, *(peers[i].recv() for i in range(1, len(infos)))])
+        for peer in peers.values():
+            peer.send(out)
+        return out
+
+    return every
+
+
 def fit(docs: DataFrame, labelled: DataFrame) -> Network:
-    """Trusted positives are rows labelled 1 outside the held-out fold; unlabelled are rows of docs without a label."""
+    """Trusted positives are rows labelled 1 outside the held-out fold; unlabelled are all rows of docs without a label."""
     spark = docs.sparkSession
-    trusted = learn_rows(labelled, "quality", FOLDS, HELD).where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    marked = labelled.select(F.col("doc_id").alias("m")).distinct()
-    web = docs.select("doc_id").where("doc_id is not null").distinct().join(marked, F.col("doc_id") == F.col("m"), "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    chosen = [(r.doc_id, 1) for r in trusted.select("doc_id").collect()] + [(r.doc_id, 0) for r in web.collect()]  # at most 2 * SAMPLE ids
-    wanted = spark.createDataFrame(chosen, "doc_id bigint, y int")
-    shape = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("x", pa.list_(pa.float64()))])
+    trusted = learn_rows(labelled, "quality", FOLDS, HELD).where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select(F.col("doc_id").alias("m"))
+    marked = labelled.select(F.col("doc_id").alias("m")).where("m is not null").distinct()
+    shape = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        yield {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "x": list(features(batch.column("text")))}
+        yield {"doc_id": batch.column("doc_id"), "x": list(features(batch.column("text")))}
+
+    marks = marked.join(trusted.withColumn("y", F.lit(1)), "m", "left").select("m", F.coalesce("y", F.lit(-1)).alias("y"))
+    measured = settle(arrow_map(keyed(docs), shape, step), "features")
+    rows = measured.join(marks, F.col("doc_id") == F.col("m"), "left").select(F.coalesce("y", F.lit(0)).alias("y"), (F.xxhash64("doc_id") % 2 == 0).alias("half"), "x").where("y >= 0")
+
+    secret = uuid.uuid4().bytes
 
-    rows = sorted((r.doc_id, r.y, tuple(r.x)) for r in arrow_map(keyed(docs).join(F.broadcast(wanted), "doc_id"), shape, step).collect())
-    x = np.asarray([r[2] for r in rows]).reshape(-1, len(FEATURES))
-    y = np.asarray([r[1] for r in rows], int)
-    return train(x[y == 1], x[y == 0])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                table = np.column_stack([b.column("y").to_numpy(), b.column("half").to_numpy(zero_copy_only=False), b.column("x").flatten().to_numpy().reshape(b.num_rows, -1)])
+                yield pa.RecordBatch.from_arrays([pa.array([table.astype(float).tobytes()], pa.binary())], ["rows"])
+
+    def run(packed: Iterator) -> Iterator[bytes]:
+        light()
+        table = np.concatenate([np.zeros((0, 2 + len(FEATURES))), *(np.frombuffer(r.rows).reshape(-1, 2 + len(FEATURES)) for r in packed)])
+        y, half, x = table[:, 0], table[:, 1] == 1, table[:, 2:]
+        task = BarrierTaskContext.get()
+        every = _exchange(task, secret)
+        net = train((x[y == 1], half[y == 1]), (x[y == 0], half[y == 0]), lambda v: every(v, sum).reshape(np.shape(v)), lambda v: every(v, np.concatenate))
+        if task.partitionId() == 0:
+            yield pickle.dumps(net)
+
+    # Tasks without rows must take part in the rounds too, which only RDDs see to.
+    found = rows.repartition(_slots(spark.sparkContext)).mapInArrow(pack, "rows binary").rdd.barrier().mapPartitions(run).collect()  # one network
+    return pickle.loads(found[0]) if found else _keep_all()  # an empty plan has no tasks
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
