@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.llm.license_digests import DIGESTS
+
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -87,9 +89,9 @@ def digest(lines: Column) -> Column:
 
 
 def known(spark, texts: list[tuple[str, str]]) -> DataFrame:
-    """(digest, license) of known texts."""
+    """(digest, license, length of the canonical text) of known texts."""
     rows = spark.createDataFrame(texts, "license string, text string")
-    return rows.select(digest(canonical(F.col("text"))).alias("digest"), "license").distinct()
+    return rows.select(digest(canonical(F.col("text"))).alias("digest"), "license", F.length(canonical(F.col("text"))).alias("length")).distinct()
 
 
 def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None, notices: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,12 +105,15 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None, notices: l
     are parameters of the caller, so they may be broadcast.
     """
     spark = docs.sparkSession
-    whole = known(spark, TEXTS if texts is None else texts).groupBy("digest").agg(F.min("license").alias("license"))
-    table = known(spark, NOTICES if notices is None else notices).groupBy("digest").agg(F.min("license").alias("license"))
-    lookup = table.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("lookup"))
+    whole = known(spark, TEXTS if texts is None else texts).select("digest", "license")
+    if texts is None:
+        whole = whole.unionByName(spark.createDataFrame(DIGESTS, "license string, digest string"))
+    whole = whole.groupBy("digest").agg(F.min("license").alias("license"))
+    table = known(spark, NOTICES if notices is None else notices).groupBy("digest").agg(F.min("license").alias("license"), F.min("length").alias("length"))
+    lookup = table.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("lookup"), F.collect_set("length").alias("lengths"))
     rows = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("lines"))
     rows = rows.withColumn("digest", digest(F.col("lines"))).crossJoin(F.broadcast(lookup))  # one row
-    hits = F.filter(F.transform(F.filter(F.split("lines", "\n"), lambda x: x.rlike("licens")), lambda x: F.try_element_at("lookup", F.sha2(x, 256))), lambda x: x.isNotNull())
+    hits = F.filter(F.transform(F.filter(F.split("lines", "\n"), lambda x: F.array_contains("lengths", F.length(x))), lambda x: F.try_element_at("lookup", F.sha2(x, 256))), lambda x: x.isNotNull())
     rows = rows.withColumn("hits", F.coalesce(hits, F.array().cast("array<string>"))).join(F.broadcast(whole), "digest", "left")
     return rows.select("doc_id", "digest", "license", F.array_join(F.array_sort(F.array_distinct("hits")), ",").alias("notices"), F.size("hits").cast("bigint").alias("n_notices"))
 

@@ -1,12 +1,13 @@
 """Fits that once took a part of the corpus."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from pathloom.llm import pu_quality
+from pathloom.llm import licenses, pu_quality
 
 
 def test_quality_learns_from_all_unlabelled_text(spark, monkeypatch):
@@ -33,3 +34,19 @@ def test_training_in_one_process():
     p, u = rng.normal(1, 1, (300, 9)), rng.normal(0, 1, (500, 9))
     whole = pu_quality.train((p, np.arange(300) % 2 == 0), (u, np.arange(500) % 2 == 0), rounds=40)
     assert 0.05 <= whole.prior <= 0.98 and pu_quality._sigmoid(whole.logits(p)).mean() > pu_quality._sigmoid(whole.logits(u)).mean()
+
+
+def test_licences_beyond_the_short_ones(spark):
+    at = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    found = [f for f in names if (at / f).exists()]
+    if not found:
+        pytest.skip("no licence texts here")
+    docs = spark.createDataFrame([(i, (at / f).read_text()) for i, f in enumerate(found)], "doc_id bigint, text string")
+    assert {r.doc_id: r.license for r in licenses.scan(docs).collect()} == {i: names[f] for i, f in enumerate(found)}
+
+
+def test_notices_of_a_caller_need_no_certain_word(spark):
+    docs = spark.createDataFrame([(1, "Some text.\nDedicated to the public domain.\nMore."), (2, "Dedicated to the public")], "doc_id bigint, text string")
+    rows = licenses.scan(docs, notices=[("PD", "Dedicated to the public domain")]).collect()
+    assert {r.doc_id: (r.notices, r.n_notices) for r in rows} == {1: ("PD", 1), 2: ("", 0)}
