@@ -14,6 +14,7 @@ documents that are asked for.
 
 from __future__ import annotations
 
+import contextlib
 import io
 import struct
 import zlib
@@ -29,10 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import bytebpe
-from pathloom.llm.common import arrow_map, ddl, fresh_path, keyed, partitions, settle, starts_of, text_slices, unkeyed
+from pathloom.llm.common import arrow_map, ddl, fresh_path, gather, keyed, partitions, settle, starts_of, text_slices, unkeyed
 
 #: Ids after which a frame is closed; a longer document has a frame of its own.
 FRAME_IDS = 65_536
+#: Text bytes of a shard, and frames that a task reads back: neither grows with the input.
+SHARD_BYTES, READ_FRAMES = 512_000_000, 64
 DIRECTORY, SEEK, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 
 
@@ -100,6 +103,7 @@ class ShardReader:
         self.doc_ids, self.counts, self.frame_of = table
         self.starts = starts_of(self.counts)[:-1]
         self.frame_starts = starts_of(self.frames[:, 1].astype(np.int64)) // 4
+        self.order = np.argsort(self.doc_ids, kind="stable")
 
     def frame(self, k: int) -> np.ndarray:
         size, full, check = (int(x) for x in self.frames[k])
@@ -115,14 +119,41 @@ class ShardReader:
         a = int(self.starts[i] - self.frame_starts[k])
         return self.frame(k)[a : a + int(self.counts[i])]
 
+    def of(self, doc_id: int) -> list[np.ndarray]:
+        """Ids of every document of that doc_id."""
+        ranked = self.doc_ids[self.order]
+        a, b = np.searchsorted(ranked, [doc_id, doc_id + 1])
+        return [self.document(int(i)) for i in self.order[a:b]]
+
+    def between(self, first: int, last: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(doc_id, start in the shard, ids) of the documents in frames first to last - 1."""
+        a, b = np.searchsorted(self.frame_of, [first, last])
+        at, ids = -1, None
+        for i in range(int(a), int(b)):
+            k = int(self.frame_of[i])
+            if k != at:
+                at, ids = k, self.frame(k)
+            begin = int(self.starts[i] - self.frame_starts[k])
+            yield int(self.doc_ids[i]), int(self.starts[i]), ids[begin : begin + int(self.counts[i])]
+
     def __iter__(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(doc_id, start in the shard, ids) of every document."""
-        last, ids = -1, None
-        for i, k in enumerate(self.frame_of):
-            if k != last:
-                last, ids = k, self.frame(int(k))
-            a = int(self.starts[i] - self.frame_starts[k])
-            yield int(self.doc_ids[i]), int(self.starts[i]), ids[a : a + int(self.counts[i])]
+        return self.between(0, len(self.frames))
+
+
+def _at(uri: str) -> str:
+    return f"file://{uri}" if uri.startswith("/") else uri
+
+
+def _name(uri: str, shard: int) -> str:
+    return f"{uri}/shard-{shard:05d}.zst"
+
+
+@contextlib.contextmanager
+def open_shard(uri: str) -> Iterator[ShardReader]:
+    """A reader that fetches only the parts of the file that it needs."""
+    fs, path = pafs.FileSystem.from_uri(_at(uri))
+    with fs.open_input_file(path) as f:
+        yield ShardReader(f)
 
 
 def write_file(uri: str, chunks: Iterable[bytes], attempt: str) -> None:
@@ -135,20 +166,23 @@ def write_file(uri: str, chunks: Iterable[bytes], attempt: str) -> None:
     fs.move(f"{path}.{attempt}", path)
 
 
-_SHARD = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+_SHARD = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_frames", pa.int64())])
 _DOC = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+_IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
 
-def write_shards(docs: DataFrame, uri: str, vocabulary: str | None = None, end_id: int = 0, level: int = 3) -> list[tuple[int, int, int]]:
-    """Write the ids of all texts in ascending order of (doc_id, text) to uri/shard-NNNNN.zst.
+def write_shards(docs: DataFrame, uri: str, vocabulary: str | None = None, end_id: int = 0, level: int = 3) -> list[tuple[int, int, int, int]]:
+    """Write the ids of all texts in ascending order of doc_id to uri/shard-NNNNN.zst.
 
-    docs has columns doc_id and text. One range partition makes one shard. Null
-    texts are empty and hold the end id alone; null ids come last; repeated rows
-    stay repeated; an empty table writes no shard. Returns (shard, documents,
-    ids) in order: one row for each shard, not for each document.
+    docs has columns doc_id and text; others are left aside. One range partition of
+    about SHARD_BYTES makes one shard. Null and empty texts hold the end id alone;
+    null ids come last; rows of one id follow each other in the order of their texts
+    and may be dealt over several shards by how these begin; repeated rows stay
+    repeated. A text longer than a frame has a frame of its own. An empty table
+    writes no shard.
+    Returns (shard, documents, ids, frames) in order: one row for each shard.
     """
-    if uri.startswith("/"):
-        uri = f"file://{uri}"
+    uri, spark = _at(uri), docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -159,9 +193,9 @@ def write_shards(docs: DataFrame, uri: str, vocabulary: str | None = None, end_i
             for batch in batches:
                 for part in text_slices(batch, limit=bytebpe.SLICE):
                     ids, counts = bpe.encode(part.column("text"))
-                    bounds = starts_of(counts)
+                    data, bounds = memoryview(ids).cast("B"), (4 * starts_of(counts)).tolist()
                     for i, doc in enumerate(part.column("doc_id").to_pylist()):
-                        writer.add(doc, ids[bounds[i] : bounds[i + 1]].tobytes() + end)
+                        writer.add(doc, bytes(data[bounds[i] : bounds[i + 1]]) + end)
                     yield out.getvalue()
                     out.seek(0)
                     out.truncate()
@@ -170,28 +204,78 @@ def write_shards(docs: DataFrame, uri: str, vocabulary: str | None = None, end_i
 
         first = next(whole := pieces(), b"")
         if writer.ids:
-            write_file(f"{uri}/shard-{shard:05d}.zst", (x for part in ([first], whole) for x in part), f"{task.stageId()}-{task.taskAttemptId()}")
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (shard, len(writer.ids), sum(writer.counts))], schema=_SHARD)
+            write_file(_name(uri, shard), (x for part in ([first], whole) for x in part), f"{task.stageId()}-{task.taskAttemptId()}")
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (shard, len(writer.ids), sum(writer.counts), len(writer.frames))], schema=_SHARD)
 
-    ordered = keyed(docs).repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    base = keyed(docs).withColumn("tie", F.substring("text", 1, 64))
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ordered = base.repartitionByRange(max(partitions(spark), -(-size // SHARD_BYTES)), "doc_id", "tie").sortWithinPartitions("doc_id", "text")
     rows = settle(ordered.mapInArrow(run, ddl(_SHARD)), "shards").orderBy("shard").collect()
-    return [(r.shard, r.n_docs, r.n_tokens) for r in rows]
+    return [(r.shard, r.n_docs, r.n_tokens, r.n_frames) for r in rows]
+
 
+def read_shards(spark: SparkSession, uri: str, shards: list[tuple[int, int, int, int]]) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the bytes of the files, READ_FRAMES frames at a time.
 
-def read_shards(spark: SparkSession, uri: str, shards: list[tuple[int, int, int]]) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the bytes of the files."""
+    shards is what write_shards() returned; an empty list gives an empty result.
+    Null ids are common.NULL_ID, texts without words have their end id, repeated
+    rows and documents of any length come as they were written.
+    """
     if not shards:
         return spark.createDataFrame([], ddl(_DOC))
-    bases = dict(zip((x[0] for x in shards), starts_of(np.asarray([x[2] for x in shards])).tolist(), strict=False))
+    uri, bases = _at(uri), starts_of(np.asarray([x[2] for x in shards])).tolist()
+    todo = [(shard, base, k, min(k + READ_FRAMES, frames)) for (shard, _, _, frames), base in zip(shards, bases, strict=False) for k in range(0, frames, READ_FRAMES)]
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            base = bases[int(path.rpartition("-")[2].partition(".")[0])]
-            rows = [(doc, base + start, len(ids), zlib.crc32(ids)) for doc, start, ids in ShardReader(content.as_buffer().to_pybytes())]
+        for shard, base, first, last in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            with open_shard(_name(uri, shard)) as reader:
+                rows = [(doc, base + start, len(ids), zlib.crc32(ids)) for doc, start, ids in reader.between(first, last)]
             yield dict(zip(_DOC.names, map(list, zip(*rows, strict=True)), strict=True))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.zst").load(uri).select("path", "content")
-    return arrow_map(files, _DOC, step, None)
+    parts = spark.createDataFrame(todo, "shard bigint, base bigint, first bigint, last bigint").repartition(max(1, min(len(todo), 4 * partitions(spark))), "shard", "first")
+    return arrow_map(parts, _DOC, step, None)
+
+
+def read_documents(spark: SparkSession, uri: str, shards: list[tuple[int, int, int, int]], wanted: DataFrame) -> DataFrame:
+    """(doc_id, ids) of the documents whose doc_id is in `wanted`; only their frames are decompressed.
+
+    wanted may be of any size and is dealt out over the shards by the range of ids
+    that each directory tells. Null ids are not looked up; ids that no shard has
+    give no row, repeated ids one row for each document that was written.
+    """
+    if not shards:
+        return spark.createDataFrame([], ddl(_IDS))
+    uri = _at(uri)
+
+    def limits(batch: pa.RecordBatch) -> Iterator[dict]:
+        for shard in batch.column("shard").to_pylist():
+            with open_shard(_name(uri, shard)) as reader:
+                yield {"shard": [shard], "low": [int(reader.doc_ids.min())], "high": [int(reader.doc_ids.max())]}
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, asked in zip(batch.column("shard").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+                with open_shard(_name(uri, shard)) as reader:
+                    for doc in sorted(asked):
+                        for ids in reader.of(doc):
+                            yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([ids.tolist()], pa.list_(pa.int64()))], schema=_IDS)
+
+    span = pa.schema([("shard", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+    names = spark.createDataFrame([(x[0],) for x in shards], "shard bigint").repartition(max(1, min(len(shards), partitions(spark))), "shard")
+    spans = sorted((r.low, r.high, r.shard) for r in arrow_map(names, span, limits, None).collect())  # a row for each shard
+    lows, highs, names_ = (np.asarray(x, np.int64) for x in zip(*spans, strict=True))
+
+    def deal(batch: pa.RecordBatch) -> Iterator[dict]:
+        doc = batch.column("doc_id").to_numpy()
+        first = np.searchsorted(highs, doc, "left")
+        size = np.maximum(np.searchsorted(lows, doc, "right") - first, 0)
+        yield {"doc_id": np.repeat(doc, size), "shard": names_[gather(first, size)]}
+
+    # Requests of a shard go in lots: none meets in one row whatever its number.
+    asked = wanted.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
+    dealt = arrow_map(asked, pa.schema([("doc_id", pa.int64()), ("shard", pa.int64())]), deal, None)
+    lots = dealt.groupBy("shard", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("lot")).agg(F.collect_list("doc_id").alias("asked"))
+    return lots.select("shard", "asked").mapInArrow(fetch, ddl(_IDS))
 
 
 def token_index(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, uri: str | None = None) -> DataFrame:
@@ -199,5 +283,3 @@ def token_index(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0,
     uri = uri or fresh_path(docs.sparkSession, "tokens")
     shards = write_shards(docs, uri, vocabulary, end_id)
     return read_shards(docs.sparkSession, uri, shards).select(unkeyed(), *(F.col(x) for x in _DOC.names[1:]))
-
-

@@ -2,12 +2,7 @@
 
 Encoding cuts texts before runs of the space mark (no piece crosses from another
 symbol into the mark; the model is checked for that), encodes each distinct
-chunk once by vectorised merge rounds, and gathers ids by chunk. A round works
-on flat symbol arrays of all chunks: a segmented minimum gives each chunk's best
-pair rank, its occurrences merge leftmost first, and arrays are compacted, until
-no pair is left. Where a merge makes a pair that is at least as good, later
-occurrences of that round wait, as the library's agenda would serve the new pair
-first.
+chunk once by vectorised merge rounds (see merges), and gathers ids by chunk.
 """
 
 from __future__ import annotations
@@ -20,12 +15,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from pathloom.llm.common import coded, gather, heavy, starts_of
+from pathloom.llm.merges import PairTable
 
 MARK = "▁"
 #: Distinct chunks that a worker keeps.
 CACHE = 400_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-_NONE = np.iinfo(np.int64).max
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -68,43 +63,18 @@ class SentencePieceCodec:
                 symbols.setdefault(c, n + len(symbols))
         # Rank of a piece: equal scores share one.
         order = {s: r for r, s in enumerate(sorted({score for _, score, kind in pieces if kind == NORMAL}, reverse=True))}
-        keys, merged, ranks = [], [], []
+        pairs: tuple[list[int], ...] = ([], [], [], [])
         for i, (text, score, kind) in enumerate(pieces):
             if kind == NORMAL:
                 for k in range(1, len(text)):
                     a, b = symbols.get(text[:k]), symbols.get(text[k:])
                     if a is not None and b is not None:
-                        keys.append(a << 32 | b)
-                        merged.append(i)
-                        ranks.append(order[score])
+                        for column, x in zip(pairs, (a, b, order[score], i), strict=True):
+                            column.append(x)
         self.symbols, self.size = symbols, n
-        slots = 1 << (len(keys) * 4).bit_length()
-        self.mask, self.keys, self.value = slots - 1, np.full(slots, -1, np.int64), np.zeros(slots, np.int64)
-        at = self._hash(np.asarray(keys, np.int64))
-        for key, slot, rank, piece in zip(keys, at.tolist(), ranks, merged, strict=True):
-            while self.keys[slot] >= 0:
-                slot = slot + 1 & self.mask
-            self.keys[slot], self.value[slot] = key, rank << 32 | piece
+        self.table = PairTable(*pairs)
         self.cache: dict[str, bytes] = {}
 
-    def _hash(self, keys: np.ndarray) -> np.ndarray:
-        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (mixed >> np.uint64(40)).astype(np.int64) & self.mask
-
-    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """rank << 32 | merged piece of each pair, or _NONE."""
-        keys = left << 32 | right
-        slot = self._hash(keys)
-        out = np.full(len(keys), _NONE)
-        todo = np.flatnonzero((left >= 0) & (right >= 0))
-        while len(todo):
-            found = self.keys[slot[todo]]
-            hit = found == keys[todo]
-            out[todo[hit]] = self.value[slot[todo[hit]]]
-            todo = todo[~hit & (found >= 0)]
-            slot[todo] = slot[todo] + 1 & self.mask
-        return out
-
     def merge(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk as little-endian uint32."""
         if not chunks:
@@ -114,69 +84,7 @@ class SentencePieceCodec:
         distinct, inverse = np.unique(points, return_inverse=True)
         strange = -2 - distinct.astype(np.int64)  # a character without a symbol never merges
         known = np.asarray([self.symbols.get(chr(c), s) for c, s in zip(distinct.tolist(), strange.tolist(), strict=True)], np.int64)
-        symbol = known[inverse]
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        pair = np.full(len(symbol), _NONE)
-        same = owner[:-1] == owner[1:]
-        pair[:-1][same] = self._pairs(symbol[:-1][same], symbol[1:][same])
-        while len(symbol):
-            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            rank = np.where(pair == _NONE, _NONE, pair >> 32)
-            best = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.r_[first, len(symbol)]))
-            live = best != _NONE
-            if not live.all():
-                done.append((owner[~live], symbol[~live]))
-                symbol, owner, pair, rank, best = (x[live] for x in (symbol, owner, pair, rank, best))
-                if not len(symbol):
-                    break
-            at = self._leftmost(np.flatnonzero(rank == best), pair)
-            at, new = self._until_better(at, symbol, owner, pair, best)
-            symbol[at] = new
-            keep = np.ones(len(symbol), bool)
-            keep[at + 1] = False
-            moved = np.cumsum(keep) - 1
-            symbol, owner, pair = symbol[keep], owner[keep], pair[keep]
-            here = moved[at]
-            fresh = np.unique(np.r_[here, here[here > 0] - 1])
-            inside = np.zeros(len(fresh), bool)
-            inner = fresh < len(symbol) - 1
-            inside[inner] = owner[fresh[inner]] == owner[fresh[inner] + 1]
-            pair[fresh] = _NONE
-            two = fresh[inside]
-            pair[two] = self._pairs(symbol[two], symbol[two + 1])
-        owner, symbol = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.argsort(owner, kind="stable")
-        return self._ids(owner[order], symbol[order], len(chunks))
-
-    @staticmethod
-    def _leftmost(at: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Of occurrences that overlap, every other one from the left."""
-        if len(at) < 2:
-            return at
-        joined = np.r_[False, np.diff(at) == 1]
-        begin = np.flatnonzero(~joined)
-        within = np.arange(len(at)) - np.repeat(begin, np.diff(np.r_[begin, len(at)]))
-        # Neighbours overlap whatever their pieces: position i + 1 is in both pairs.
-        return at[within % 2 == 0]
-
-    def _until_better(self, at: np.ndarray, symbol: np.ndarray, owner: np.ndarray, pair: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each chunk's merges, those up to the first that makes a pair as good as the merged one."""
-        new = pair[at] & 0xFFFFFFFF
-        own = owner[at]
-        if len(own) < 2 or not (own[1:] == own[:-1]).any():
-            return at, new
-        before = np.where(at > 0, symbol[at - 1], -1)
-        chained = np.r_[False, at[1:] == at[:-1] + 2]
-        before = np.where(chained, np.r_[0, new[:-1]], before)
-        before = np.where((at > 0) & (owner[at - 1] == own), before, -1)
-        after_at = np.minimum(at + 2, len(symbol) - 1)
-        after = np.where((at + 2 < len(symbol)) & (owner[after_at] == own), symbol[after_at], -1)
-        made = np.minimum(self._pairs(before, new), self._pairs(new, after))
-        stops = np.where(made == _NONE, _NONE, made >> 32) <= best[at]
-        begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        stopped = np.cumsum(stops) - stops  # stops before this one
-        keep = stopped == np.repeat(stopped[begin], np.diff(np.r_[begin, len(own)]))
-        return at[keep], new[keep]
+        return self._ids(*self.table.merge(known[inverse], owner), len(chunks))
 
     def _ids(self, owner: np.ndarray, symbol: np.ndarray, n: int) -> list[bytes]:
         """Symbols without an id become the ids of their UTF-8 bytes."""
