@@ -16,10 +16,14 @@ from pathloom.operators import paths as ranking
 from pathloom.operators.tensors import tensors
 from pathloom.plans import hunt
 from pathloom.plans.pattern import CATALOG, Hypothesis, parse
+from pathloom.queries import rules
 from pathloom.queries.graphs import EVENT_SQL, ORDER_SQL, event_graph, order_graph, seconds, table
 from pathloom.schema import ANY
-from pathloom.sources import cloud_triples, csv, generic_triples, mixed_lines, ndjson, windows_triples
+from pathloom.sources import cloud_triples, csv, generic_triples, mixed_lines, ndjson, read_logs, records_of, triples_of, windows_triples
 from pathloom.sources.preview import profile
+from pathloom.sources.records import spread
+from pathloom.sources.siem import elastic_records, log_analytics_records
+from pathloom.sources.triples import SLOTS
 from pathloom.storage import shared_folder
 from pathloom.streaming.ingest import GraphSink, stream_logs
 
@@ -413,7 +417,7 @@ def subgraph_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rendered(rows: DataFrame, text) -> DataFrame:
-    return rows.select(F.col("event_id").alias("rec"), text.alias("value"))
+    return spread(rows.select(F.col("event_id").alias("rec"), text.alias("value")))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -537,3 +541,112 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink = GraphSink(spark, f"{at}/graph")
     stream_logs(spark, f"{at}/in", sink, f"{at}/checkpoint").awaitTermination()
     return explore.entity_type_counts(sink.graph())
+
+
+# Every parsing rule, mixed layouts, and lookups that no query above shows
+
+
+_STAMP = "date_format(timestampadd(SECOND, t, TIMESTAMP_NTZ'1970-01-01 00:00:00'), 'yyyy-MM-dd HH:mm:ss.SSS')"
+_ZULU = "date_format(timestampadd(SECOND, t, TIMESTAMP_NTZ'1970-01-01 00:00:00'), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+
+
+def _line():
+    """The number of a triple's record."""
+    return F.shiftright("seq", SLOTS.bit_length() - 1)
+
+
+def _cases(spark: SparkSession, sf_dir: str, cases: list[rules.Case], time: dict[str, str], **how) -> DataFrame:
+    return spread(rules.rendered(_events(spark, sf_dir), cases, time, **how))
+
+
+@query(rules.expected(rules.WINDOWS))
+def rules_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All Windows event rules, flat records."""
+    return rules.shown(windows_triples(ndjson(_cases(spark, sf_dir, rules.WINDOWS, {"UtcTime": _STAMP}))), _line())
+
+
+@query(rules.expected(rules.WINDOWS))
+def rules_windows_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events in the form that nests their fields in event_data."""
+    nested = [rules.Case({f"event_data.{k}": v for k, v in c.strings.items()}, c.triples, {"event_id" if k == "EventID" else f"event_data.{k}": v for k, v in c.numbers.items()}) for c in rules.WINDOWS]
+    return rules.shown(windows_triples(ndjson(_cases(spark, sf_dir, nested, {"@timestamp": _ZULU}, dotted=True))), _line())
+
+
+@query(rules.expected(rules.WINDOWS))
+def rules_rendered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events as a tool renders binary event logs, by the reader for them."""
+    rendered = []
+    for c in rules.WINDOWS:
+        strings = {f"Event.EventData.{k}": v for k, v in c.strings.items() if k != "Computer"} | {f"Event.System.{k}": v for k, v in c.strings.items() if k == "Computer"}
+        rendered.append(rules.Case(strings, c.triples, {"Event.System.EventID" if k == "EventID" else f"Event.EventData.{k}": v for k, v in c.numbers.items()}))
+    lines = _cases(spark, sf_dir, rendered, {"Event.System.TimeCreated.SystemTime": _ZULU}, dotted=True)
+    return rules.shown(triples_of(records_of(lines, "evtx"), "evtx"), _line())
+
+
+@query(rules.expected(rules.CLOUD))
+def rules_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cloud tables, named by Type or told by their fields."""
+    return rules.shown(cloud_triples(ndjson(_cases(spark, sf_dir, rules.CLOUD, {"TimeGenerated": _ZULU}))), _line())
+
+
+@query(rules.expected(rules.GENERIC))
+def rules_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.shown(generic_triples(mixed_lines(_cases(spark, sf_dir, rules.GENERIC, {"timestamp": _STAMP}))), _line())
+
+
+@query(rules.expected(rules.NESTED))
+def rules_nested_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.shown(generic_triples(mixed_lines(_cases(spark, sf_dir, rules.NESTED, {"event.created": _ZULU}, dotted=True))), _line())
+
+
+_MIXED = [rules.Case({}, [rules.Triple(("User", rules.U), "Execute", ("Process", rules.E))]), rules.Case({}, [rules.Triple(("IP", rules.IP), "Connect", ("IP", rules.IP2), dst_meta={"dest_port": "'443'"})]), rules.Case({}, [rules.Triple(("User", rules.U), "Auth", ("Host", rules.HOST))]), rules.Case({}, [])]
+
+
+@query(rules.expected(_MIXED))
+def parse_mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON, CEF, LEEF and broken lines in one stream."""
+    forms = [
+        F.format_string('{"user":"u%s","process":"%s.exe","time":%s}', "user_id", "event_type", "t"), F.format_string("CEF:0|v|p|1|%s|n|5|src=10.0.0.%s dst=10.1.0.%s  dpt=443 msg=a  b c rt=%s", "event_type", "k", "user_id", "t"),
+        F.format_string("LEEF:1.0|v|p|1|%s|suser=u%s\tshost=h%s\trt=%s", "event_type", "user_id", "user_id", "t"), F.format_string('{"user": "u%s", ', "user_id"),
+    ]
+    return rules.shown(generic_triples(mixed_lines(_rendered(_events(spark, sf_dir), rules._picked(forms)))), _line())
+
+
+def _files(spark: SparkSession, rows: DataFrame, name: str) -> str:
+    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    rows.write.text(at)
+    return at
+
+
+@query(f"SELECT src_id, src_type, rel_type, dst_id, dst_type, \"timestamp\", metadata, count(*) AS n FROM ({rules.expected(rules.GENERIC)}) GROUP BY ALL")
+def parse_json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are one JSON array each, found out and read as files."""
+    lines = rules.rendered(_events(spark, sf_dir), rules.GENERIC, {"timestamp": _STAMP})
+    arrays = lines.groupBy((F.col("rec") % 40).alias("file")).agg(F.array_join(F.array_sort(F.collect_list("value")), ",\n").alias("x")).select(F.concat(F.lit("["), "x", F.lit("]")).alias("value"))
+    found = read_logs(spark, _files(spark, arrays.repartition(40), "arrays"))
+    rows = rules.shown(found, F.lit(0)).drop("event_id")
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+
+
+@query("SELECT id, arg_min(y, place) AS entity_type, count(*) AS occurrences FROM (SELECT 'u' || user_id AS id, 'User' AS y, event_id * 2 AS place FROM b UNION ALL SELECT event_type, 'Process', event_id * 2 + 1 FROM b) GROUP BY 1", _B)
+def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty files of lines, numbered as their splits are, read and merged."""
+    text = F.to_json(F.struct(F.concat(F.lit("u"), "user_id").alias("user"), F.col("event_type").alias("process"), F.col("t").alias("time")))
+    at = _files(spark, _events(spark, sf_dir).repartition(40).select(text.alias("value")), "lines")
+    g, _ = graphs.ingest(graphs.Graph.empty(spark), read_logs(spark, at), "web")
+    ends = g.relations.select(F.explode(F.array("source_id", "dest_id")).alias("id")).groupBy("id").agg(F.count("*").alias("occurrences"))
+    return g.entities.join(ends, "id").select("id", "entity_type", "occurrences")
+
+
+@query("SELECT 'u' || user_id AS src_id, 'User' AS src_type, 'Auth' AS rel_type, '10.0.0.' || k AS dst_id, 'IP' AS dst_type, t AS \"timestamp\" FROM b", _B)
+def parse_log_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of a log query service, a table of one row each."""
+    text = F.format_string('{"tables":[{"name":"PrimaryResult","columns":[{"name":"TimeGenerated"},{"name":"UserPrincipalName"},{"name":"IPAddress"}],"rows":[["%s","u%s","10.0.0.%s"]]}]}', F.expr(_ZULU), "user_id", "k")
+    return cloud_triples(log_analytics_records(_rendered(_events(spark, sf_dir), text))).select(*_TRIPLE)
+
+
+@query("SELECT '10.0.0.' || k AS src_id, 'IP' AS src_type, 'Connect' AS rel_type, '10.1.0.' || user_id AS dst_id, 'IP' AS dst_type, t AS \"timestamp\" FROM b", _B)
+def parse_search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of a search service, a hit each."""
+    text = F.format_string('{"hits":{"hits":[{"_id":"%s","_source":{"@timestamp":"%s","SourceIP":"10.0.0.%s","DestinationIP":"10.1.0.%s"},"sort":[1]}]}}', "event_id", F.expr(_ZULU), "k", "user_id")
+    return cloud_triples(elastic_records(_rendered(_events(spark, sf_dir), text))).select(*_TRIPLE)

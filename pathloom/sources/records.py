@@ -2,7 +2,11 @@
 
 A record is (rec bigint, kinds map, texts map): the JSON kind and the text of each
 top-level field. Field names stay map keys, since logs hold names that differ only
-in case. rec orders records as they stand in their files.
+in case. rec orders records as they stand in their files: it is the number that
+monotonically_increasing_id() gives a line, or a file and its element (element_of).
+
+Maps are made in a generator (once): what stands above reads them as columns, where
+a projection would be merged into every expression and filter that uses them.
 """
 
 from __future__ import annotations
@@ -10,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Room for triples and array elements within a line's number.
-ROOM = 1 << 20
+#: Room for the files of a partition, and for the elements of one, within 33 bits of a record's number.
+FILES, ELEMENTS = 1 << 8, 1 << 25
+_PART = 33
 
 
 def field_maps(json: Column) -> tuple[Column, Column]:
@@ -21,6 +26,28 @@ def field_maps(json: Column) -> tuple[Column, Column]:
     return kinds, texts
 
 
+def element_of(rec: Column, at: Column) -> Column:
+    """The number of an element of a whole file: partition, file in it, place. More than 63 - 33 bits of partitions never are."""
+    file = rec.bitwiseAND((1 << _PART) - 1)
+    number = F.shiftleft(F.shiftright(rec, _PART), _PART) + file * ELEMENTS + at
+    return F.when((file < FILES) & (at < ELEMENTS), number).otherwise(F.raise_error(F.concat(F.lit("no number for element "), at.cast("string"), F.lit(" of file "), file.cast("string"), F.lit(" of a partition"))).cast("bigint"))
+
+
+def once(rows: DataFrame, keep: list[str | Column], made: dict[str, Column], where: str) -> DataFrame:
+    """keep, and the made columns where those named in `where` are not null, each evaluated once a row."""
+    row = F.array(F.struct(*(v.alias(k) for k, v in made.items())))
+    return rows.select(*keep, F.inline(F.filter(row, lambda r: _holds(r, where))))
+
+
+def _holds(row: Column, names: str) -> Column:
+    """All the named fields, separated by blanks, are there."""
+    out = None
+    for name in names.split():
+        own = row[name].isNotNull()
+        out = own if out is None else out & own
+    return out
+
+
 def text_of(name: str, record: str = "") -> Column:
     """The field where it is a JSON string that is not empty, else null."""
     return F.when(F.try_element_at(F.col(f"{record}kinds"), F.lit(name)) == "STRING", F.nullif(F.try_element_at(F.col(f"{record}texts"), F.lit(name)), F.lit("")))
@@ -55,9 +82,15 @@ def scalar_fields(kinds: Column, texts: Column) -> Column:
     return F.array_sort(F.map_entries(kept))
 
 
+def spread(lines: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores where there are fewer splits than these: parsing costs more than moving them."""
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    return lines.repartition(cores) if lines.rdd.getNumPartitions() < cores else lines
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(rec, value) of every line."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("rec"), "value")
+    return spread(spark.read.text(path).select(F.monotonically_increasing_id().alias("rec"), "value"))
 
 
 def lines_of(spark: SparkSession, text: str) -> DataFrame:
@@ -68,8 +101,7 @@ def lines_of(spark: SparkSession, text: str) -> DataFrame:
 def ndjson(lines: DataFrame) -> DataFrame:
     """Records of one JSON object a line; blank and broken lines go."""
     kinds, texts = field_maps(F.col("value"))
-    rows = lines.where(F.trim("value").startswith("{")).select((F.col("rec") * ROOM).alias("rec"), F.col("value").alias("raw"), kinds.alias("kinds"), texts.alias("texts"))
-    return rows.where("kinds is not null and texts is not null")
+    return once(lines.where(F.trim("value").startswith("{")), ["rec", F.col("value").alias("raw")], {"kinds": kinds, "texts": texts}, "kinds texts")
 
 
 def json_array(whole: DataFrame) -> DataFrame:
@@ -77,7 +109,7 @@ def json_array(whole: DataFrame) -> DataFrame:
     items = F.from_json(F.col("value"), "array<string>")
     rows = whole.where(F.ltrim("value").startswith("[")).select("rec", F.posexplode(items).alias("at", "raw"))
     kinds, texts = field_maps(F.col("raw"))
-    return rows.select((F.col("rec") * ROOM + F.col("at")).alias("rec"), "raw", kinds.alias("kinds"), texts.alias("texts")).where("kinds is not null and texts is not null")
+    return once(rows, [element_of(F.col("rec"), F.col("at")).alias("rec"), "raw"], {"kinds": kinds, "texts": texts}, "kinds texts")
 
 
 def read_json(spark: SparkSession, path: str | list[str], array: bool) -> DataFrame:
@@ -114,47 +146,47 @@ def csv(lines: DataFrame, header: str | None = None) -> DataFrame:
     rows = full.select("rec", "value", cells.alias("cells"))
     pairs = F.array(*(F.struct(F.lit(x).alias("key"), F.trim(F.col(f"cells.c{i}")).alias("value")) for x, i in wanted.items()))
     texts = F.map_from_entries(F.filter(pairs, lambda p: p["value"] != ""))
-    rows = rows.select((F.col("rec") * ROOM).alias("rec"), F.col("value").alias("raw"), texts.alias("texts"))
+    rows = once(rows, ["rec", F.col("value").alias("raw")], {"texts": texts}, "texts")
     return rows.withColumn("kinds", _strings(F.col("texts"))[0]).select("rec", "raw", "kinds", "texts")
 
 
+# A key, and its value with the tokens after it that hold no `=`.
+_CEF_PAIR = r"(?:^|\s)([^\s=]*+)=(\S*+(?:\s++[^\s=]++(?=\s|$))*+)"
+
+
 def cef(value: Column) -> Column:
     """Fields of a `CEF:` line as a map, or null.
 
     Seven pipes end the header; extension tokens without `=` belong to the value before them.
     """
     parts = F.split(value, r"\|", 8)
-    tokens = F.filter(F.split(F.try_element_at(parts, F.lit(8)), r"\s+"), lambda t: t != "")
-    start = F.array().cast("array<struct<key:string,value:string>>")
-
-    def add(done: Column, token: Column) -> Column:
-        at = F.instr(token, "=")
-        fresh = F.struct(F.substring(token, F.lit(1), at - 1).alias("key"), F.substring(token, at + 1, F.length(token)).alias("value"))
-        last = F.element_at(done, -1)
-        longer = F.struct(last["key"].alias("key"), F.concat_ws(" ", last["value"], token).alias("value"))
-        return F.when(at > 0, F.concat(done, F.array(fresh))).when(F.size(done) > 0, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(done)
-
-    return F.when(F.trim(value).startswith("CEF:") & (F.size(parts) == 8), _last_wins(F.aggregate(tokens, start, add)))
+    rest, pattern = F.try_element_at(parts, F.lit(8)), F.lit(_CEF_PAIR)
+    values = F.transform(F.regexp_extract_all(rest, pattern, F.lit(2)), lambda v: F.regexp_replace(F.trim(v), r"\s+", " "))
+    return F.when(F.trim(value).startswith("CEF:") & (F.size(parts) == 8), _last_wins(F.regexp_extract_all(rest, pattern, F.lit(1)), values))
 
 
 def leef(value: Column) -> Column:
     """Fields of a `LEEF:` line (five pipes, then tab-separated pairs) as a map, or null."""
     parts = F.split(value, r"\|", 6)
     pairs = F.filter(F.split(F.try_element_at(parts, F.lit(6)), "\t"), lambda t: F.contains(t, F.lit("=")))
-    entries = F.transform(pairs, lambda t: F.struct(F.trim(F.substring_index(t, "=", 1)).alias("key"), F.trim(F.substring(t, F.instr(t, "=") + 1, F.length(t))).alias("value")))
-    return F.when(F.trim(value).startswith("LEEF:") & (F.size(parts) == 6), _last_wins(entries))
+    keys = F.transform(pairs, lambda t: F.trim(F.substring_index(t, "=", 1)))
+    values = F.transform(pairs, lambda t: F.trim(F.substring(t, F.instr(t, "=") + 1, F.length(t))))
+    return F.when(F.trim(value).startswith("LEEF:") & (F.size(parts) == 6), _last_wins(keys, values))
 
 
-def _last_wins(entries: Column) -> Column:
-    """A map of entries in which a later one replaces an earlier one of its key."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"].alias("value"))))
+def _last_wins(keys: Column, values: Column) -> Column:
+    """A map in which a later value replaces an earlier one of its key."""
+    back, last = F.reverse(keys), F.reverse(values)
+    own = F.array_distinct(keys)
+    return F.when(F.size(own) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(F.map_from_arrays(own, F.transform(own, lambda k: F.element_at(last, F.array_position(back, k).cast("int")))))
 
 
 def mixed_lines(lines: DataFrame) -> DataFrame:
     """Records of lines that are JSON objects, CEF or LEEF, each by itself; others go."""
-    kinds, texts = field_maps(F.when(F.trim("value").startswith("{"), F.col("value")))
-    other = F.coalesce(cef(F.trim("value")), leef(F.trim("value")))
-    rows = lines.select((F.col("rec") * ROOM).alias("rec"), F.col("value").alias("raw"), kinds.alias("k"), texts.alias("t"), other.alias("o"))
-    rows = rows.where("(k is not null and t is not null) or o is not null")
-    return rows.select("rec", "raw", F.coalesce("k", _strings(F.col("o"))[0]).alias("kinds"), F.coalesce("t", "o").alias("texts"))
+    trimmed = F.trim("value")
+    is_json, is_cef, is_leef = (trimmed.startswith(x) for x in ("{", "CEF:", "LEEF:"))
+    kinds, texts = field_maps(F.when(is_json, F.col("value")))
+    other = F.when(is_cef, cef(trimmed)).when(is_leef, leef(trimmed))
+    kept = lines.where(is_json | is_cef | is_leef)
+    rows = kept.select("rec", F.col("value").alias("raw"), F.inline(F.array(F.struct(kinds.alias("k"), texts.alias("t"), other.alias("o")))))
+    return rows.where("(k is not null and t is not null) or o is not null").select("rec", "raw", F.coalesce("k", _strings(F.col("o"))[0]).alias("kinds"), F.coalesce("t", "o").alias("texts"))

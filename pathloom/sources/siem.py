@@ -9,15 +9,18 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from pathloom.sources.records import ROOM, field_maps
+from pathloom.sources.records import element_of, field_maps
 
 #: Rows that a query asks for unless told otherwise.
 TAKE, SIZE = 10_000, 1000
+#: A page stands for a partition in the numbers of its records, so that any number of pages has room.
+_FILE = 33
 
 
 def log_analytics_query(table: str = "SecurityEvent", hours: int = 24, take: int = TAKE) -> str:
@@ -31,7 +34,7 @@ def log_analytics_records(replies: DataFrame) -> DataFrame:
     full = F.filter(F.arrays_zip("names", "cells"), lambda x: x["names"].isNotNull())
     kinds = F.map_from_entries(F.transform(full, lambda x: F.struct(x["names"].alias("key"), F.coalesce(F.schema_of_variant(x["cells"]), F.lit("VOID")).alias("value"))))
     texts = F.map_from_entries(F.transform(full, lambda x: F.struct(x["names"].alias("key"), x["cells"].cast("string").alias("value"))))
-    return rows.select((F.col("rec") * ROOM + F.col("at")).alias("rec"), F.to_json("names").alias("raw"), kinds.alias("kinds"), texts.alias("texts"))
+    return rows.select(element_of(F.col("rec"), F.col("at")).alias("rec"), F.to_json("names").alias("raw"), kinds.alias("kinds"), texts.alias("texts"))
 
 
 def next_query_start(records: DataFrame) -> str | None:
@@ -49,7 +52,7 @@ def elastic_records(replies: DataFrame) -> DataFrame:
     hits = F.posexplode(F.from_json(F.get_json_object("value", "$.hits.hits"), "array<string>"))
     rows = replies.select("rec", hits.alias("at", "hit")).select("rec", "at", F.get_json_object("hit", "$._source").alias("raw"))
     kinds, texts = field_maps(F.col("raw"))
-    rows = rows.select((F.col("rec") * ROOM + F.col("at")).alias("rec"), "raw", kinds.alias("kinds"), texts.alias("texts")).where("kinds is not null")
+    rows = rows.select(element_of(F.col("rec"), F.col("at")).alias("rec"), "raw", kinds.alias("kinds"), texts.alias("texts")).where("kinds is not null")
     time = F.map_contains_key("kinds", "@timestamp") & ~F.map_contains_key("kinds", "TimeGenerated")
 
     def timed(column: str):
@@ -64,10 +67,12 @@ def elastic_cursor(reply: str) -> list | None:
     return hits[-1].get("sort") if hits else None
 
 
-def paging_source(name: str, fetch: Callable[[object], tuple[str, object]], pages: int = 1000) -> type[DataSource]:
-    """A DataSource of replies (rec, value). fetch(cursor) gives (reply, next cursor); None starts and ends.
+def paging_source(name: str, fetch: Callable[[object], tuple[str, object]], start: object = None, pages: int | None = None) -> type[DataSource]:
+    """A DataSource of replies (rec, value). fetch(cursor) gives (reply, next cursor); None ends, `start` begins.
 
-    Register it with spark.dataSource.register() and read format(name).
+    A reader that has had `pages` pages while there are more raises an error: what it
+    gives is whole or nothing. Register it with spark.dataSource.register() and read
+    format(name).
     """
 
     class Reader(DataSourceReader):
@@ -75,10 +80,12 @@ def paging_source(name: str, fetch: Callable[[object], tuple[str, object]], page
             return [InputPartition(0)]  # a cursor is one sequence
 
         def read(self, partition: InputPartition) -> Iterator[tuple]:
-            cursor = None
-            for number in range(pages):
+            cursor = start
+            for number in count():
+                if number == pages:
+                    raise ValueError(f"more than {pages} pages")
                 reply, cursor = fetch(cursor)
-                yield number, reply
+                yield number << _FILE, reply
                 if cursor is None:
                     return
 
@@ -96,6 +103,6 @@ def paging_source(name: str, fetch: Callable[[object], tuple[str, object]], page
     return Source
 
 
-def read_pages(spark: SparkSession, name: str, fetch: Callable[[object], tuple[str, object]]) -> DataFrame:
-    spark.dataSource.register(paging_source(name, fetch))
+def read_pages(spark: SparkSession, name: str, fetch: Callable[[object], tuple[str, object]], start: object = None, pages: int | None = None) -> DataFrame:
+    spark.dataSource.register(paging_source(name, fetch, start, pages))
     return spark.read.format(name).load()
