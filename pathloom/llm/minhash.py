@@ -5,11 +5,13 @@ Banded MinHash keys gather representatives in buckets. In each bucket a hub is
 compared with every other member, never all pairs: a pair is estimated from odd
 sketches (parity bitmaps of the MinHash samples, whose XOR population count
 tells how many samples differ) and, where 0.8 is within reach, confirmed on the
-full shingle sets. Where a bucket still spans several components, members outside
-its main one try their best partners by finer sketches, and at last all partners
-that these allow, in blocks and only between components. So no bucket, however
-large, meets in one task, and no candidate pair of different components that may
-reach the threshold goes unexamined.
+full shingle sets. In large buckets that still span several components, members
+outside the main one try a few more of its members. What is apart then is compared
+in blocks: finer sketches tell which members may link to another component at all,
+and the full sets of these meet in their block, which gives away a spanning forest
+of the links that it finds, never its pairs. So no bucket, however large, meets in
+one task, and no candidate pair of different components that may reach the
+threshold goes unexamined.
 
 Any link at the threshold is a candidate unless all 25 bands of 5 samples
 differ: under 5 in 100,000 at a similarity of exactly 0.8, under 1 in a million
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import arrow_map, coded_words, ddl, keyed, partitions, settle, starts_of, unkeyed, word_hashes
+from pathloom.llm.common import arrow_map, coded_words, ddl, gather, keyed, partitions, settle, starts_of, unkeyed, word_hashes
 
 SAMPLES, BANDS, ROWS = 128, 25, 5
 #: Bits of an odd sketch, in four 64-bit words.
@@ -35,8 +37,10 @@ BITS = 256
 FAR = 80
 #: Samples, bits and count of the finer sketches that block comparisons take: at 0.8 the mean is 675, five deviations end at 815 (0.75).
 FINE_SAMPLES, FINE_BITS, FINE_FAR = 2048, 4096, 815
-#: Rounds in which members outside the main component try their best partners, partners tried of a component, and block sizes.
-ROUNDS, PARTNERS, MINOR_BLOCK, BLOCK = 4, 3, 256, 4096
+#: Members of a bucket from which it gets a second round of hubs, and hubs of that round.
+LARGE, PARTNERS = 1000, 8
+#: Members of a block (of smaller components, of all), and bytes that a task groups at once.
+MINOR_BLOCK, BLOCK, GROUP_BYTES = 256, 4096, 16_000_000
 #: Links that one task may unite; more are contracted over the cluster first.
 LOCAL_LINKS = 200_000
 _SIGN = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), ("bands", pa.list_(pa.int64())), *((f"s{i}", pa.int64()) for i in range(4))])
@@ -134,9 +138,20 @@ def fine_sketches(texts: DataFrame, size: int = 4) -> DataFrame:
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         sets = shingle_sets(batch.column("text"), size)
         full = [i for i, x in enumerate(sets) if len(x)]
-        if full:
-            sketch = odd_sketches(minhashes([sets[i] for i in full], FINE_SAMPLES), FINE_BITS)
-            yield {"rep": batch.column("doc_id").take(pa.array(full)), "fine": [x.tobytes() for x in sketch]}
+        for a in range(0, len(full), 256):  # a document's samples take 16 KB
+            own = full[a : a + 256]
+            sketch = odd_sketches(minhashes([sets[i] for i in own], FINE_SAMPLES), FINE_BITS)
+            yield {"rep": batch.column("doc_id").take(pa.array(own)), "fine": [x.tobytes() for x in sketch]}
+
+    return arrow_map(texts, shape, step).dropDuplicates(["rep"])
+
+
+def full_sets(texts: DataFrame, size: int = 4) -> DataFrame:
+    """(rep, shingles) of documents (doc_id, text): the whole set as 64-bit hashes."""
+    shape = pa.schema([("rep", pa.int64()), ("shingles", pa.binary())])
+
+    def step(batch: pa.RecordBatch) -> Iterator[dict]:
+        yield {"rep": batch.column("doc_id"), "shingles": [x.tobytes() for x in shingle_sets(batch.column("text"), size)]}
 
     return arrow_map(texts, shape, step).dropDuplicates(["rep"])
 
@@ -231,63 +246,128 @@ def near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(_apart("p", "q") <= FAR).select("a", "b")
 
 
-def _block(table: pa.Table, partners: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(x, y) of the blocks in a table: members of smaller components (role 0) with members of others (role 1).
-
-    Only pairs that the fine sketches allow; of each x and component the nearest `partners`, or all.
-    """
-    block, role, rep, component = (table.column(c).to_numpy() for c in ("block", "role", "rep", "component"))
-    fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint64).reshape(len(rep), -1)
+def _blocks(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of smaller components, rows of all, components, sketches) of each block in a table, and where its rows are."""
+    block, role, component = (table.column(c).to_numpy() for c in ("block", "role", "component"))
+    fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint64).reshape(len(block), -1)
     order = np.argsort(block, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
         few, all_ = part[role[part] == 0], part[role[part] == 1]
-        if not len(all_):
-            continue
-        for x in few:
-            other = all_[component[all_] != component[x]]
-            far = np.bitwise_count(fine[other] ^ fine[x]).sum(1, dtype=np.int64)
-            near_, far = other[far <= FINE_FAR], far[far <= FINE_FAR]
-            if partners is not None and len(near_) > partners:
-                by = np.lexsort((rep[near_], far, component[near_]))
-                near_ = near_[by]
-                first = np.flatnonzero(np.r_[True, np.diff(component[near_]) != 0])
-                place = np.arange(len(near_)) - np.repeat(first, np.diff(np.r_[first, len(near_)]))
-                near_ = near_[place < partners]
-            if len(near_):
-                yield np.full(len(near_), rep[x]), rep[near_]
-
-
-def _block_pairs(rows: DataFrame, fine: DataFrame, tested: DataFrame, partners: int | None) -> DataFrame:
-    """Untested pairs (a, b) of different components in one bucket, its smaller components against all, in blocks.
-
-    Blocks of a bucket are dealt out over tasks, so no bucket meets in one; only the pairs of _block() leave them.
+        if len(few) and len(all_):
+            yield few, all_, component, fine, part
+
+
+def _allowed(x: int, others: np.ndarray, fine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, distance) of others that the sketches allow to be linked with x, nearest first."""
+    far = np.bitwise_count(fine[others] ^ fine[x]).sum(1, dtype=np.int64)
+    near_ = np.flatnonzero(far <= FINE_FAR)
+    near_ = near_[np.argsort(far[near_], kind="stable")]
+    return others[near_], far[near_]
+
+
+def _hopeful(table: pa.Table) -> np.ndarray:
+    """Which rows of a table of blocks may link to another component."""
+    hit = np.zeros(table.num_rows, bool)
+    for few, all_, component, fine, _ in _blocks(table):
+        for x in few.tolist():
+            near_, _ = _allowed(x, all_[component[all_] != component[x]], fine)
+            hit[x] |= len(near_) > 0
+            hit[near_] = True
+    return hit
+
+
+def _forest(table: pa.Table, threshold: int) -> list[tuple[int, int]]:
+    """Links (larger, smaller id) that join components in the blocks of a table: of each block at most its members less one."""
+    rep = table.column("rep").to_numpy()
+    raw = table.column("shingles").to_pylist()
+    out = []
+    for few, all_, component, fine, part in _blocks(table):
+        sets = [np.frombuffer(raw[i], np.uint64) for i in part.tolist()]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        begin = starts_of(sizes)
+        at = np.zeros(len(rep), np.int64)  # place of a row in the block
+        at[part] = np.arange(len(part))
+        mark = np.zeros(len(code) and int(code.max()) + 1, bool)
+        names, root = np.unique(component[part], return_inverse=True)
+        del names
+        for x in few.tolist():
+            others = all_[root[at[all_]] != root[at[x]]]
+            near_, _ = _allowed(x, others, fine)
+            if not len(near_):
+                continue
+            own = code[begin[at[x]] : begin[at[x] + 1]]
+            mark[own] = True
+            size = sizes[at[near_]]
+            hits = mark[code[gather(begin[at[near_]], size)]]
+            both = np.add.reduceat(hits, starts_of(size)[:-1], dtype=np.int64)
+            mark[own] = False
+            for y in near_[100 * both >= threshold * (len(own) + size - both)].tolist():
+                mine, other = root[at[x]], root[at[y]]
+                if mine != other:
+                    out.append((max(rep[x], rep[y]), min(rep[x], rep[y])))
+                    root[root == other] = mine
+    return out
+
+
+def _block_links(rows: DataFrame, texts: DataFrame, threshold: int, size: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket: its smaller components against all, in blocks.
+
+    Blocks of a bucket are dealt out over tasks, so no bucket meets in one. What
+    leaves them is linear in their members: first the members that sketches give a
+    chance, then a spanning forest of the links that the full sets confirm.
     """
+    spark = rows.sparkSession
     each = rows.groupBy("key", "component").count()
     keys = each.groupBy("key").agg(F.max_by("component", "count").alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
-    keys = settle(keys.select("key", "main", F.ceil((F.col("n") - F.col("most")) / MINOR_BLOCK).cast("int").alias("ni"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nj")), "buckets")
-    placed = rows.join(keys, "key").join(fine, "rep")
+    keys = settle(keys.select("key", "main", F.ceil((F.col("n") - F.col("most")) / MINOR_BLOCK).cast("int").alias("ni"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nj"), (F.col("n") * F.ceil((F.col("n") - F.col("most")) / MINOR_BLOCK) + (F.col("n") - F.col("most")) * F.ceil(F.col("n") / BLOCK)).alias("sent")), "buckets")
     i, j = (F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int") for salt, n in ((1, "ni"), (2, "nj")))  # int as the sequence below: hashes tell types apart
     of = lambda role, own, other, n: F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda k: F.struct(F.lit(role).alias("role"), F.xxhash64("key", *((own, k) if role == 0 else (k, own))).alias("block")))
     places = F.when(F.col("component") != F.col("main"), F.concat(of(0, i, j, "nj"), of(1, j, i, "ni"))).otherwise(of(1, j, i, "ni"))
-    dealt = placed.select("rep", "component", "fine", F.explode(places).alias("p")).select("rep", "component", "fine", "p.role", "p.block")
-    groups = 4 * partitions(rows.sparkSession)
+    dealt = rows.join(keys, "key").select("rep", "component", F.explode(places).alias("p")).select("rep", "component", "p.role", "p.block")
+    open_texts = texts.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    fine = settle(fine_sketches(open_texts, size), "fine")
 
-    def run(table: pa.Table) -> pa.Table:
-        found = list(_block(table, partners))
-        x, y = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.table([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], schema=_LINK)
+    def grouped(df: DataFrame, bytes_: int, run, shape: pa.Schema) -> DataFrame:
+        groups = max(4 * partitions(spark), -(-bytes_ // GROUP_BYTES))
+        return df.groupBy(F.pmod("block", F.lit(groups)).alias("g")).applyInArrow(run, ddl(shape))
 
-    found = dealt.groupBy(F.pmod("block", F.lit(groups)).alias("g")).applyInArrow(run, ddl(_LINK)).distinct()
-    return found.join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+    member = pa.schema([("rep", pa.int64()), ("component", pa.int64()), ("role", pa.int32()), ("block", pa.int64())])
 
+    def hopeful(table: pa.Table) -> pa.Table:
+        return table.select(member.names).filter(pa.array(_hopeful(table))).cast(member)
 
-def near_groups(docs: DataFrame, threshold: int = 80, size: int = 4) -> DataFrame:
+    def forest(table: pa.Table) -> pa.Table:
+        found = _forest(table, threshold)
+        return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=_LINK)
+
+    sent = keys.agg(F.sum("sent")).first()[0] or 0
+    left = settle(grouped(dealt.join(fine, "rep"), sent * FINE_BITS // 8, hopeful, member), "hopeful")
+    sets = settle(full_sets(open_texts.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), size), "sets")
+    with_sets = left.join(sets, "rep").join(fine, "rep")
+    total = with_sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
+    return grouped(with_sets, total, forest, _LINK).distinct()
+
+
+def _more_hub_pairs(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b): in large buckets, members outside the main component with PARTNERS members of it, where the sketches allow a link."""
+    each = rows.groupBy("key", "component").count()
+    keys = each.groupBy("key").agg(F.max_by("component", "count").alias("main"), F.sum("count").alias("n")).where(F.col("n") >= LARGE)
+    at = rows.join(keys.select("key", "main"), "key")
+    chosen = F.array(*(F.min_by("rep", F.xxhash64("rep", F.lit(salt))) for salt in range(PARTNERS)))
+    hubs = at.where("component = main").groupBy("key").agg(chosen.alias("hubs"))
+    pairs = at.where("component != main").join(hubs, "key").select(F.col("rep").alias("a"), F.explode(F.array_distinct("hubs")).alias("b"))
+    return near(pairs.distinct(), sketches)
+
+
+def near_groups(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
     Columns doc_id and text are read, others left aside. A document without words
     (null, empty, white space) has an empty set and is alone. Rows of one doc_id are
     one document, each with its own row in the result; null ids are one document
-    that sorts last. An empty table gives an empty result.
+    that sorts last. Texts of any length count whole. An empty table gives an empty
+    result.
     """
     base = keyed(docs)
     signed = settle(sign(base, size), "signed")
@@ -302,31 +382,24 @@ def near_groups(docs: DataFrame, threshold: int = 80, size: int = 4) -> DataFram
     # Only members of buckets that hold two documents or more go on, and only their texts.
     rows = settle(banded.join(_hubs(banded), "key"), "members")
     texts = settle(base.join(rows.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
-    tested = settle(_hub_pairs(rows, sketches), "pairs")
-    links = settle(confirm(tested, texts, threshold, size), "links").union(settle(tied, "tied"))
-    comps = components(links)
-    fine, partners = None, PARTNERS
-    for round_ in range(ROUNDS + 1):
-        # Buckets that span several components; two members have met in the hub round.
-        at = rows.select("rep", "key").join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("rep", "key", F.coalesce("component", "rep").alias("component"))
+
+    def apart(members: DataFrame, comps: DataFrame) -> DataFrame:
+        """Members of buckets that span several components; two members have met their hub."""
+        at = members.select("rep", "key").join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("rep", "key", F.coalesce("component", "rep").alias("component"))
         each = at.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("parts"))
-        rows = settle(at.join(settle(each.where((F.col("parts") > 1) & (F.col("n") > 2)).select("key"), "open"), "key"), "members")
+        return settle(at.join(settle(each.where((F.col("parts") > 1) & (F.col("n") > 2)).select("key"), "open"), "key"), "apart")
+
+    links = settle(confirm(_hub_pairs(rows, sketches), texts, threshold, size), "links").union(settle(tied, "tied"))
+    comps = components(links)
+    rows = apart(rows, comps)
+    for more in (lambda: confirm(_more_hub_pairs(rows, sketches), texts, threshold, size), lambda: _block_links(rows, texts, threshold, size)):
         if rows.isEmpty():
             break
-        if fine is None:
-            fine = settle(fine_sketches(texts.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), size), "fine")
-        partners = PARTNERS if round_ < ROUNDS and partners else None
-        pairs = settle(_block_pairs(rows, fine, tested, partners), "pairs")
-        found = settle(confirm(pairs, texts, threshold, size), "links")
-        new = not found.isEmpty()
-        if new:
+        found = settle(more(), "links")
+        if not found.isEmpty():
             links = links.union(found)
             comps = components(links)
-        tested = tested.union(pairs)
-        if partners is None:  # every pair that the sketches allow has been compared
-            break
-        if not new:  # best partners bring nothing more: all that is left, once
-            partners = None
+            rows = apart(rows, comps)
     group = classes.join(comps, classes.rep == comps.v, "left").select("c0", "c1", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "c0", "c1").join(settle(group, "groups"), ["c0", "c1"], "left")
     own = F.coalesce("component_id", "doc_id")

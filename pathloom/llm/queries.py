@@ -17,7 +17,7 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_groups(documents(spark, sf_dir))
+    return minhash.near_groups(documents(spark, sf_dir), size=4)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
