@@ -1,20 +1,21 @@
 """Toxicity by nearest labelled examples.
 
-Documents and labelled examples are TF-IDF vectors over terms (words and word
-beginnings) that tell the classes of the examples apart; all other words share
-one dimension, so that a vector keeps the share of telling words. The examples
-lie in an inverted index in blocks with the largest weight of each term; a query
-visits blocks by falling upper bound and stops when no further block can reach
-its k-th neighbour, which gives exactly the nearest by cosine. Their votes,
-weighted by distance and by class share, are calibrated on the examples
-themselves, each left out in turn.
+Documents and labelled examples are TF-IDF vectors over all terms of the examples:
+words, and the beginnings of longer ones. A term's weight is its IDF over the whole
+corpus times how well it tells the classes of the examples apart, which never is
+zero; a plain IDF finds half of the toxic texts (see the README). The examples lie in
+an inverted index whose postings are cut in blocks, each with its largest weight. A
+slice of documents bounds its cosines by these, visits blocks by falling bound, all
+documents at a time, and a document stops when no further block can reach its k-th
+neighbour: exactly the nearest by cosine. Their votes, weighted by distance and by
+class share, are calibrated on the examples themselves, each left out in turn.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,139 +23,147 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import arrow_map, coded_words, heavy, keyed, learn_rows, settle, starts_of, text_slices
+from pathloom.llm.common import arrow_map, coded_words, gather, heavy, keyed, learn_rows, settle, starts_of, text_slices
 
-#: Labelled rows that the index may hold of each class (toxic, other), and terms: the documented bounds of the fit.
-EXAMPLES, TERMS = (2000, 4000), 1024
+#: Documented bounds of the fit: labelled rows that the index may hold of each class (toxic, other), and bytes of their texts.
+EXAMPLES, EXAMPLE_BYTES = (700, 1300), 50_000
 NEIGHBOURS, BLOCK = 15, 64
-#: Lengths of word beginnings that are terms besides whole words.
-BEGINNINGS = (3, 4, 5, 6)
-#: Weight of a word without a telling term.
-OTHER = 0.05
+#: Letters of the word beginnings that are terms besides whole words.
+BEGINNINGS = (6,)
+#: Weight of a term that tells nothing.
+LEAST = 0.01
+#: Documents whose cosines are found at a time, and postings expanded at a time.
+DOCS, POSTINGS = 512, 1_000_000
 #: Learn from rows whose crc32(doc_id) mod FOLDS is not HELD.
 FOLDS, HELD = 5, 0
-_TERM = pa.schema([("term", pa.string()), ("y", pa.int64())])
 
 
-def _clean(vocab: pa.Array) -> pa.Array:
-    return pc.replace_substring_regex(pc.utf8_lower(vocab), r"^\PL+|\PL+$", "")
-
-
-def _spellings(vocab: pa.Array) -> list[tuple[str, pa.Array]]:
-    """(kind, term or null) of each word: the word, and its beginnings where it is longer."""
-    words = _clean(vocab)
+def _spellings(vocab: pa.Array) -> list[pa.Array]:
+    """The word and its beginnings, or null, of each spelling; beginnings are shorter than their word."""
+    words = pc.replace_substring_regex(pc.utf8_lower(vocab), r"^\PL+|\PL+$", "")
     size = pc.utf8_length(words)
     null = pa.scalar(None, words.type)
-    out = [("w", pc.if_else(pc.greater(size, 0), words, null))]
-    return out + [(str(k), pc.if_else(pc.greater(size, k), pc.utf8_slice_codeunits(words, 0, k), null)) for k in BEGINNINGS]
+    return [pc.if_else(pc.greater(size, 0), words, null), *(pc.if_else(pc.greater(size, k), pc.utf8_slice_codeunits(words, 0, k), null) for k in BEGINNINGS)]
+
+
+#: Rows of (document, dimension, count), sorted, as arrays, and the number of documents.
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray, int]
 
 
 @dataclass
 class Index:
-    """Examples in blocks; terms of `terms` plus one last dimension for other words."""
+    """Examples in blocks of BLOCK; dimensions are the terms of each kind: words, then beginnings by length."""
 
-    terms: list[str]
-    idf: np.ndarray
-    rows: list[tuple[np.ndarray, np.ndarray]]  # of each example: dimensions and weights of unit length
+    terms: list[pa.Array]
+    weight: np.ndarray
     y: np.ndarray
     ids: np.ndarray
+    #: Postings by dimension and example; their blocks by dimension, each with its largest weight and first posting.
+    example: np.ndarray
+    value: np.ndarray
+    block: np.ndarray
+    most: np.ndarray
+    first: np.ndarray
+    by_dim: np.ndarray
     odds: float = 1.0  # of toxic among all labels over that among the examples
     slope: float = 1.0
     shift: float = 0.0
-    _ready: dict = field(default_factory=dict)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_ready": {}}
-
-    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(document, dimension, count) triples, sorted, and the words of each document."""
-        codes, sizes, vocab = coded_words(texts)
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        width = len(self.terms) + 1
-        found, told = [], np.zeros(len(vocab), bool)
-        by_kind: dict[str, tuple[list[int], list[str]]] = {}
-        for i, term in enumerate(self.terms):
-            kind, _, text = term.partition(":")
-            at, names = by_kind.setdefault(kind, ([], []))
-            at.append(i)
-            names.append(text)
-        for kind, spelt in _spellings(vocab):
-            if kind not in by_kind:
-                continue
-            at, names = by_kind[kind]
-            where = pc.index_in(spelt, value_set=pa.array(names, spelt.type)).fill_null(-1).to_numpy(zero_copy_only=False)
-            hit = where >= 0
-            if hit.any():
-                told |= hit
-                dims = np.asarray(at)[where]
-                own = np.flatnonzero(hit[codes])
-                found.append(doc[own] * width + dims[codes[own]])
-        other = np.bincount(doc, ~told[codes], minlength=len(sizes)).astype(np.int64)
-        some = np.flatnonzero(other)
-        key, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        key, n = np.r_[key, some * width + width - 1], np.r_[n, other[some]]
-        order = np.argsort(key, kind="stable")
-        return key[order] // width, key[order] % width, n[order], sizes
-
-    def vectors(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        doc, dim, n, sizes = self.counts(texts)
-        last = len(self.terms)
-        weight = np.where(dim == last, OTHER * n, n * np.r_[self.idf, 0][dim])
-        norm = np.sqrt(np.bincount(doc, weight * weight, minlength=len(sizes)))
-        weight = weight / np.where(norm > 0, norm, 1)[doc]
-        bounds = starts_of(np.bincount(doc, minlength=len(sizes)))
-        return [(dim[a:b], weight[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
-
-    def _blocks(self) -> tuple[np.ndarray, np.ndarray]:
-        """Weights (block, dimension, example) with similar examples in one block, and each block's largest (dimension, block)."""
-        if not self._ready:
-            n = -(-max(1, len(self.rows)) // BLOCK)
-            full = np.zeros((n, len(self.terms) + 1, BLOCK))
-            for i, (dim, weight) in enumerate(self.rows):
-                full[i // BLOCK, dim, i % BLOCK] = weight
-            self._ready = {"full": full, "most": np.ascontiguousarray(full.max(2).T)}
-        return self._ready["full"], self._ready["most"]
-
-    def nearest(self, dim: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(example, cosine) of the k nearest, best first; ties go to the earlier example."""
-        full, most = self._blocks()
-        bound = weight @ most[dim] if len(dim) else np.zeros(most.shape[1])
-        order = np.argsort(-bound, kind="stable")
-        best, sims = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 4
-        while at < len(order):
-            if len(sims) >= k and bound[order[at]] < sims[-1] - 1e-9:
-                break
-            blocks = order[at : at + step]
-            at, step = at + step, 2 * step  # each visit is dearer than the blocks that it may save
-            members = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            s = np.round(weight @ full[blocks[:, None], dim], 12).ravel() if len(dim) else np.zeros(len(members))
-            real = (members < len(self.rows)) & (members != without)
-            if len(sims) >= k:
-                real &= s >= sims[-1]
-            best, sims = np.r_[best, members[real]], np.r_[sims, s[real]]
-            keep = np.lexsort((best, -sims))[:k]
-            best, sims = best[keep], sims[keep]
-        return best, sims
-
-    def vote(self, found: tuple[np.ndarray, np.ndarray]) -> float:
-        """Log odds of toxic by weighted votes; half a vote for either side."""
+
+    @property
+    def blocks(self) -> int:
+        return -(-max(1, len(self.y)) // BLOCK)
+
+    def vectors(self, counts: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bounds, dimension, weight) of unit vectors."""
+        doc, dim, n, docs = counts
+        weight = (1 + np.log(n)) * self.weight[dim]
+        norm = np.sqrt(np.bincount(doc, weight * weight, minlength=docs))
+        return starts_of(np.bincount(doc, minlength=docs)), dim, weight / np.where(norm > 0, norm, 1)[doc]
+
+    def nearest(self, bounds: np.ndarray, dim: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(example, cosine), each (documents, k), best first; ties go to the earlier example.
+
+        without: an example that each document may not have. A missing neighbour has cosine -1.
+        """
+        docs = len(bounds) - 1
+        who, sims = np.zeros((docs, k), np.int64), np.full((docs, k), -1.0)
+        for a in range(0, docs, DOCS):
+            b = min(a + DOCS, docs)
+            at = slice(bounds[a], bounds[b])
+            who[a:b], sims[a:b] = self._nearest(bounds[a : b + 1] - bounds[a], dim[at], weight[at], k, None if without is None else without[a:b])
+        return who, sims
+
+    def _nearest(self, bounds: np.ndarray, dim: np.ndarray, weight: np.ndarray, k: int, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        docs, blocks, n = len(bounds) - 1, self.blocks, len(self.y)
+        # Every document's terms meet the blocks that hold them.
+        sizes = self.by_dim[dim + 1] - self.by_dim[dim]
+        entry = gather(self.by_dim[dim], sizes)
+        asked = np.repeat(weight, sizes)
+        doc = np.repeat(np.repeat(np.arange(docs), np.diff(bounds)), sizes)
+        cell = doc * blocks + self.block[entry]
+        bound = np.bincount(cell, asked * self.most[entry], minlength=docs * blocks).reshape(docs, blocks)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        falling = np.take_along_axis(bound, order, 1)
+        cosines = np.full((docs, blocks * BLOCK), -1.0)
+        open_, done, step = np.arange(docs), 0, 2
+        while done < blocks and len(open_):
+            visit = np.zeros((docs, blocks), bool)
+            visit[open_[:, None], order[open_, done : done + step]] = True
+            chosen = np.flatnonzero(visit.ravel()[cell])
+            self._add(cosines, doc, asked, entry, chosen)
+            rows, columns = np.nonzero(visit)
+            seen = cosines.reshape(docs, blocks, BLOCK)
+            seen[rows, columns] = np.where(seen[rows, columns] < 0, 0, np.round(seen[rows, columns], 12))
+            cosines[:, n:] = -1
+            if without is not None:
+                cosines[np.arange(docs), without] = -1
+            done, step = done + step, 2 * step
+            if done < blocks:
+                worst = -np.partition(-cosines[open_], k - 1, axis=1)[:, k - 1] if k <= cosines.shape[1] else np.full(len(open_), -1.0)
+                open_ = open_[falling[open_, done] >= worst - 1e-9]
+        take = min(k, cosines.shape[1])
+        best = np.argsort(-cosines, axis=1, kind="stable")[:, :take]
+        who, sims = np.zeros((docs, k), np.int64), np.full((docs, k), -1.0)
+        who[:, :take], sims[:, :take] = best, np.take_along_axis(cosines, best, 1)
+        return who, sims
+
+    def _add(self, cosines: np.ndarray, doc: np.ndarray, asked: np.ndarray, entry: np.ndarray, chosen: np.ndarray) -> None:
+        """The products of the chosen (document, term, block), POSTINGS at a time; a document's cosine adds up in order of terms."""
+        width = cosines.shape[1]
+        sizes = self.first[entry[chosen] + 1] - self.first[entry[chosen]]
+        ends = np.cumsum(sizes)
+        # Cut between documents, so that each cosine is one sum.
+        heads = np.flatnonzero(np.r_[True, np.diff(doc[chosen]) > 0]) if len(chosen) else np.zeros(0, np.int64)
+        before = np.r_[0, ends][heads]
+        lots = np.flatnonzero(np.r_[True, np.diff(before // POSTINGS) > 0]) if len(heads) else heads
+        cuts = [*heads[lots].tolist(), len(chosen)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = chosen[a:b]
+            size = sizes[a:b]
+            posting = gather(self.first[entry[own]], size)
+            low, high = int(doc[own[0]]), int(doc[own[-1]]) + 1
+            key = np.repeat((doc[own] - low) * width, size) + self.example[posting]
+            got = np.bincount(key, np.repeat(asked[own], size) * self.value[posting], minlength=(high - low) * width).reshape(high - low, width)
+            part = cosines[low:high]
+            np.copyto(part, got, where=got > 0)
+
+    def votes(self, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Log odds of toxic by weighted votes of neighbours that share a term; half a vote for either side."""
         who, sims = found
-        w = 1 / (0.02 + 1 - np.minimum(sims, 1))
-        y = self.y[who]
-        scale = w.sum() or 1.0
-        yes, no = (w * y).sum() / scale * self.odds, (w * (1 - y)).sum() / scale
+        w = np.where(sims > 0, 1 / (0.02 + 1 - np.minimum(sims, 1)), 0)
+        y = self.y[who] if len(self.y) else np.zeros(who.shape)
+        scale = np.maximum(w.sum(1), 1e-9)
+        yes, no = (w * y).sum(1) / scale * self.odds, (w * (1 - y)).sum(1) / scale
         edge = 0.5 / NEIGHBOURS
-        return float(np.log((yes + edge * self.odds) / (no + edge)))
+        return np.log((yes + edge * self.odds) / (no + edge))
 
-    def calibrate(self) -> None:
-        """Platt scaling of left-out votes of the examples, weighted to the labels' class shares."""
-        if len(set(self.y.tolist())) < 2:
-            self.slope, self.shift = 0.0, (2.0 if len(self.y) and self.y[0] else -2.0)
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Platt scaling of left-out votes x of examples labelled y, weighted to the labels' class shares."""
+        if len(set(y.tolist())) < 2:
+            self.slope, self.shift = 0.0, (2.0 if len(y) and y[0] else -2.0)
             return
-        x = np.asarray([self.vote(self.nearest(*row, without=i)) for i, row in enumerate(self.rows)])
-        w = np.where(self.y == 1, self.odds, 1.0)
-        t, p = self.y * 0.998 + 0.001, np.asarray([1.0, 0.0])
+        w = np.where(y == 1, self.odds, 1.0)
+        t, p = y * 0.998 + 0.001, np.asarray([1.0, 0.0])
         a = np.stack([x, np.ones(len(x))], 1)
         for _ in range(50):
             q = 1 / (1 + np.exp(-np.clip(a @ p, -50, 50)))
@@ -167,93 +176,126 @@ class Index:
         self.slope, self.shift = float(p[0]), float(p[1])
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Calibrated scores, and the ids of each text's nearest examples."""
-        known = self._ready.setdefault("known", {}) if self._ready else {}
-        out, evidence = [], []
-        for dim, weight in self.vectors(texts):
-            key = None if len(dim) > 1 else tuple(dim.tolist())
-            if key in known:
-                s, e = known[key]
-            else:
-                found = self.nearest(dim, weight)
-                s = 1 / (1 + np.exp(-np.clip(self.slope * self.vote(found) + self.shift, -50, 50)))
-                e = self.ids[found[0]]
-                if key is not None:
-                    known[key] = s, e
-            out.append(s)
-            evidence.append(e)
-        return np.asarray(out, float), evidence
+        """Calibrated scores, and the ids of each text's nearest examples that share a term with it."""
+        found = self.nearest(*self.vectors(term_counts(texts, self.terms)))
+        score = 1 / (1 + np.exp(-np.clip(self.slope * self.votes(found) + self.shift, -50, 50)))
+        return score, [self.ids[w[s > 0]] for w, s in zip(*found, strict=True)]
+
+
+def term_counts(texts: pa.Array, terms: list[pa.Array]) -> Counts:
+    codes, sizes, vocab = coded_words(texts)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    bases = starts_of(np.asarray([len(x) for x in terms]))
+    width, keys = max(1, int(bases[-1])), []
+    for spelt, known, base in zip(_spellings(vocab), terms, bases.tolist(), strict=False):
+        where = pc.index_in(spelt, value_set=known, skip_nulls=True).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+        own = np.flatnonzero(where >= 0)
+        keys.append(doc[own] * width + where[own] + base)
+    key, n = np.unique(np.concatenate(keys), return_counts=True)
+    return key // width, key % width, n, len(sizes)
+
+
+def _terms(texts: pa.Array) -> list[pa.Array]:
+    """All words and beginnings of texts."""
+    vocab = coded_words(texts)[2]
+    return [pc.unique(x.drop_null()).sort() for x in _spellings(vocab)]
+
+
+def build(terms: list[pa.Array], counts: Counts, y: np.ndarray, ids: np.ndarray, frequency: np.ndarray, corpus: int, odds: float = 1.0) -> Index:
+    """The index of examples with these term counts and labels, and document frequencies of all terms in `corpus` documents."""
+    doc, dim, n, _ = counts
+    width = sum(map(len, terms))
+    n1 = max(1, int(y.sum()))
+    n0 = max(1, len(y) - int(y.sum()))
+    toxic = np.bincount(dim[y[doc] == 1], minlength=width) / n1
+    other = np.bincount(dim[y[doc] == 0], minlength=width) / n0
+    mean = (toxic + other) / 2
+    tells = np.abs(toxic - other) / np.sqrt(mean * (1 - mean) + 1e-3) + LEAST
+    idf = np.log((1 + corpus) / (1 + frequency)) + 1
+    none = np.zeros(0, np.int64)
+    index = Index(terms, idf * tells, y, ids, none, none, none, none, none, none, odds)
+    bounds, dim, weight = index.vectors(counts)
+    # Examples whose heaviest terms are alike stand side by side, which makes blocks with tight bounds.
+    top = np.full(len(y), -1)
+    if len(dim):
+        heavy_first = np.lexsort((dim, -weight, doc))
+        full = np.flatnonzero(np.diff(bounds))
+        top[full] = dim[heavy_first[bounds[full]]]
+    place = np.empty(len(y), np.int64)
+    order = np.lexsort((ids, top, y))
+    place[order] = np.arange(len(y))
+    index.y, index.ids = y[order], ids[order]
+    example = place[doc]
+    by = np.lexsort((example, dim))
+    dim, example, weight = dim[by], example[by], weight[by]
+    block = example // BLOCK
+    first = np.flatnonzero(np.r_[True, (np.diff(dim) != 0) | (np.diff(block) != 0)]) if len(dim) else none
+    index.example, index.value = example.astype(np.int32), weight
+    index.block, index.first = block[first].astype(np.int32), np.r_[first, len(dim)]
+    index.most = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
+    index.by_dim = np.searchsorted(dim[first], np.arange(width + 1))
+    return index
 
 
 def fit(docs: DataFrame, labelled: DataFrame) -> Index:
     """An index from labelled rows of docs outside the held-out fold.
 
-    At most EXAMPLES rows of each class, by hash of their id, are indexed; terms
-    come from them, and the terms' document frequencies from all of docs.
+    At most EXAMPLES rows of each class with texts of at most EXAMPLE_BYTES, by hash
+    of their id, are indexed with all their terms; document frequencies are those of
+    all of docs. Rows labelled twice count with each label; null ids and labels, and
+    labels of no document, are left aside.
     """
-    spark = docs.sparkSession
-    rows = learn_rows(labelled, "toxic", FOLDS, HELD)
+    spark, base = docs.sparkSession, keyed(docs)
+    rows = learn_rows(labelled, "toxic", FOLDS, HELD).where("doc_id is not null")
     totals = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
-    chosen = [(r.doc_id, r.y) for y, n in ((1, EXAMPLES[0]), (0, EXAMPLES[1])) for r in rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
-    wanted = spark.createDataFrame(chosen, "doc_id bigint, y int")
-    base = keyed(docs)
-    examples = settle(base.join(F.broadcast(wanted), "doc_id"), "examples")  # at most sum(EXAMPLES) ids, a text each
-
-    def terms_of(batch: pa.RecordBatch) -> Iterator[dict]:
-        codes, sizes, vocab = coded_words(batch.column("text"))
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        y = batch.column("y").to_numpy()
-        for kind, spelt in _spellings(vocab):
-            coded = spelt.dictionary_encode()
-            code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)[codes]
-            pair = np.unique(doc[code >= 0] * (len(coded.dictionary) + 1) + code[code >= 0])
-            own = pa.array(pair % (len(coded.dictionary) + 1))
-            yield {"term": pc.binary_join_element_wise(kind, coded.dictionary.take(own), ":"), "y": y[pair // (len(coded.dictionary) + 1)]}
-
-    class_sizes = {r.y: r["count"] for r in examples.groupBy("y").count().collect()}
-    n1, n0 = class_sizes.get(1, 0), class_sizes.get(0, 0)
-    per = arrow_map(examples, _TERM, terms_of).groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
-    a, b = F.col("a") / max(n1, 1), (F.col("n") - F.col("a")) / max(n0, 1)
-    mean = F.col("n") / max(n1 + n0, 1)
-    gain = (a - b) * (a - b) / (mean * (1 - mean) + 1e-4)
-    terms = [r.term for r in per.where((F.col("n") >= 3) & (a > b)).orderBy(gain.desc(), "term").limit(TERMS).collect()]
-    index = Index(terms, np.ones(len(terms)), [], np.zeros(0, int), np.zeros(0, np.int64))
+    there = base.where(F.octet_length(F.coalesce("text", F.lit(""))) <= EXAMPLE_BYTES).select("doc_id")
+    rows = rows.join(there, "doc_id", "left_semi")
+    chosen = [rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, EXAMPLES[0]), (0, EXAMPLES[1]))]
+    wanted = settle(chosen[0].unionAll(chosen[1]), "chosen")
+    small = base.where(F.octet_length(F.coalesce("text", F.lit(""))) <= EXAMPLE_BYTES)
+    examples = settle(small.join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id", "y"]).repartition(16, "doc_id"), "examples")  # at most sum(EXAMPLES) ids, a text each
+    table = examples.toArrow().combine_chunks()
+    texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
+    y, ids = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "doc_id"))
+    terms = _terms(texts)
+    width = sum(map(len, terms))
+    shared = spark.sparkContext.broadcast(terms)  # bounded by EXAMPLES and EXAMPLE_BYTES
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-
-        total = np.zeros(len(terms) + 2, np.int64)
+        total = np.zeros(width + 1, np.int64)
         for batch in batches:
             for part in text_slices(batch):
-                _, dim, _, sizes = index.counts(part.column("text"))
-                total[: len(terms) + 1] += np.bincount(dim, minlength=len(terms) + 1)
-                total[-1] += len(sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["dim", "n"])
-
-    df = {r.dim: r.n for r in base.mapInArrow(frequencies, "dim bigint, n bigint").groupBy("dim").agg(F.sum("n").alias("n")).collect()}  # TERMS + 2 rows
-    everything = df.get(len(terms) + 1, 0)
-    index.idf = np.log((1 + everything) / (1 + np.asarray([df.get(i, 0) for i in range(len(terms))], float))) + 1
-
-    def vectors(batch: pa.RecordBatch) -> Iterator[dict]:
-        got = index.vectors(batch.column("text"))
-        yield {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "dims": [x for x, _ in got], "weights": [x for _, x in got]}
-
-    shape = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("dims", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64()))])
-    got = arrow_map(examples, shape, vectors).collect()  # at most sum(EXAMPLES) rows of at most TERMS + 1 numbers
-    # Similar examples side by side make blocks whose bounds are tight.
-    got.sort(key=lambda r: (r.y, max(zip(r.weights, r.dims, strict=True), default=(0, -1))[1], r.doc_id))
-    index.rows = [(np.asarray(r.dims, np.int64), np.asarray(r.weights)) for r in got]
-    index.y, index.ids = np.asarray([r.y for r in got], int), np.asarray([r.doc_id for r in got], np.int64)
-    if n1 and n0:
-        index.odds = (totals[1] / totals[0]) / (n1 / n0)
-    index.calibrate()
+                _, dim, _, n = term_counts(part.column("text"), shared.value)
+                total[:width] += np.bincount(dim, minlength=width)
+                total[width] += n
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["dim", "n"])
+
+    got = base.select("text").mapInArrow(frequencies, "dim bigint, n bigint").groupBy("dim").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the examples
+    frequency = np.zeros(width + 1, np.int64)
+    frequency[got.column("dim").to_numpy()] = got.column("n").to_numpy()
+    n1, n0 = int(y.sum()), len(y) - int(y.sum())
+    odds = (totals[1] / totals[0]) / (n1 / n0) if n1 and n0 else 1.0
+    index = build(terms, term_counts(texts, terms), y, ids, frequency[:width], int(frequency[width]), odds)
+
+    left, name = spark.sparkContext.broadcast(index), uuid.uuid4().hex
+
+    def left_out(batch: pa.RecordBatch) -> Iterator[dict]:
+        own = _here(left, name)
+        at = {(i, label): k for k, (i, label) in enumerate(zip(own.ids.tolist(), own.y.tolist(), strict=True))}
+        without = np.asarray([at[i, label] for i, label in zip(batch.column("doc_id").to_pylist(), batch.column("y").to_pylist(), strict=True)], np.int64)
+        found = own.nearest(*own.vectors(term_counts(batch.column("text"), own.terms)), without=without)
+        yield {"x": own.votes(found), "y": batch.column("y")}
+
+    votes = arrow_map(examples, pa.schema([("x", pa.float64()), ("y", pa.int32())]), left_out, keeps=True).toArrow()  # at most sum(EXAMPLES) rows
+    order = np.lexsort((votes.column("x").to_numpy(), votes.column("y").to_numpy()))  # sums in one order whatever the tasks' order
+    index.calibrate(votes.column("x").to_numpy()[order], votes.column("y").to_numpy()[order].astype(np.int64))
     return index
 
 
 def _here(shared, name: str) -> Index:
-    """The worker's own index, with its matrices made once."""
-    index = heavy(f"toxicity {name}", lambda: shared.value)
-    index._blocks()
-    return index
+    """The worker's own index, unpacked once."""
+    return heavy(f"toxicity {name}", lambda: shared.value)
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.list_(pa.int64()))])
@@ -262,11 +304,12 @@ _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence
 def scored(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, score and evidence (ids of the nearest examples) of every document.
 
-    Columns doc_id and text are read. Null, empty and word-less texts get the score
-    of a text without telling terms. Repeated rows repeat. Without labels of both
-    classes the score is constant.
+    Columns doc_id and text are read, others left aside. Null, empty and word-less
+    texts, and texts that share no term with an example, have no neighbour and score
+    as the labels' class share says. Repeated rows repeat; an empty table gives an
+    empty result. Without labels of both classes the score is constant.
     """
-    shared, name = docs.sparkSession.sparkContext.broadcast(index), uuid.uuid4().hex  # bounded by EXAMPLES and TERMS
+    shared, name = docs.sparkSession.sparkContext.broadcast(index), uuid.uuid4().hex  # bounded by EXAMPLES and EXAMPLE_BYTES
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         score, evidence = _here(shared, name).score(batch.column("text"))
@@ -276,8 +319,11 @@ def scored(docs: DataFrame, index: Index) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, index: Index, threshold: float = 0.5) -> DataFrame:
-    """Rows of docs that score below the threshold; all columns stay as they are."""
+    """Rows of docs that score below the threshold; all columns stay as they are.
 
+    Null ids, repeated rows and null, empty or very long texts are judged as scored()
+    does; an empty table gives an empty result. The text is read from column `text`.
+    """
     shared, name = docs.sparkSession.sparkContext.broadcast(index), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,5 +333,3 @@ def without_toxic(docs: DataFrame, index: Index, threshold: float = 0.5) -> Data
                 yield part.filter(pa.array(score < threshold))
 
     return docs.mapInArrow(run, docs.schema)
-
-

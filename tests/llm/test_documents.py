@@ -59,17 +59,17 @@ def words(t, lower=False):
     return WORD.findall(t.translate({c: c + 32 for c in range(65, 91)}) if lower else t)
 
 
-def sets_of(rows):
+def sets_of(rows, size=4):
     out = {}
     for i, t in rows:
         w = words(t, True)
-        out.setdefault(i, set()).update({tuple(w[j : j + 4]) for j in range(max(1, len(w) - 3))} if w else set())
+        out.setdefault(i, set()).update({tuple(w[j : j + size]) for j in range(max(1, len(w) - size + 1))} if w else set())
     return out
 
 
-def groups(rows):
+def groups(rows, size=4):
     key = lambda i: 2**63 - 1 if i is None else i
-    each = [(key(i), s) for i, t in rows for s in [sets_of([(i, t)])[i]]]
+    each = [(key(i), s) for i, t in rows for s in [sets_of([(i, t)], size)[i]]]
     parent = {i: i for i, _ in each}
 
     def root(x):
@@ -87,12 +87,13 @@ def groups(rows):
 
 
 def test_near_groups(docs, rows, empty):
-    got = sorted((tuple(r) for r in minhash.near_groups(docs).collect()), key=repr)
+    got = sorted((tuple(r) for r in minhash.near_groups(docs, size=4).collect()), key=repr)
     assert got == groups(rows)
+    assert sorted((tuple(r) for r in minhash.near_groups(docs).collect()), key=repr) == groups(rows, 5)
     assert minhash.near_groups(empty).count() == 0
 
 
-@pytest.mark.parametrize("limits", [{}, {"ROUNDS": 0}, {"PARTNERS": 1, "LOCAL_LINKS": 3, "MINOR_BLOCK": 4, "BLOCK": 8}])
+@pytest.mark.parametrize("limits", [{}, {"LARGE": 5}, {"LARGE": 5, "PARTNERS": 1, "LOCAL_LINKS": 3, "MINOR_BLOCK": 4, "BLOCK": 8, "GROUP_BYTES": 500}])
 def test_near_groups_by_each_route(spark, monkeypatch, limits):
     """A group whose members are often too far from a hub."""
     rng = random.Random(3)
@@ -106,7 +107,22 @@ def test_near_groups_by_each_route(spark, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(minhash, k, v)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert sorted((tuple(r) for r in minhash.near_groups(docs).collect()), key=repr) == groups(rows)
+    assert sorted((tuple(r) for r in minhash.near_groups(docs, size=4).collect()), key=repr) == groups(rows)
+
+
+def test_blocks_give_away_a_forest():
+    """However many pairs of a block are links, fewer links than members leave it."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 400).astype(np.uint64)
+    sets = [np.unique(np.r_[rng.permutation(base)[: 400 - n], rng.integers(0, 2**63, n).astype(np.uint64)]) for n in rng.integers(0, 60, 50)]
+    fine = minhash.odd_sketches(minhash.minhashes(sets, minhash.FINE_SAMPLES), minhash.FINE_BITS)
+    rows = [(i, i, role, 7, fine[i].tobytes(), sets[i].tobytes()) for i in range(50) for role in ((0, 1) if i < 30 else (1,))]
+    table = pa.table(dict(zip(("rep", "component", "role", "block", "fine", "shingles"), zip(*rows, strict=True), strict=True)))
+    links = minhash._forest(table, 80)
+    alike = {(j, i) for i in range(50) for j in range(i + 1, 50) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert len(alike) > 300 and set(links) <= alike and len(links) < 50
+    hopeful = minhash._hopeful(table)
+    assert all(hopeful[k] for k, r in enumerate(rows) if r[2] == 0 and any(r[0] in pair for pair in alike))
 
 
 def test_odd_sketches_estimate():
@@ -334,20 +350,49 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
 
 
-def test_nearest_examples_are_exact():
+@pytest.mark.parametrize("step", [1, 7, 512])
+def test_nearest_examples_are_exact(monkeypatch, step):
+    """Scores, votes and neighbours against plain vectors over all terms."""
+    monkeypatch.setattr(toxicity, "DOCS", step)
+    monkeypatch.setattr(toxicity, "POSTINGS", 50)
     rng = np.random.default_rng(9)
-    terms = [f"w:t{i}" for i in range(40)]
-    index = toxicity.Index(terms, rng.uniform(1, 5, 40), [], np.zeros(0, int), np.zeros(0, np.int64))
-    texts = pa.array([" ".join(f"t{i}" for i in rng.integers(0, 60, rng.integers(0, 30))) for _ in range(300)])
-    index.rows, index.y, index.ids = index.vectors(texts), rng.integers(0, 2, 300), np.arange(300)
-    full = np.zeros((300, 41))
-    for i, (d, w) in enumerate(index.rows):
-        full[i, d] = w
-    for q in range(0, 300, 7):
-        who, sims = index.nearest(*index.rows[q], k=11)
-        s = np.round(full @ full[q], 12)
-        want = np.lexsort((np.arange(300), -s))[:11]
-        assert np.allclose(sims, s[want]) and np.allclose(s[who], s[want])
+    word = lambda k: "abcdefgh"[k % 8] * (3 + k % 3) + "xyz"[k % 3] + chr(97 + k % 26) + chr(97 + k // 26)
+    texts = [" ".join(word(k) for k in rng.integers(0, 80, rng.integers(0, 40))) for _ in range(300)] + ["", "nothing known"]
+    y = rng.integers(0, 2, 302)
+    terms = toxicity._terms(pa.array(texts[:300]))
+    names = [(k, t) for k, part in enumerate(terms) for t in part.to_pylist()]
+    spelt = lambda t: Counter(x for w in t.split() for x in [(0, w), *((k + 1, w[:n]) for k, n in enumerate(toxicity.BEGINNINGS) if len(w) > n)])
+    counts = [Counter({x: n for x, n in spelt(t).items() if x in set(names)}) for t in texts]
+    frequency = np.asarray([sum(x in c for c in counts) for x in names])
+    index = toxicity.build(terms, toxicity.term_counts(pa.array(texts), terms), y, np.arange(302), frequency, 302, 0.5)
+    toxic, other = (np.asarray([sum(x in c for c, z in zip(counts, y, strict=True) if z == v) / (y == v).sum() for x in names]) for v in (1, 0))
+    mean = (toxic + other) / 2
+    weight = (np.log(303 / (1 + frequency)) + 1) * (np.abs(toxic - other) / np.sqrt(mean * (1 - mean) + 1e-3) + toxicity.LEAST)
+    full = np.asarray([[(1 + np.log(c[x])) * w if c[x] else 0.0 for x, w in zip(names, weight, strict=True)] for c in counts])
+    norm = np.sqrt((full**2).sum(1, keepdims=True))
+    full /= np.where(norm > 0, norm, 1)
+    cosine = (full @ full.T)[:, index.ids]  # in the index's order
+    without = np.argsort(index.ids)
+    for leave in (None, without):
+        who, sims = index.nearest(*index.vectors(toxicity.term_counts(pa.array(texts), terms)), k=11, without=leave)
+        want = np.round(cosine, 12)
+        if leave is not None:
+            want[np.arange(302), leave] = -1
+        best = -np.sort(-want, axis=1)[:, :11]
+        assert np.allclose(sims, best, atol=1e-9) and np.allclose(np.take_along_axis(want, who, 1), best, atol=1e-9)
+        votes = index.votes((who, sims))
+        for i in range(302):
+            w = [1 / (1.02 - min(s, 1)) if s > 0 else 0 for s in sims[i]]
+            share = sum(a * index.y[j] for a, j in zip(w, who[i], strict=True)) / max(sum(w), 1e-9)
+            rest = sum(a * (1 - index.y[j]) for a, j in zip(w, who[i], strict=True)) / max(sum(w), 1e-9)
+            edge = 0.5 / toxicity.NEIGHBOURS
+            assert votes[i] == pytest.approx(np.log((share * 0.5 + edge * 0.5) / (rest + edge)))
+    index.calibrate(votes, index.y[without])
+    z = np.clip(index.slope * votes + index.shift, -50, 50)
+    p = 1 / (1 + np.exp(-z))
+    w = np.where(index.y[without] == 1, 0.5, 1)
+    t = index.y[without] * 0.998 + 0.001
+    assert abs((w * (t - p)).sum() - 1e-3 * index.shift) < 1e-6  # the calibration's slope of the log loss is zero
 
 
 @pytest.fixture(scope="module")
