@@ -1,9 +1,9 @@
 """Telephony audio columns: mu-law, A-law and IMA ADPCM in WAV, decoded to resampled PCM.
 
 Companded samples expand through 256-entry tables made by rule; ADPCM blocks are
-independent, so one numpy step decodes the same nibble of every block of a
-batch; resampling is a polyphase windowed sinc. Stored and read forms are whole
-RIFF/WAVE files in a binary column.
+independent, so one numpy step decodes the same nibble of every block of a batch of
+files; resampling is a polyphase windowed sinc, and its PCM is stored as 16-bit
+files. Stored and read forms are whole RIFF/WAVE files in binary columns.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pathloom.llm.common import arrow_map, keyed, starts_of, unkeyed
 
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 0x11
+#: Bits of a sample in each format, and the highest rate that is believed.
+BITS, MOST_RATE = {PCM: 16, ALAW: 8, MULAW: 8, ADPCM: 4}, 768_000
 #: The query's payload unit and ADPCM block size.
 UNIT = 192
 # Fixed values of IMA ADPCM: index changes by nibble magnitude, and step sizes.
@@ -63,7 +65,7 @@ _CHANGE, _NEXT = _adpcm_tables()
 
 def wav(kind: int, data: bytes, rate: int = 8000, block: int = 1, samples: int | None = None) -> bytes:
     """A mono WAVE file around encoded data."""
-    bits = {PCM: 16, ALAW: 8, MULAW: 8, ADPCM: 4}[kind]
+    bits = BITS[kind]
     block = 2 if kind == PCM else block
     per_block = 2 * (block - 4) + 1 if kind == ADPCM else 1
     samples = samples if samples is not None else len(data) // block * per_block
@@ -75,16 +77,20 @@ def wav(kind: int, data: bytes, rate: int = 8000, block: int = 1, samples: int |
 
 
 def parse_wav(media: bytes) -> tuple[int, int, int, bytes]:
-    """(format, rate, block size, data) of a WAVE file; ValueError if it isn't one."""
+    """(format, rate, block size, data) of a mono WAVE file in one of the four formats; ValueError if it isn't one."""
     if len(media) < 12 or media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAVE file")
     at, form = 12, None
     while at + 8 <= len(media):
         name, size = struct.unpack_from("<4sI", media, at)
         if name == b"fmt ":
-            kind, channels, rate, _, block, _ = struct.unpack_from("<HHIIHH", media, at + 8)
-            if channels != 1:
-                raise ValueError("only mono")
+            if size < 16 or at + 24 > len(media):
+                raise ValueError("a format chunk that is too short")
+            kind, channels, rate, _, block, bits = struct.unpack_from("<HHIIHH", media, at + 8)
+            if channels != 1 or bits != BITS.get(kind):
+                raise ValueError("only mono of the four formats")
+            if not 0 < rate <= MOST_RATE or (kind == ADPCM and block <= 4):
+                raise ValueError("a rate or block size that no file has")
             form = kind, rate, block
         elif name == b"data":
             if form is None or at + 8 + size > len(media):
@@ -141,89 +147,145 @@ def resample(pcm: np.ndarray, rate: int, target: int) -> np.ndarray:
 
 
 def to_pcm(media: bytes) -> tuple[int, np.ndarray]:
-    """(rate, int16 samples) of a WAVE file of any of the four formats."""
-    kind, rate, block, data = parse_wav(media)
-    raw = np.frombuffer(data, np.uint8)
-    if kind == MULAW:
-        return rate, MULAW_TABLE[raw]
-    if kind == ALAW:
-        return rate, ALAW_TABLE[raw]
-    if kind == ADPCM:
-        return rate, decode_adpcm(raw[: len(raw) // block * block], block).reshape(-1)
-    if kind == PCM:
-        return rate, np.frombuffer(data[: len(data) & ~1], "<i2")
-    raise ValueError(f"format {kind}")
+    """(rate, int16 samples) of a WAVE file of any of the four formats; ValueError if it isn't one."""
+    found = decode_many([media])[0]
+    if found is None:
+        raise ValueError("not a mono WAVE file in one of the four formats")
+    return found
+
+
+def decode_many(files: list[bytes | None]) -> list[tuple[int, np.ndarray] | None]:
+    """to_pcm() of each file, or None; files of one format and block size are decoded together."""
+    out: list[tuple[int, np.ndarray] | None] = [None] * len(files)
+    alike: dict[tuple[int, int], list[tuple[int, int, np.ndarray]]] = {}
+    for i, media in enumerate(files):
+        if media is None:
+            continue
+        try:
+            kind, rate, block, data = parse_wav(media)
+        except (ValueError, struct.error):
+            continue
+        unit = block if kind == ADPCM else 2 if kind == PCM else 1
+        alike.setdefault((kind, unit), []).append((i, rate, np.frombuffer(data, np.uint8)[: len(data) // unit * unit]))
+    for (kind, unit), found in alike.items():
+        flat = np.concatenate([x for _, _, x in found])
+        if kind == ADPCM:
+            pcm, per = decode_adpcm(flat, unit).reshape(-1), 2 * (unit - 4) + 1
+        elif kind == PCM:
+            pcm, per = flat.view("<i2").astype(np.int16), 1
+        else:
+            pcm, per = (MULAW_TABLE if kind == MULAW else ALAW_TABLE)[flat], 1
+        cuts = starts_of(np.fromiter((len(x) // unit * per for _, _, x in found), np.int64, len(found)))
+        for (i, rate, _), a, b in zip(found, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            out[i] = rate, pcm[a:b]
+    return out
+
+
+def resampled_files(decoded: list[tuple[int, np.ndarray] | None], target: int) -> list[bytes | None]:
+    """16-bit WAVE files at the target rate."""
+    return [None if x is None else wav(PCM, resample(x[1], x[0], target).astype("<i2").tobytes(), target) for x in decoded]
 
 
 def store_pcm(df: DataFrame, media: str = "media", target: int = 16000, out: str = "pcm") -> DataFrame:
     """df with a binary column `out`: the audio of `media` as a 16-bit WAVE file at the target rate.
 
-    Null or unreadable media give null. All columns stay; a column named `out` is replaced.
+    Null, empty, malformed or unreadable media give null; audio without samples gives
+    a file without samples. Files of any length are converted whole. All columns
+    stay; a column named `out` is replaced. Repeated rows repeat, an empty table
+    gives an empty result.
     """
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("binary")
     def convert(files):
-        def one(x):
-            if x is None:
-                return None
-            try:
-                rate, pcm = to_pcm(bytes(x))
-            except (ValueError, struct.error):
-                return None
-            return wav(PCM, resample(pcm, rate, target).astype("<i2").tobytes(), target)
+        import pandas as pd
 
-        return files.map(one)
+        return pd.Series(resampled_files(decode_many([None if x is None else bytes(x) for x in files]), target), files.index, object)
 
     return df.withColumn(out, convert(F.col(media)))
 
 
+#: Stored forms of a text: column, format and block size.
+FORMS = (("mulaw", MULAW, 1), ("alaw", ALAW, 1), ("adpcm", ADPCM, UNIT))
+
+
+def payload(raw: bytes) -> bytes:
+    """Filled with spaces to a positive multiple of UNIT bytes."""
+    return raw.ljust(max(UNIT, -(-len(raw) // UNIT) * UNIT), b" ")
+
+
+def telephony(docs: DataFrame, rate: int = 8000) -> DataFrame:
+    """doc_id and the WAVE files mulaw, alaw and adpcm that hold each text's payload: as samples, or as ADPCM blocks of UNIT bytes.
+
+    Columns doc_id and text are read, others left aside. Null and empty texts are a
+    payload of spaces; texts of any length are stored whole. Repeated rows repeat, an
+    empty table gives an empty result.
+    """
+    shape = pa.schema([("doc_id", pa.int64()), *((name, pa.binary()) for name, _, _ in FORMS)])
+
+    def step(batch: pa.RecordBatch) -> Iterator[dict]:
+        full = [payload(x or b"") for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        yield {"doc_id": batch.column("doc_id")} | {name: [wav(kind, x, rate, block) for x in full] for name, kind, block in FORMS}
+
+    return arrow_map(keyed(docs), shape, step).select(unkeyed(), *shape.names[1:])
+
+
 _MEDIA = pa.schema([
     ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
-    ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()),
+    ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("alaw_sha256", pa.string()), ("adpcm_sha256", pa.string()), ("pcm_bytes", pa.int64()), ("pcm_sha256", pa.string()),
 ])
 
 
+def _level(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> list[int]:
+    """Root mean square of each run of samples."""
+    return np.sqrt(np.add.reduceat(np.square(flat.astype(np.int64)), at) // n).astype(np.int64).tolist()
+
+
 def text_media(docs: DataFrame, rate: int = 8000, target: int = 16000) -> DataFrame:
-    """Texts as telephony audio: stored as mu-law samples, read back, decoded, measured.
+    """Texts as telephony audio: stored in each of the three forms, read back, decoded, resampled and measured.
 
     The payload is the UTF-8 text (null: empty) filled with spaces to a positive
-    multiple of 192 bytes. Read back, it is expanded as mu-law and as A-law, taken
-    as IMA ADPCM blocks of 192 bytes, and resampled; the feature string holds the
-    root mean squares, mu-law peak and zero crossings, and the resampled PCM's crc.
-    Repeated rows give repeated results, an empty table an empty one; other
-    columns are left aside.
+    multiple of 192 bytes. Each form is a file of its own (see telephony), which is
+    parsed and decoded by what its header says, and whose samples are stored again as
+    16-bit PCM at the target rate. media_* tell of the mu-law file and pcm_* of its
+    PCM file; the feature string holds the root mean square of each form, peak and
+    zero crossings of the mu-law samples, and the crc of each form's PCM file.
+    Repeated rows give repeated results, an empty table an empty one; other columns
+    are left aside, and texts of any length count whole.
     """
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         raw = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-        stored = [wav(MULAW, x.ljust(max(UNIT, -(-len(x) // UNIT) * UNIT), b" "), rate) for x in raw]
-        read = [parse_wav(x)[3] for x in stored]
-        sizes = np.fromiter(map(len, read), np.int64, len(read))
-        begin = starts_of(sizes)[:-1]
-        flat = np.frombuffer(b"".join(read), np.uint8)
-        mu, a = MULAW_TABLE[flat], ALAW_TABLE[flat]
-        blocks = decode_adpcm(flat, UNIT).astype(np.int64)
-
-        def level(x: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-            return np.sqrt(np.add.reduceat(np.square(x.astype(np.int64)), at) // n).astype(np.int64)
-
-        rms_mu, rms_a = level(mu, begin, sizes), level(a, begin, sizes)
-        rms_ad = np.sqrt(np.add.reduceat(np.square(blocks).sum(1), begin // UNIT) // (sizes // UNIT * blocks.shape[1])).astype(np.int64)
-        peak = np.maximum.reduceat(np.abs(mu.astype(np.int32)), begin)
-        cross = np.r_[False, (mu[1:] < 0) != (mu[:-1] < 0)]
-        cross[begin] = False
-        crossings = np.add.reduceat(cross.astype(np.int64), begin)
-        crc = [zlib.crc32(resample(mu[i : i + n], rate, target).astype("<i2").tobytes()) for i, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
+        full = [payload(x) for x in raw]
+        stored, levels, files = {}, [], {}
+        for name, kind, block in FORMS:
+            stored[name] = [wav(kind, x, rate, block) for x in full]
+            decoded = decode_many(stored[name])
+            sizes = np.fromiter((len(x) for _, x in decoded), np.int64, len(decoded))
+            begin, flat = starts_of(sizes)[:-1], np.concatenate([x for _, x in decoded])
+            levels.append(_level(flat, begin, sizes))
+            files[name] = resampled_files(decoded, target)
+            if kind == MULAW:
+                peak = np.maximum.reduceat(np.abs(flat.astype(np.int32)), begin).tolist()
+                cross = np.r_[False, (flat[1:] < 0) != (flat[:-1] < 0)]
+                cross[begin] = False
+                crossings = np.add.reduceat(cross.astype(np.int64), begin).tolist()
+        read = [parse_wav(x)[3] for x in stored["mulaw"]]
+        told = {name: [hashlib.sha256(x).hexdigest() for x in own] for name, own in stored.items()}
+        crc = [[zlib.crc32(x) for x in own] for own in files.values()]
         yield {
             "doc_id": batch.column("doc_id"),
             "n_bytes": [len(x) for x in raw],
-            "payload_bytes": sizes,
+            "payload_bytes": [len(x) for x in read],
             "payload_sha256": [hashlib.sha256(x).hexdigest() for x in read],
             "tail_crc32": [zlib.crc32(x[-16:]) for x in read],
-            "media_bytes": [len(x) for x in stored],
-            "media_sha256": [hashlib.sha256(x).hexdigest() for x in stored],
-            "feature": [f"mulaw={m};alaw={b};adpcm={d};peak={p};crossings={z};pcm{target}={c:08x}" for m, b, d, p, z, c in zip(rms_mu.tolist(), rms_a.tolist(), rms_ad.tolist(), peak.tolist(), crossings.tolist(), crc, strict=True)],
+            "media_bytes": [len(x) for x in stored["mulaw"]],
+            "media_sha256": told["mulaw"],
+            "feature": [f"mulaw={m};alaw={a};adpcm={d};peak={p};crossings={z};pcm{target}={x:08x},{y:08x},{w:08x}" for m, a, d, p, z, x, y, w in zip(*levels, peak, crossings, *crc, strict=True)],
+            "alaw_sha256": told["alaw"],
+            "adpcm_sha256": told["adpcm"],
+            "pcm_bytes": [len(x) for x in files["mulaw"]],
+            "pcm_sha256": [hashlib.sha256(x).hexdigest() for x in files["mulaw"]],
         }
 
     return arrow_map(keyed(docs), _MEDIA, step).select(unkeyed(), *_MEDIA.names[1:])

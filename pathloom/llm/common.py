@@ -1,13 +1,9 @@
-"""Shared plumbing: settled tables in the shared folder, Arrow mapping, word splitting."""
+"""Shared plumbing: keyed tables, Arrow mapping, word splitting; settled tables come from pathloom.storage."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.storage import delete, fresh_path, recorded, settle, shared_folder
+
 #: Stands for a null id while an operator runs: it sorts after every real id.
 NULL_ID = 2**63 - 1
 #: UTF-8 bytes of text that one vectorised step holds at a time.
@@ -31,7 +29,6 @@ _DDL = {
     pa.binary(): "binary",
     pa.bool_(): "boolean",
 }
-_settled: list[tuple[str, str]] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,51 +52,6 @@ def unkeyed(name: str = "doc_id"):
     return F.nullif(F.col(name), F.lit(NULL_ID).cast("bigint")).alias(name)
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set.
-
-    Unset on a local master (tests), a temporary folder is taken; unset on a
-    cluster, a folder under the warehouse.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.startswith("local"):
-            base = tempfile.mkdtemp(prefix="pathloom-")
-            atexit.register(shutil.rmtree, base, ignore_errors=True)
-            base = f"file://{base}"
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_pathloom"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    path = f"{work_dir(spark)}/pathloom-{label}-{uuid.uuid4().hex[:12]}"
-    _settled.append((spark.sparkContext.applicationId, path))
-    return path
-
-
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete what settle() wrote in this application; only when results that read it are stored elsewhere."""
-    mine = spark.sparkContext.applicationId
-    for app, path in [x for x in _settled if x[0] == mine]:
-        delete(spark, path)
-        _settled.remove((app, path))
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

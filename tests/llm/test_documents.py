@@ -184,6 +184,50 @@ def test_audio(docs, rows, empty):
     assert audio.text_media(empty).count() == 0
 
 
+def scalar_adpcm(data):
+    out = []
+    for block in [data[i : i + 192] for i in range(0, len(data), 192)]:
+        p, i = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+        out.append(p)
+        for b in block[4:]:
+            for n in (b & 15, b >> 4):
+                s = audio.STEPS[i]
+                d = (s >> 3) + (s if n & 4 else 0) + (s >> 1 if n & 2 else 0) + (s >> 2 if n & 1 else 0)
+                p = max(-32768, min(32767, p - d if n & 8 else p + d))
+                i = max(0, min(88, i + audio.INDEX_CHANGE[n & 7]))
+                out.append(p)
+    return out
+
+
+def test_audio_features_by_sample(spark):
+    """The feature string against loops over single samples, and the stored columns."""
+    texts = ["", "a", "Hello, telephone world! " * 9, "é" * 200, "\x00\x7f" * 300]
+    small = spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in audio.text_media(small).collect()}
+    kept = {r.doc_id: r for r in audio.store_pcm(audio.telephony(small), "adpcm").collect()}
+    for i, t in [*enumerate(texts), (9, "")]:
+        full = t.encode().ljust(max(192, -(-len(t.encode()) // 192) * 192))
+        forms = [[int(audio.MULAW_TABLE[b]) for b in full], [int(audio.ALAW_TABLE[b]) for b in full], scalar_adpcm(full)]
+        rms = [int(np.sqrt(sum(x * x for x in f) // len(f))) for f in forms]
+        mu = forms[0]
+        files = [audio.wav(audio.PCM, audio.resample(np.asarray(f, np.int16), 8000, 16000).astype("<i2").tobytes(), 16000) for f in forms]
+        want = f"mulaw={rms[0]};alaw={rms[1]};adpcm={rms[2]};peak={max(map(abs, mu))};crossings={sum((a < 0) != (b < 0) for a, b in zip(mu, mu[1:]))};pcm16000=" + ",".join(f"{zlib.crc32(f):08x}" for f in files)
+        assert got[i].feature == want and got[i].pcm_sha256 == hashlib.sha256(files[0]).hexdigest()
+        assert bytes(kept[i].pcm) == files[2] and audio.parse_wav(bytes(kept[i].alaw))[::3] == (audio.ALAW, full)
+        assert got[i].adpcm_sha256 == hashlib.sha256(bytes(kept[i].adpcm)).hexdigest()
+
+
+def test_malformed_media_give_null(spark):
+    ok = audio.wav(audio.ADPCM, bytes(384), block=192)
+    at = ok.index(b"fmt ") + 8
+    edit = lambda where, size, value: ok[: at + where] + value.to_bytes(size, "little") + ok[at + where + size :]
+    bad = [edit(12, 2, 0), edit(12, 2, 2), edit(12, 2, 4), edit(4, 4, 0), edit(4, 4, 2**32 - 1), edit(2, 2, 2), edit(0, 2, 99), edit(14, 2, 7), ok[:30], ok[:-100], b"", b"RIFF", b"RIFF\0\0\0\0WAVEfmt \2\0\0\0\1\0", None]
+    rows = audio.store_pcm(spark.createDataFrame([(i, f, "x") for i, f in enumerate([ok, *bad, audio.wav(audio.MULAW, b"")])], "id int, media binary, pcm string")).orderBy("id").collect()
+    assert rows[0].pcm is not None and [r.pcm for r in rows[1:-1]] == [None] * len(bad)
+    assert len(audio.to_pcm(bytes(rows[-1].pcm))[1]) == 0
+    assert audio.store_pcm(spark.createDataFrame([], "media binary, id int")).columns == ["media", "id", "pcm"] and audio.store_pcm(spark.createDataFrame([], "media binary")).count() == 0
+
+
 def test_companding_tables():
     assert audio.MULAW_TABLE[[0x00, 0x7F, 0x80, 0xFF]].tolist() == [-32124, 0, 32124, 0]
     assert audio.ALAW_TABLE[[0xD5, 0x55, 0xAA, 0x2A]].tolist() == [8, -8, 32256, -32256]
