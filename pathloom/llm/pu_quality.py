@@ -7,6 +7,11 @@ the class prior, is estimated first: a plain classifier of positives against
 unlabelled text ranks both, and the prior is the smallest ratio of the upper
 tails of unlabelled and positive scores, with a bound for their chance.
 
+A text's features are shares of marks, lines and repeats, and its words: how much
+commoner its hashed words are among the trusted positives than in the whole corpus,
+which one pass counts. A trusted positive is measured without its own counts, as a
+text that the classifier has not seen.
+
 All unlabelled text counts: its features are dealt over tasks of one barrier
 stage, which add up their gradients and tails in each round and keep equal
 networks.
@@ -23,11 +28,12 @@ from multiprocessing.connection import Client, Connection, Listener
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import BarrierTaskContext, SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import arrow_map, keyed, learn_rows, light, settle, text_slices
+from pathloom.llm.common import arrow_map, coded_words, keyed, learn_rows, light, settle, text_slices, word_hashes
 from pathloom.llm.weak_rules import measure
 
 #: Trusted positives that the fit takes, chosen by hash of their id: its documented bound. Unlabelled text has none.
@@ -37,17 +43,56 @@ CHUNK = 8192
 HIDDEN, ROUNDS, RATE = 12, 600, 0.02
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.7
-FEATURES = ("symbols", "dup_lines", "repeats", "capitals", "exclaims", "sentences", "word_length", "log_words", "log_lines")
+FEATURES = ("symbols", "dup_lines", "repeats", "capitals", "exclaims", "sentences", "word_length", "log_words", "log_lines", "word_evidence", "unlike_words")
+#: Buckets of hashed words, as a power of two, and deviations from which a word's count tells something.
+BITS, CHANCE = 16, 4
+
+
+@dataclass
+class Evidence:
+    """Documents that hold a word of each bucket: trusted positives, and all."""
+
+    positive: np.ndarray
+    every: np.ndarray
+    positives: int
+    documents: int
 
 
-def features(texts: pa.Array) -> np.ndarray:
-    """One row of FEATURES for each whole text; a null has no words."""
-    m = {k: v.astype(float) for k, v in measure(texts).items()}
+def buckets(words: tuple[np.ndarray, np.ndarray, pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, bucket) of the distinct words of each document, lower case."""
+    codes, counts, vocab = words
+    own = (word_hashes(pc.utf8_lower(vocab)) >> np.uint64(64 - BITS)).astype(np.int64)
+    key = np.unique(np.repeat(np.arange(len(counts)), counts) << BITS | own[codes])
+    return key >> BITS, key & (1 << BITS) - 1
+
+
+def word_features(words: tuple[np.ndarray, np.ndarray, pa.Array], evidence: Evidence, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Mean log ratio of a text's words among positives to what the corpus lets expect, and the share of words that are far rarer there.
+
+    A word whose count chance explains (CHANCE deviations) tells nothing, so that rare
+    words add no noise. own: which texts are trusted positives themselves; their own
+    counts are left out.
+    """
+    n = len(words[1])
+    doc, bucket = buckets(words)
+    less = np.zeros(n, np.int64) if own is None else own.astype(np.int64)
+    seen = evidence.positive[bucket] - less[doc]
+    hoped = (evidence.positives - less[doc]) * (evidence.every[bucket] + 1) / (evidence.documents + 2)
+    ratio = np.where(np.abs(seen - hoped) > CHANCE * np.sqrt(hoped + 1), np.log((seen + 1) / (hoped + 1)), 0)
+    sizes = np.maximum(np.bincount(doc, minlength=n), 1)
+    return np.clip(np.bincount(doc, ratio, minlength=n) / sizes, -3, 3), np.bincount(doc, ratio < -1, minlength=n) / sizes
+
+
+def features(texts: pa.Array, evidence: Evidence | None = None, own: np.ndarray | None = None) -> np.ndarray:
+    """One row of FEATURES for each whole text; a null has no words, and without evidence words tell nothing."""
+    words = coded_words(texts)
+    m = {k: v.astype(float) for k, v in measure(texts, words).items()}
     n = np.maximum(m["n_words"], 1)
     lines = np.maximum(m["n_lines"], 1)
+    told = (np.zeros(len(n)), np.zeros(len(n))) if evidence is None else word_features(words, evidence, own)
     return np.stack([
         np.minimum(m["n_symbols"] / n, 2), m["n_dup_lines"] / lines, m["n_repeat_words"] / n, m["n_capitals"] / n, m["n_exclaims"] / n,
-        np.minimum(m["n_stops"] / n, 0.5), np.minimum(m["word_chars"] / n, 20) / 10, np.log1p(m["n_words"]) / 10, np.log1p(m["n_lines"]) / 10,
+        np.minimum(m["n_stops"] / n, 0.5), np.minimum(m["word_chars"] / n, 20) / 10, np.log1p(m["n_words"]) / 10, np.log1p(m["n_lines"]) / 10, *told,
     ], axis=1)
 
 
@@ -62,12 +107,13 @@ class Network:
     w2: np.ndarray
     b2: np.ndarray
     prior: float
+    evidence: Evidence | None = None
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2[0]
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        return _sigmoid(self.logits(features(texts)))
+        return _sigmoid(self.logits(features(texts, self.evidence)))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -85,7 +131,7 @@ Total = Callable[[np.ndarray], np.ndarray]
 
 def _moments(parts: list[np.ndarray], total: Total) -> tuple[np.ndarray, np.ndarray]:
     """Mean and scale over the parts of all tasks."""
-    width = len(FEATURES)
+    width = parts[0].shape[1]
     got = total(np.r_[sum(len(p) for p in parts), sum((p.sum(0) for p in parts), np.zeros(width))])
     mean = got[1:] / got[0]
     return mean, np.sqrt(total(sum((((p - mean) ** 2).sum(0) for p in parts), np.zeros(width))) / got[0]) + 1e-3
@@ -164,6 +210,22 @@ def _keep_all() -> Network:
     return net
 
 
+def risk_slopes(prior: float, positives: float, unlabelled: float):
+    """The functions of _descend() for the non-negative risk: prior * R(positive as 1) + max(0, R(unlabelled as 0) - prior * R(positive as 0))."""
+
+    def slopes(own: bool, z: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        s = _sigmoid(z)
+        return [s, np.ones_like(s)] if own else [s], np.logaddexp(0, z)  # logistic loss as a negative
+
+    def mix(sums: np.ndarray) -> np.ndarray:
+        own, other = sums[1, 0] * prior / positives, sums[0, 0] / unlabelled
+        if other[-1] - own[-1] >= 0:
+            return (other - sums[1, 1] * prior / positives)[:-1]
+        return (own - other)[:-1]  # the negatives' risk is over-fitted: climb back
+
+    return slopes, mix
+
+
 def train(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], total: Total = lambda x: x, gather: Total = lambda x: x, rounds: int = ROUNDS) -> Network:
     """The network of least non-negative risk; without rows of either kind it keeps every text.
 
@@ -175,16 +237,7 @@ def train(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray,
     seen = _unseen_scores(positive, unlabelled, total, rounds // 4)
     prior = class_prior(*seen, total=total, every=gather(seen[0]))
 
-    def slopes(own: bool, z: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        s = _sigmoid(z)
-        return [s, np.ones_like(s)] if own else [s], np.logaddexp(0, z)  # logistic loss as a negative
-
-    def mix(sums: np.ndarray) -> np.ndarray:
-        own, other = sums[1, 0] * prior / np_, sums[0, 0] / nu
-        if other[-1] - own[-1] >= 0:
-            return (other - sums[1, 1] * prior / np_)[:-1]
-        return (own - other)[:-1]  # the negatives' risk is over-fitted: climb back
-
+    slopes, mix = risk_slopes(prior, np_, nu)
     net = _descend(_start(*_moments([positive[0], unlabelled[0]], total)), positive[0], unlabelled[0], slopes, mix, total, rounds)
     net.prior = prior
     return net
@@ -228,16 +281,50 @@ def _exchange(task: BarrierTaskContext, secret: bytes) -> Callable[..., np.ndarr
     return every
 
 
-def fit(docs: DataFrame, labelled: DataFrame) -> Network:
-    """Trusted positives are rows labelled 1 outside the held-out fold; unlabelled are all rows of docs without a label."""
+def gather_evidence(docs: DataFrame, trusted: list[int]) -> Evidence:
+    """Document counts of word buckets over all of docs (keyed), and over rows of the trusted ids."""
+    ids = np.asarray(trusted, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        light()
+        seen, rows = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            for part in text_slices(batch):
+                own = np.isin(part.column("doc_id").to_numpy(), ids)
+                doc, bucket = buckets(coded_words(part.column("text")))
+                seen[0] += np.bincount(bucket[own[doc]], minlength=1 << BITS)
+                seen[1] += np.bincount(bucket, minlength=1 << BITS)
+                rows += [own.sum(), len(own)]
+        some = np.flatnonzero(seen[1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), *(pa.array(np.r_[rows[i], seen[i][some]]) for i in (0, 1))], ["bucket", "p", "n"])
+
+    got = docs.mapInArrow(run, "bucket bigint, p bigint, n bigint").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).toArrow()  # a row for each bucket
+    at, p, n = (got.column(c).to_numpy() for c in ("bucket", "p", "n"))
+    counts = np.zeros((2, (1 << BITS) + 1))
+    counts[0, at], counts[1, at] = p, n  # bucket -1, the last place, has the rows
+    return Evidence(counts[0, :-1], counts[1, :-1], int(counts[0, -1]), int(counts[1, -1]))
+
+
+def fit(docs: DataFrame, labelled: DataFrame, sample: int | None = None) -> Network:
+    """Trusted positives are rows labelled 1 outside the held-out fold; unlabelled are all rows of docs without a label.
+
+    At most `sample` (SAMPLE) trusted positives are taken, by hash of their id. Null
+    ids are unlabelled; repeated rows count each; labels of no document, and labels 0,
+    only keep their rows out of the unlabelled ones. Without rows of either kind, as
+    in an empty table, the network keeps every text.
+    """
     spark = docs.sparkSession
-    trusted = learn_rows(labelled, "quality", FOLDS, HELD).where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select(F.col("doc_id").alias("m"))
+    trusted = learn_rows(labelled, "quality", FOLDS, HELD).where("y = 1 and doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample or SAMPLE).select(F.col("doc_id").alias("m"))
+    ids = sorted(r.m for r in trusted.collect())
     marked = labelled.select(F.col("doc_id").alias("m")).where("m is not null").distinct()
     shape = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
+    evidence = gather_evidence(keyed(docs), ids)
+    shared, known = spark.sparkContext.broadcast(evidence), np.asarray(ids, np.int64)  # two numbers a bucket
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        yield {"doc_id": batch.column("doc_id"), "x": list(features(batch.column("text")))}
+        yield {"doc_id": batch.column("doc_id"), "x": list(features(batch.column("text"), shared.value, np.isin(batch.column("doc_id").to_numpy(), known)))}
 
+    trusted = spark.createDataFrame([(i,) for i in ids], "m bigint")
     marks = marked.join(trusted.withColumn("y", F.lit(1)), "m", "left").select("m", F.coalesce("y", F.lit(-1)).alias("y"))
     measured = settle(arrow_map(keyed(docs), shape, step), "features")
     rows = measured.join(marks, F.col("doc_id") == F.col("m"), "left").select(F.coalesce("y", F.lit(0)).alias("y"), (F.xxhash64("doc_id") % 2 == 0).alias("half"), "x").where("y >= 0")
@@ -262,7 +349,9 @@ def fit(docs: DataFrame, labelled: DataFrame) -> Network:
 
     # Tasks without rows must take part in the rounds too, which only RDDs see to.
     found = rows.repartition(_slots(spark.sparkContext)).mapInArrow(pack, "rows binary").rdd.barrier().mapPartitions(run).collect()  # one network
-    return pickle.loads(found[0]) if found else _keep_all()  # an empty plan has no tasks
+    net = pickle.loads(found[0]) if found else _keep_all()  # an empty plan has no tasks
+    net.evidence = evidence
+    return net
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -272,22 +361,29 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id and score of every document.
 
     Columns doc_id and text are read. Null and empty texts are scored as texts
-    without words; repeated rows repeat; an empty table gives an empty result.
+    without words; texts of any length count whole; repeated rows repeat; an empty
+    table gives an empty result.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(net)  # numbers of a network, and two of each bucket
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        yield {"doc_id": batch.column("doc_id"), "score": net.score(batch.column("text"))}
+        yield {"doc_id": batch.column("doc_id"), "score": shared.value.score(batch.column("text"))}
 
     return arrow_map(keyed(docs), _SCORED, step)
 
 
 def with_quality(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of docs that score the threshold or more; all columns stay as they are."""
+    """Rows of docs that score the threshold or more; all columns stay as they are.
+
+    Null ids, repeated rows and null, empty or very long texts are judged as scored()
+    does; an empty table gives an empty result. The text is read from column `text`.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         light()
         for batch in batches:
             for part in text_slices(batch):
-                yield part.filter(pa.array(net.score(part.column("text")) >= threshold))
+                yield part.filter(pa.array(shared.value.score(part.column("text")) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -58,9 +58,9 @@ def line_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lines, lines - np.bincount(key // max(1, len(vocab)), minlength=len(counts))
 
 
-def measure(texts: pa.Array) -> dict[str, np.ndarray]:
-    """The counts of each whole text; a null has no words."""
-    codes, counts, vocab = coded_words(texts)
+def measure(texts: pa.Array, words: tuple[np.ndarray, np.ndarray, pa.Array] | None = None) -> dict[str, np.ndarray]:
+    """The counts of each whole text; a null has no words. words: coded_words(texts), where it is at hand."""
+    codes, counts, vocab = words or coded_words(texts)
     doc = np.repeat(np.arange(len(counts)), counts)
 
     def total(values) -> np.ndarray:
@@ -145,7 +145,8 @@ def judged(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, counts, base_failed, posterior and kept of every document.
 
     Null and empty texts have no words: they fail the base rules. Repeated rows
-    are judged each; other columns are left aside.
+    are judged each; null ids stay null, texts of any length count whole, an empty
+    table gives an empty result; other columns are left aside.
     """
     rows = settle(measured(docs).select("*", *(v.cast("int").alias(f"v_{k}") for k, v in votes().items())), "rules")
     code = sum(((F.col(f"v_{k}") + 1) * 3**i for i, k in enumerate(RULES)), F.lit(0)).cast("int")
