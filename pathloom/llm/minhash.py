@@ -40,7 +40,7 @@ FINE_SAMPLES, FINE_BITS, FINE_FAR = 2048, 4096, 815
 #: Members of a bucket from which it gets a second round of hubs, and hubs of that round.
 LARGE, PARTNERS = 1000, 8
 #: Members of a block (of smaller components, of all), and bytes that a task groups at once.
-MINOR_BLOCK, BLOCK, GROUP_BYTES = 256, 4096, 16_000_000
+MINOR_BLOCK, BLOCK, GROUP_BYTES = 256, 1024, 16_000_000
 #: Links that one task may unite; more are contracted over the cluster first.
 LOCAL_LINKS = 200_000
 _SIGN = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), ("bands", pa.list_(pa.int64())), *((f"s{i}", pa.int64()) for i in range(4))])

@@ -5,9 +5,10 @@ A window is 50 consecutive words. Its minimiser is the smallest hash of its
 minimiser form a super-k-mer and travel as one packed string. Only super-k-mers
 whose minimiser occurs in several documents leave their document. Equal strings
 collapse before the shuffle; each bucket of minimisers sorts its windows by their
-words, and every window learns the smallest doc_id that it starts in. A
-minimiser with very many different strings is dealt out again by window digest.
-Texts come back to their windows by string id, not by window.
+words, and every window learns the smallest doc_id that it starts in. Strings of a
+minimiser with very many windows are partitioned again by minimisers of another
+order, and these buckets are sorted alike. Texts come back to their windows by
+string id, not by window.
 """
 
 from __future__ import annotations
@@ -25,17 +26,17 @@ from pyspark.sql import functions as F
 from pathloom.llm.common import arrow_map, coded_words, ddl, keyed, light, partitions, settle, starts_of, text_slices, tokens_of, unkeyed, word_hashes
 
 WINDOW, GRAM = 50, 16
-#: Windows that a super-k-mer spans at most, and that one bucket sorts at once (more of one minimiser are dealt out by digest).
-SPAN, BUCKET = 256, 40_000
+#: Windows that a super-k-mer spans at most, and that one bucket sorts at once (more of one minimiser are partitioned again).
+SPAN, BUCKET = 256, 10_000
 _MINI = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("mini", pa.int64())])
 _KMER = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("pos", pa.int64()), ("n", pa.int64()), ("mini", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("packed", pa.binary())])
-_VERDICT = pa.schema([("s0", pa.int64()), ("s1", pa.int64()), ("mins", pa.list_(pa.int64()))])
-_WINDOWS = pa.schema([("w0", pa.int64()), ("w1", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("at", pa.int64()), ("low", pa.int64())])
+_VERDICT = pa.schema([("s0", pa.int64()), ("s1", pa.int64()), ("at", pa.int64()), ("mins", pa.list_(pa.int64()))])
+_STRING = pa.schema([("s0", pa.int64()), ("s1", pa.int64()), ("at", pa.int64()), ("mini", pa.int64()), ("packed", pa.binary()), ("low", pa.int64())])
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def super_kmers(texts: pa.Array, window: int = WINDOW, gram: int = GRAM, span: int = SPAN) -> tuple[np.ndarray, ...]:
-    """(text, first word, windows, minimiser) of each super-k-mer of each text."""
+def super_kmers(texts: pa.Array, window: int = WINDOW, gram: int = GRAM, span: int = SPAN, order: int = 0) -> tuple[np.ndarray, ...]:
+    """(text, first word, windows, minimiser) of each super-k-mer of each text; each order of grams has minimisers of its own."""
     codes, counts, vocab = coded_words(texts)
     if len(codes) < window:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
@@ -46,7 +47,7 @@ def super_kmers(texts: pa.Array, window: int = WINDOW, gram: int = GRAM, span: i
         step = min(width, gram - width)
         grams = (grams[: len(grams) - step] ^ (grams[: len(grams) - step] >> np.uint64(29))) * odd + grams[step:]
         width += step
-    low = grams ^ (grams >> np.uint64(32))
+    low = grams ^ (grams >> np.uint64(32)) ^ np.uint64(order * 0xD6E8FEB86659FD93 % 2**64)
     low = low * odd
     reach, width = window - gram + 1, 1
     while width < reach:  # sliding minimum by doubling
@@ -140,25 +141,28 @@ def covered(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
         mins = np.empty(len(order), np.int64)
         mins[order] = least[group]
         lists = pa.ListArray.from_arrays(pa.array(starts_of(n), pa.int32()), pa.array(mins))
-        return pa.table([table.column("s0"), table.column("s1"), lists], schema=_VERDICT)
-
-    def digests(batch: pa.RecordBatch) -> Iterator[dict]:
-        ids, own, at = [], [], []
-        for i, text in enumerate(batch.column("packed").to_pylist()):
-            words = text.split(b" ")
-            for k in range(len(words) - window + 1):
-                ids.append(xxhash.xxh3_128_digest(b" ".join(words[k : k + window])))
-                own.append(i)
-                at.append(k)
-        two = np.frombuffer(b"".join(ids), np.int64).reshape(-1, 2)
-        yield {"w0": two[:, 0], "w1": two[:, 1], "at": at} | {x: batch.column(x).take(pa.array(own, pa.int64())) for x in ("s0", "s1", "low")}
-
-    plain = strings.join(hot, "mini", "left_anti").select("s0", "s1", "packed", "low", "mini")
-    sorted_ = plain.groupBy(F.pmod("mini", F.lit(buckets)).alias("bucket")).applyInArrow(sort_windows, ddl(_VERDICT))
-    dealt = settle(arrow_map(strings.join(hot, "mini").select("s0", "s1", "packed", "low"), _WINDOWS, digests, "packed"), "windows")
-    least = settle(dealt.groupBy("w0", "w1").agg(F.min("low").alias("least")), "least")
-    again = dealt.join(least, ["w0", "w1"]).groupBy("s0", "s1").agg(F.sort_array(F.collect_list(F.struct("at", "least"))).alias("x")).select("s0", "s1", F.col("x.least").alias("mins"))
-    verdicts = settle(sorted_.union(again).join(strings.select("s0", "s1", "high"), ["s0", "s1"]).where(F.array_min("mins") < F.col("high")).drop("high"), "verdicts")
+        return pa.table([table.column("s0"), table.column("s1"), table.column("at"), lists], schema=_VERDICT)
+
+    def again(batch: pa.RecordBatch) -> Iterator[dict]:
+        """Parts of strings by minimisers of another order, of which equal windows have the same."""
+        texts = batch.column("packed")
+        own, pos, n, mini = super_kmers(texts.cast(pa.string()), window, gram, order=1)
+        words, last, packed = [], -1, []
+        for d, p, k in zip(own.tolist(), pos.tolist(), n.tolist(), strict=True):
+            if d != last:
+                last, words = d, texts[d].as_py().split(b" ")
+            packed.append(b" ".join(words[p : p + k + window - 1]))
+        at = pa.array(own)
+        yield {x: batch.column(x).take(at) for x in ("s0", "s1", "low")} | {"at": pos, "mini": mini ^ batch.column("mini").to_numpy()[own], "packed": packed}
+
+    def sorted_(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.pmod(F.xxhash64("mini"), F.lit(buckets)).alias("bucket")).applyInArrow(sort_windows, ddl(_VERDICT))
+
+    given = strings.select("s0", "s1", F.lit(0).cast("bigint").alias("at"), "mini", "packed", "low")
+    plain = sorted_(given.join(hot, "mini", "left_anti")).select("s0", "s1", "mins")
+    parts = sorted_(settle(arrow_map(given.join(hot, "mini"), _STRING, again, "packed"), "parts"))
+    whole = parts.groupBy("s0", "s1").agg(F.sort_array(F.collect_list(F.struct("at", "mins"))).alias("x")).select("s0", "s1", F.flatten("x.mins").alias("mins"))
+    verdicts = settle(plain.union(whole).join(strings.select("s0", "s1", "high"), ["s0", "s1"]).where(F.array_min("mins") < F.col("high")).drop("high"), "verdicts")
     hits = kmers.select("doc_id", "rk", "pos", "s0", "s1").join(verdicts, ["s0", "s1"])
     at = F.filter(F.transform("mins", lambda x, i: F.when(x < F.col("doc_id"), F.col("pos") + i)), lambda x: x.isNotNull())
     return hits.select("doc_id", "rk", at.alias("at")).where(F.size("at") > 0).groupBy("doc_id", "rk").agg(F.flatten(F.collect_list("at")).alias("windows"))
@@ -180,9 +184,10 @@ def _windows_at(batch: pa.RecordBatch, i: int) -> np.ndarray | None:
 def removal_digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the kept words of every document.
 
-    Columns doc_id and text are read. Null and empty texts have no words. Rows of
-    one doc_id never remove each other's words; null ids sort last, so every other
-    document wins over them. Repeated rows repeat in the result.
+    Columns doc_id and text are read, others left aside. Null and empty texts have no
+    words; texts of any length count whole. Rows of one doc_id never remove each
+    other's words; null ids sort last, so every other document wins over them.
+    Repeated rows repeat in the result; an empty table gives an empty one.
     """
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -204,7 +209,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     """docs with repeated passages cut out of `text`; all columns, in their order and types.
 
     A text that loses nothing stays as it is; of others the kept words are joined
-    by one space, and a column n_chars, where there is one, follows.
+    by one space, and a column n_chars, where there is one, follows. Null and empty
+    texts stay; null ids sort last; rows of one id never cut each other; repeated
+    rows repeat; an empty table gives an empty result.
     """
     names, schema = docs.columns, docs.schema
 
