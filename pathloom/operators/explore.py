@@ -113,7 +113,7 @@ def neighbourhood(graph: Graph, center: str, hops: int = 2, max_nodes: int = 50,
         have = {x for x, _ in seen}
         seen += [(x, hops + 1) for x in dict.fromkeys(pinned) if x not in have]
         pins = spark.createDataFrame([(x,) for x in pinned], "f string")
-        more = edges.join(F.broadcast(pins), (F.col("source_id") == F.col("f")) | (F.col("dest_id") == F.col("f")), "left_semi")
+        more = edges.join(F.broadcast(pins), F.col("source_id") == F.col("f"), "left_semi").unionByName(edges.join(F.broadcast(pins), F.col("dest_id") == F.col("f"), "left_semi"))
         more = more.withColumn("id", F.col("dest_id")).withColumn("hop", F.lit(hops + 1))
         met = more if met is None else met.unionByName(more)
     nodes = F.broadcast(spark.createDataFrame(seen, "id string, hop int"))

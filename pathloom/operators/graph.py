@@ -50,11 +50,12 @@ def merged_metadata(rows: DataFrame, policy: str = FIRST) -> DataFrame:
     return keys.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("metadata"))
 
 
-def ingest(graph: Graph, triples: DataFrame, dataset_id: str | None = None, policy: str = FIRST) -> tuple[Graph, DataFrame]:
+def ingest(graph: Graph, triples: DataFrame, dataset_id: str | None = None, policy: str = FIRST, renumber: bool = True) -> tuple[Graph, DataFrame]:
     """(graph with the triples, one row new_entities, new_relations).
 
     An id keeps the type and dataset it was first seen with; later occurrences only
-    merge metadata. Every triple is a new relation: parallel ones are kept.
+    merge metadata. Every triple is a new relation: parallel ones are kept, numbered
+    after those that are there (renumber) or as the triples are.
     """
     found = _occurrences(triples)
     old = graph.entities.select("id", F.lit(-1).cast("bigint").alias("at"), "entity_type", "metadata", "dataset_id")
@@ -65,7 +66,7 @@ def ingest(graph: Graph, triples: DataFrame, dataset_id: str | None = None, poli
     full = base.join(merged_metadata(rows.select("id", "at", "metadata"), policy), "id", "left").join(scores, "id", "left")
     zero = {x: F.coalesce(x, F.lit(0.0)) for x in ("score", "degree_score", "betweenness", "pagerank_score")}
     entities = full.select("id", "f.entity_type", *(c.alias(x) for x, c in zero.items()), F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"), "f.dataset_id")
-    start = F.lit(0) if graph.relations.isEmpty() else graph.relations.agg(F.max("seq") + 1).first()[0]
+    start = F.lit(0) if not renumber or graph.relations.isEmpty() else graph.relations.agg(F.max("seq") + 1).first()[0]
     added = triples.select(F.col("src_id").alias("source_id"), F.col("dst_id").alias("dest_id"), "rel_type", "timestamp", F.col("rel_meta").alias("metadata"), F.lit(dataset_id).cast("string").alias("dataset_id"), (F.col("seq") + start).alias("seq"))
     counts = base.agg(F.count_if(F.col("first_at") >= 0).alias("new_entities")).crossJoin(triples.agg(F.count("*").alias("new_relations")))
     return Graph(entities, graph.relations.unionByName(added)), counts

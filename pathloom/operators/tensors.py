@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pathloom.operators.anomaly import threat_of_logits
 from pathloom.operators.explore import degrees
@@ -33,11 +34,12 @@ def around(graph: Graph, centers: DataFrame, hops: int = 2, limit: int = NODES)
     for _ in range(hops):
         met = frontier.join(both, F.col("id") == F.col("a")).groupBy("center", "b").agg(F.min(F.struct("place", "o")).alias("o"))
         fresh = met.join(seen.select("center", F.col("id").alias("b")), ["center", "b"], "left_anti")
-        # One array a center, of which at most `limit` nodes stay.
-        ranked = fresh.groupBy("center").agg(F.array_sort(F.collect_list(F.struct("o", "b"))).alias("x"))
+        # The first `limit` of a center: each task keeps no more before they meet.
+        first = Window.partitionBy("center").orderBy("o", "b")
+        ranked = fresh.withColumn("i", F.row_number().over(first)).where(F.col("i") <= limit)
         have = seen.groupBy("center").agg(F.count("*").cast("int").alias("n"))
-        ranked = ranked.join(have, "center").where(F.col("n") < limit).select("center", "n", F.posexplode(F.slice("x", F.lit(1), F.lit(limit) - F.col("n"))).alias("i", "e"))
-        frontier = ranked.select("center", F.col("e.b").alias("id"), (F.col("n") + F.col("i")).alias("place"))
+        place = F.col("n") + F.col("i") - 1
+        frontier = ranked.join(have, "center").where(place < limit).select("center", F.col("b").alias("id"), place.alias("place"))
         seen = seen.unionByName(frontier)
     return seen
 

@@ -130,12 +130,21 @@ def parse(text: str, name: str = "pattern", strict: bool = False) -> Hypothesis:
 
 
 def find_pattern(text: str) -> str | None:
-    """The first line of free text that holds a pattern, with Unicode arrows and dashes made plain."""
+    """The first line of free text that holds a pattern that parses, made plain.
+
+    Unicode arrows and dashes, zero-width characters, escaped underscores and code
+    marks go; a line that looks like a pattern but is none is passed over.
+    """
     for line in text.splitlines():
+        line = re.sub(r"[\u200b-\u200d\u2060\ufeff]", "", line).replace("\\_", "_")
         line = re.sub(r"[→⟶]", "->", re.sub(r"[–—−]", "-", line)).strip().strip("`").strip()
         line = re.sub(r"\]\s*-?-?>", "]->", re.sub(r"-+\s*\[", "-[", line))
         found = re.search(r"(\*|[A-Za-z_]\w*)(\s*-\[\s*[\w*]+\s*\]->\s*(\*|[A-Za-z_]\w*))+(\s*\{\s*k\s*=\s*\d+\s*\})?", line)
         if found:
+            try:
+                parse(found[0])
+            except (InvalidHypothesis, ValueError):
+                continue
             return found[0]
     return None
 

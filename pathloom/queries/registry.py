@@ -20,12 +20,13 @@ from pathloom.queries import rules
 from pathloom.queries.graphs import EVENT_SQL, ORDER_SQL, event_graph, order_graph, seconds, table
 from pathloom.schema import ANY
 from pathloom.sources import cloud_triples, csv, generic_triples, mixed_lines, ndjson, read_logs, records_of, triples_of, windows_triples
-from pathloom.sources.preview import profile
+from pathloom.sources.preview import profile, proposed_mapping
+from pathloom.sources.provenance import cdm, streamspot, threat_labels
 from pathloom.sources.records import spread
 from pathloom.sources.siem import elastic_records, log_analytics_records
 from pathloom.sources.triples import SLOTS
 from pathloom.storage import shared_folder
-from pathloom.streaming.ingest import GraphSink, stream_logs
+from pathloom.streaming.ingest import GraphSink, stream_logs, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -532,7 +533,7 @@ def parse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", event_log_seconds(spaced).alias("windows"), generic_seconds(offset).alias("generic"), event_log_seconds(F.col("event_type")).alias("broken"))
 
 
-@query()
+@query("SELECT 'Process' AS entity_type, count(DISTINCT event_type) AS n FROM b UNION ALL SELECT 'User', count(DISTINCT user_id) FROM b", _B)
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as JSON lines in files, folded in by a stream; the result is the graph's entity types."""
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
@@ -650,3 +651,180 @@ def parse_search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies of a search service, a hit each."""
     text = F.format_string('{"hits":{"hits":[{"_id":"%s","_source":{"@timestamp":"%s","SourceIP":"10.0.0.%s","DestinationIP":"10.1.0.%s"},"sort":[1]}]}}', "event_id", F.expr(_ZULU), "k", "user_id")
     return cloud_triples(elastic_records(_rendered(_events(spark, sf_dir), text))).select(*_TRIPLE)
+
+
+_FIRST_500 = "SELECT 'u' || user_id AS src_id, 'User' AS src_type, 'Execute' AS rel_type, event_type AS dst_id, 'Process' AS dst_type, t AS \"timestamp\" FROM (SELECT * FROM b ORDER BY event_id LIMIT 500)"
+
+
+@query(_FIRST_500, _B)
+def parse_first_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A preview: the first records of a source only."""
+    text = F.to_json(F.struct(F.concat(F.lit("u"), "user_id").alias("user"), F.col("event_type").alias("process"), F.col("t").alias("time")))
+    records = records_of(_rendered(_events(spark, sf_dir), text), "generic")
+    return triples_of(records.orderBy("rec").limit(500), "generic").select(*_TRIPLE)
+
+
+@query("SELECT * FROM (VALUES ('SrcIP', 'IP'), ('user', 'User'), ('DestinationPort', 'Skip'), ('colour', 'Skip'), ('QueryName', 'Domain'), ('@timestamp', 'Skip')) AS v(field, entity_type)")
+def mapping_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proposed_mapping(spark, "generic", ["SrcIP", "user", "DestinationPort", "colour", "QueryName", "@timestamp"])
+
+
+@query("SELECT rel_type, count(*) AS n, min(\"timestamp\") AS \"first\", sum(seq)::HUGEINT::VARCHAR AS numbers FROM r GROUP BY 1", ORDER_SQL)
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved by relation type and loaded strictly."""
+    at = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex[:12]}"
+    graphs.save(order_graph(spark, sf_dir), at)
+    rows = graphs.load(spark, at).relations.groupBy("rel_type")
+    return rows.agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.sum(F.col("seq").cast("decimal(38,0)")).cast("string").alias("numbers"))
+
+
+_CDM = "com.bbn.tc.schema.avro.cdm18."
+
+
+@query("SELECT 's' || user_id AS source_id, 'f' || k AS dest_id, 'Read' AS rel_type, t AS \"timestamp\" FROM b WHERE event_id % 3 = 0 UNION ALL SELECT 's' || user_id, 'g' || k, 'Connect', t FROM b WHERE event_id % 3 = 1 UNION ALL SELECT 's' || user_id, 'h' || k, 'Connect', t FROM b WHERE event_id % 3 = 1", _B)
+def provenance_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provenance events with one object and with two; those of unheard kinds go."""
+    def event(kind: str, objects: str, *columns) -> F.Column:
+        return F.format_string('{"datum":{"' + _CDM + 'Event":{"type":"' + kind + '","timestampNanos":%s,"subject":{"' + _CDM + 'UUID":"s%s"},' + objects + "}}}", F.col("t") * 1_000_000_000 + 5, "user_id", *columns)
+
+    forms = [event("EVENT_OPEN", '"predicateObject":"f%s"', "k"), event("EVENT_SENDMSG", '"predicateObject":{"UUID":"g%s"},"predicateObject2":"h%s"', "k", "k"), event("EVENT_UNHEARD", '"predicateObject":"f%s"', "k")]
+    return cdm(_rendered(_events(spark, sf_dir), rules._picked(forms)))[1].select("source_id", "dest_id", "rel_type", "timestamp")
+
+
+@query("SELECT user_id % 400 AS graph_id, (user_id % 400) || '_' || user_id AS source_id, 'a' AS source_type, (user_id % 400) || '_' || event_type AS dest_id, 'b' AS dest_type, 'e' AS edge_type, user_id % 400 BETWEEN 300 AND 399 AS attack FROM b", _B)
+def provenance_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).select(F.concat_ws("\t", "user_id", F.lit("a"), "event_type", F.lit("b"), F.lit("e"), F.col("user_id") % 400).alias("value"))
+    found = streamspot(spark, _files(spark, rows, "edges"))
+    return found.select(F.col("graph_id").cast("bigint").alias("graph_id"), "source_id", "source_type", "dest_id", "dest_type", "edge_type", "attack")
+
+
+@query("SELECT dataset_id, count(*) AS relations, count(DISTINCT source_id) AS sources FROM r GROUP BY 1", ORDER_SQL)
+def strict_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of both data sets, then their relations, refused if an id came twice or an end were missing."""
+    g, full = graphs.Graph.empty(spark), order_graph(spark, sf_dir)
+    for tag in ("sales", "stock"):
+        g = graphs.add_entities(g, full.entities.where(F.col("dataset_id") == tag))
+    for tag in ("sales", "stock"):
+        g = graphs.add_relations(g, full.relations.where(F.col("dataset_id") == tag))
+    return g.relations.groupBy("dataset_id").agg(F.count("*").alias("relations"), F.count_distinct("source_id").alias("sources"))
+
+
+@query("SELECT id, entity_type, dataset_id FROM e WHERE id = 'proc:7' UNION ALL SELECT dest_id, rel_type, dataset_id FROM r WHERE source_id = 'proc:7' AND rel_type = 'Write'", ORDER_SQL)
+def entity_and_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = order_graph(spark, sf_dir)
+    writes = explore.outgoing(g, "proc:7", "Write").select(F.col("dest_id").alias("id"), F.col("rel_type").alias("entity_type"), "dataset_id")
+    return explore.entity(g, "proc:7").select("id", "entity_type", "dataset_id").unionByName(writes)
+
+
+_NEAR = """, n1 AS (SELECT DISTINCT dest_id AS id FROM r JOIN e ON e.id = dest_id WHERE source_id = 'user:1' AND rel_type IN ('Execute', 'Write') AND entity_type IN ('Process', 'File') ORDER BY 1 LIMIT 39),
+n2 AS (SELECT DISTINCT dest_id AS id FROM r JOIN e ON e.id = dest_id WHERE source_id IN (SELECT id FROM n1) AND rel_type IN ('Execute', 'Write') AND entity_type IN ('Process', 'File') AND dest_id NOT IN (SELECT id FROM n1)
+  UNION SELECT DISTINCT source_id FROM r JOIN e ON e.id = source_id WHERE dest_id IN (SELECT id FROM n1) AND rel_type IN ('Execute', 'Write') AND entity_type IN ('Process', 'File') AND source_id NOT IN (SELECT id FROM n1))"""
+
+
+@query(f"{_NEAR} SELECT id, entity_type FROM e WHERE id IN ('user:1', 'host:3') OR id IN (SELECT id FROM n1) OR id IN (SELECT id FROM n2 ORDER BY id LIMIT (SELECT 39 - count(*) FROM n1))", ORDER_SQL)
+def neighbourhood_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By relation and entity types, with a pinned node that is not near."""
+    return explore.neighbourhood(order_graph(spark, sf_dir), "user:1", 2, 40, ["Execute", "Write"], entity_types=["Process", "File"], pinned=["host:3"]).entities.select("id", "entity_type")
+
+
+@query("SELECT 'type' AS part, entity_type AS name, count(*)::DOUBLE AS value FROM e GROUP BY 2 UNION ALL SELECT 'top', id, round(score, 6) FROM (SELECT * FROM e ORDER BY score DESC, id LIMIT 10)", ORDER_SQL)
+def graph_summary_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = explore.summary(order_graph(spark, sf_dir))
+    types = row.select(F.explode("types").alias("x")).select(F.lit("type").alias("part"), F.col("x.entity_type").alias("name"), F.col("x.n").cast("double").alias("value"))
+    return types.unionByName(row.select(F.explode("top").alias("x")).select(F.lit("top").alias("part"), F.col("x.id").alias("name"), F.round("x.score", 6).alias("value")))
+
+
+@query("SELECT entity_type AS kind, count(*) AS n FROM (SELECT dest_id AS o FROM r WHERE source_id = 'proc:7' UNION ALL SELECT source_id FROM r WHERE dest_id = 'proc:7') JOIN e ON id = o GROUP BY 1", ORDER_SQL)
+def node_neighbour_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.node_details(order_graph(spark, sf_dir), "proc:7").select(F.explode("neighbour_types").alias("kind", "n"))
+
+
+@query("SELECT source_id, dest_id, rel_type, n::VARCHAR AS compacted_count, hi::VARCHAR AS compacted_latest FROM o", f"{EVENT_SQL}, {_COMPACT}")
+def compaction_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = graphs.compact(event_graph(spark, sf_dir), CUTOFF)[0].relations.where(F.map_contains_key("metadata", "compacted_count"))
+    return rows.select("source_id", "dest_id", "rel_type", *(F.element_at("metadata", x).alias(x) for x in ("compacted_count", "compacted_latest")))
+
+
+@query("SELECT 'type' AS part, entity_type AS name, count(*) AS n FROM e GROUP BY 2 UNION ALL SELECT 'relation', rel_type, count(*) FROM r GROUP BY 2 UNION ALL SELECT 'first', '', min(\"timestamp\") FROM r UNION ALL SELECT 'last', '', max(\"timestamp\") FROM r", ORDER_SQL)
+def prompt_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = explore.context_statistics(order_graph(spark, sf_dir))
+    rows = [parts["types"].select(F.lit("type").alias("part"), F.col("entity_type").alias("name"), "n"), parts["relations"].select(F.lit("relation").alias("part"), F.col("rel_type").alias("name"), "n")]
+    rows += [parts["range"].select(F.lit(x).alias("part"), F.lit("").alias("name"), F.col(x).alias("n")) for x in ("first", "last")]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("SELECT id, round(n / (SELECT max(n) FROM d) * 100, 6) AS degree_score, round(n / (SELECT max(n) FROM d) * 100, 6) AS score FROM d", f"{ORDER_SQL}, {_DEGREE}")
+def written_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores put into the entities' own columns, and the composite of what is there."""
+    g = order_graph(spark, sf_dir)
+    full = scoring.with_scores(g, scoring.degree_scores(g))
+    return scoring.composite(full.entities).select("id", F.round("degree_score", 6).alias("degree_score"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT id, round((0.25 * er + 0.25 * nc + 0.2 * tn + 0.3 * CASE WHEN id LIKE 'user:%' THEN 0.5 ELSE 0 END) / 1.0, 6) AS estimate FROM ne", _ALL)
+def injected_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threat scores of a model, weighed into the estimates."""
+    g = event_graph(spark, sf_dir)
+    threats = g.entities.where("entity_type = 'User'").select("id", F.lit(0.5).alias("threat"))
+    rows = anomaly.finalize(g, weights=anomaly.Weights(entity=0.25, pair=0.3, concentration=0.25, novelty=0.2, threat=0.3), threats=threats).nodes
+    return rows.select("id", F.round("estimate", 6).alias("estimate"))
+
+
+@query("""SELECT id, CASE WHEN id NOT IN (SELECT 'evhost:' || event_type FROM b) AND id NOT LIKE 'user:1%' THEN 'Benign' WHEN id LIKE 'user:%' THEN 'PrivilegeEscalation' ELSE 'C2Beacon' END AS label FROM e""", EVENT_SQL)
+def threat_labels_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts, and users whose number starts with 1, taken for malicious."""
+    g = event_graph(spark, sf_dir)
+    return threat_labels(g, g.entities.where("entity_type = 'Host' or id like 'user:1%'").select("id"))
+
+
+@query("SELECT rel_type, hour, n FROM (SELECT rel_type, \"timestamp\" - \"timestamp\" % 3600 AS hour, count(*) AS n FROM r GROUP BY 1, 2) WHERE hour + 3600 <= (SELECT max(\"timestamp\") FROM r) - 3600", EVENT_SQL)
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts of a stream of relations; hours that late relations may still change are not out yet."""
+    at = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex[:12]}"
+    rows = event_graph(spark, sf_dir).relations.select("rel_type", "timestamp")
+    rows.write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+    windowed_counts(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/check").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("rel_type string, hour bigint, n bigint").parquet(f"{at}/out")
+
+
+def _market(spark: SparkSession, sf_dir: str) -> graphs.Graph:
+    """Customers and suppliers by way of nations, regions and market segments."""
+    ids, rows = [], []
+    for name, key in (("customer", "c_custkey"), ("supplier", "s_suppkey"), ("nation", "n_nationkey"), ("region", "r_regionkey")):
+        ids.append(table(spark, sf_dir, name).select(F.concat(F.lit(f"{name}:"), key).alias("id")))
+    ids.append(table(spark, sf_dir, "customer").select(F.concat(F.lit("segment:"), "c_mktsegment").alias("id")).distinct())
+    for name, key, other, to in (("customer", "c_custkey", "nation", "c_nationkey"), ("customer", "c_custkey", "segment", "c_mktsegment"), ("supplier", "s_suppkey", "nation", "s_nationkey"), ("nation", "n_nationkey", "region", "n_regionkey")):
+        rows.append(table(spark, sf_dir, name).select(F.concat(F.lit(f"{name}:"), key).alias("source_id"), F.concat(F.lit(f"{other}:"), to).alias("dest_id")))
+    return graphs.Graph(reduce(DataFrame.unionByName, ids), reduce(DataFrame.unionByName, rows))
+
+
+_MARKET = """n AS MATERIALIZED (SELECT 'customer:' || c_custkey AS id FROM customer UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier UNION ALL SELECT 'nation:' || n_nationkey FROM nation UNION ALL SELECT 'region:' || r_regionkey FROM region UNION ALL SELECT DISTINCT 'segment:' || c_mktsegment FROM customer),
+q AS (SELECT 'customer:' || c_custkey AS a, 'nation:' || c_nationkey AS b FROM customer UNION ALL SELECT 'customer:' || c_custkey, 'segment:' || c_mktsegment FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation),
+g AS MATERIALIZED (SELECT a, b FROM q UNION ALL SELECT b, a FROM q),
+k AS (SELECT count(*) AS n FROM n), c AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS place FROM n),
+l0 AS MATERIALIZED (SELECT id AS s, id AS v, 1.0::DOUBLE AS sigma FROM c, k WHERE place IN (SELECT i * n // least(n, 100) FROM range(100) AS t(i), k))"""
+_DEPTH = 9
+for _i in range(1, _DEPTH + 1):
+    _known = " AND ".join(f"(s, b) NOT IN (SELECT (s, v) FROM l{_j})" for _j in range(max(0, _i - 2), _i))
+    _MARKET += f", l{_i} AS MATERIALIZED (SELECT s, b AS v, sum(sigma) AS sigma FROM l{_i - 1} JOIN g ON a = v WHERE {_known} GROUP BY 1, 2)"
+_MARKET += f", d{_DEPTH} AS MATERIALIZED (SELECT s, v, sigma, 0.0::DOUBLE AS delta FROM l{_DEPTH})"
+for _i in range(_DEPTH - 1, -1, -1):
+    _MARKET += f", d{_i} AS MATERIALIZED (SELECT u.s, u.v, u.sigma, u.sigma * coalesce(sum((1 + d.delta) / d.sigma), 0) AS delta FROM l{_i} u LEFT JOIN (SELECT s, a, sigma, delta FROM d{_i + 1} JOIN g ON b = v) d ON d.s = u.s AND d.a = u.v GROUP BY 1, 2, 3)"
+_MARKET += ", x AS (SELECT id, coalesce(sum(delta), 0) AS part FROM n LEFT JOIN (" + " UNION ALL ".join(f"SELECT s, v, delta FROM d{_i} WHERE s <> v" for _i in range(_DEPTH + 1)) + ") ON v = id GROUP BY 1)"
+
+
+@query("SELECT id, round(part / (SELECT max(part) FROM x) * 100, 6) AS betweenness FROM x", _MARKET)
+def betweenness_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 100 sources of the whole market graph; nothing in it is further apart than the SQL goes."""
+    return scoring.betweenness(_market(spark, sf_dir), 100).select("id", F.round("betweenness", 6).alias("betweenness"))
+
+
+@query("SELECT id, round(part / (SELECT max(part) FROM x) * 100, 6) AS betweenness FROM x", _MARKET)
+def betweenness_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by joins, as for graphs whose adjacency cannot be broadcast."""
+    g = _market(spark, sf_dir)
+    n = g.entities.count()
+    sums = scoring._dependencies_by_level(g, n, min(n, 100))
+    rows = g.entities.select("id").join(sums, "id", "left").select("id", F.coalesce("part", F.lit(0.0)).alias("betweenness"))
+    return scoring.scaled(rows, "betweenness").select("id", F.round("betweenness", 6).alias("betweenness"))

@@ -42,7 +42,7 @@ def profile(records: DataFrame, samples: int = 5) -> DataFrame:
     flags = F.map_filter("texts", lambda k, v: F.element_at("kinds", k) == "BOOLEAN")
     each = records.select(F.explode(F.concat(scalar_fields(F.col("kinds"), F.col("texts")), F.map_entries(flags))).alias("e")).select(F.col("e.key").alias("field"), F.col("e.value").alias("value"))
     seen = each.groupBy("field", "value").agg(F.count("*").alias("n"))  # distinct values first, so that no list grows with the rows
-    order = Window.partitionBy("field").orderBy("value")
+    order = Window.partitionBy("field").orderBy("value")  # each task keeps a field's first values before they meet
     first = seen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= samples)
     firsts = first.groupBy("field").agg(F.sort_array(F.collect_list("value")).alias("samples"))
     name = canonical_field(F.col("field"))

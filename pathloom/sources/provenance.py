@@ -7,6 +7,9 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.operators.anomaly import THREATS
+from pathloom.operators.graph import Graph
+
 PREFIX = "com.bbn.tc.schema.avro.cdm18."
 # CDM node records and their entity types.
 NODE_TYPES = {
@@ -61,8 +64,29 @@ def streamspot(spark: SparkSession, path: str, attacks: tuple[int, int] = (300,
     return rows.select(F.col("g").alias("graph_id"), F.concat_ws("_", "g", "s").alias("source_id"), F.col("st").alias("source_type"), F.concat_ws("_", "g", "d").alias("dest_id"), F.col("dt").alias("dest_type"), F.col("e").alias("edge_type"), F.col("g").between(*attacks).alias("attack"))
 
 
-# Threat classes in order of evidence.
-CLASSES = ["Benign", "Exfiltration", "C2Beacon", "LateralMovement", "PrivilegeEscalation"]
+#: Names of the threat classes, as the model's logits have them.
+CLASSES = THREATS
+
+
+def threat_labels(graph: Graph, malicious: DataFrame) -> DataFrame:
+    """(id, label) of every entity, by what known malicious ones (column id) do to their successors.
+
+    A malicious user that authenticates escalates privileges; a malicious entity that
+    executes processes moves laterally; one that connects, or reaches an address,
+    beacons; any other exfiltrates. Entities that are not malicious are benign. Ids
+    that are no entity give no row, repeated ids one.
+    """
+    bad = malicious.select("id").distinct().withColumn("bad", F.lit(True))
+    nodes = graph.entities.select("id", "entity_type").join(bad, "id", "left")
+    types = graph.entities.select(F.col("id").alias("dest_id"), F.col("entity_type").alias("dest_type"))
+    steps = graph.relations.join(bad.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(types, "dest_id", "left")
+    did = steps.groupBy(F.col("source_id").alias("id")).agg(
+        F.bool_or(F.col("rel_type") == "Auth").alias("auth"), F.bool_or((F.col("rel_type") == "Execute") & (F.col("dest_type") == "Process")).alias("spawn"),
+        F.bool_or((F.col("rel_type") == "Connect") | (F.col("dest_type") == "IP")).alias("net"),
+    )
+    benign, exfiltration, beacon, lateral, escalation = CLASSES
+    label = F.when(F.col("bad").isNull(), benign).when(F.col("auth") & (F.col("entity_type") == "User"), escalation).when(F.col("spawn"), lateral).when(F.col("net"), beacon).otherwise(exfiltration)
+    return nodes.join(did, "id", "left").select("id", label.alias("label"))
 
 
 def balanced(rows: DataFrame, label: str = "label", times: int = 5, least: int = 1000, seed: int = 42) -> DataFrame:
@@ -72,7 +96,10 @@ def balanced(rows: DataFrame, label: str = "label", times: int = 5, least: int =
 
 
 def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
-    """(label, n, weight): inverse frequencies whose mean over rows is 1."""
-    sizes = rows.groupBy(label).agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n").alias("total"), F.count("*").alias("classes"))
-    return sizes.crossJoin(F.broadcast(total)).select(label, "n", (F.col("total") / (F.col("classes") * F.col("n"))).alias("weight"))
+    """(label, n, weight) of every class: inverse counts, of at least 1, that add up to the number of classes; absent ones have n 0."""
+    spark = rows.sparkSession
+    names = spark.createDataFrame([(x,) for x in CLASSES], f"`{label}` string")
+    sizes = names.join(rows.groupBy(label).agg(F.count("*").alias("n")), label, "left").select(label, F.coalesce("n", F.lit(0)).alias("n"))
+    parts = sizes.withColumn("part", 1 / F.greatest("n", F.lit(1)))
+    total = parts.agg(F.sum("part").alias("total"))  # one row
+    return parts.crossJoin(F.broadcast(total)).select(label, "n", (F.col("part") / F.col("total") * len(CLASSES)).alias("weight"))

@@ -93,6 +93,17 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spread(spark.read.text(path).select(F.monotonically_increasing_id().alias("rec"), "value"))
 
 
+def densely_numbered(lines: DataFrame) -> DataFrame:
+    """(rec, value) of lines numbered 0, 1, ... without gaps: one pass counts the lines of each split."""
+    own = lines.select(F.spark_partition_id().alias("split"), F.monotonically_increasing_id().bitwiseAND((1 << _PART) - 1).alias("k"), "value")
+    before, bases = 0, []
+    for split, n in sorted(tuple(r) for r in own.groupBy("split").count().collect()):  # a row for each split
+        bases.append((split, before))
+        before += n
+    table = lines.sparkSession.createDataFrame(bases, "split int, base bigint")
+    return own.join(F.broadcast(table), "split").select((F.col("base") + F.col("k")).alias("rec"), "value")
+
+
 def lines_of(spark: SparkSession, text: str) -> DataFrame:
     """(rec, value) of the lines of a text in hand."""
     return spark.createDataFrame(list(enumerate(text.splitlines())), "rec bigint, value string")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from pathloom.operators import anomaly, explore, scoring
@@ -176,6 +178,18 @@ def test_pagerank(spark):
     assert ranks["c"] > ranks["b"]
 
 
+def test_betweenness_by_level_equals_by_task(spark, monkeypatch):
+    """Parallel relations, self-loops, parts that do not meet, and every number of sources."""
+    rng = random.Random(4)
+    names = [f"n{i:02d}" for i in range(30)]
+    g = as_graph(spark, [(x, "Host") for x in names], [(rng.choice(names[:25]), rng.choice(names[:25]), "Connect", 1) for _ in range(45)])
+    for samples in (None, 1, 7):
+        monkeypatch.setattr(scoring, "ADJACENCY_LIMIT", 1 << 30)
+        want = {r.id: r.betweenness for r in scoring.betweenness(g, samples).collect()}
+        monkeypatch.setattr(scoring, "ADJACENCY_LIMIT", 0)
+        assert {r.id: r.betweenness for r in scoring.betweenness(g, samples).collect()} == pytest.approx(want)
+
+
 def test_betweenness(spark):
     chain = as_graph(spark, [(x, "Host") for x in "abc"], [("a", "b", "Connect", 1), ("b", "c", "Connect", 2)])
     assert {r.id: r.betweenness for r in scoring.betweenness(chain).collect()} == {"a": 0.0, "b": 100.0, "c": 0.0}

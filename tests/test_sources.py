@@ -7,10 +7,11 @@ from pathloom.operators.tensors import INPUT, around, tensors
 from pathloom.operators.generators import as_graph
 from pathloom.sources import configured_triples, detect, parse_text
 from pathloom.sources.preview import profile, proposed_mapping
-from pathloom.sources.provenance import cdm, class_weights
+from pathloom.sources.provenance import CLASSES, cdm, class_weights, threat_labels
 from pathloom.sources.records import lines_of, mixed_lines, ndjson
 from pathloom.sources.siem import elastic_cursor, elastic_records, log_analytics_records, next_query_start, read_pages
 from pathloom.sources.windows import rendered_event_records
+from pathloom.streaming import ingest as streaming
 from pathloom.streaming.ingest import GraphSink, stream_logs
 from pathloom.workspace import Session, Workspace, drop_dataset
 
@@ -187,8 +188,19 @@ def test_provenance(spark):
     nodes, edges = cdm(spark.createDataFrame([(json.dumps(x),) for x in lines], "value string"))
     assert [tuple(r) for r in nodes.collect()] == [("S", "Process", "sh")]
     assert sorted(tuple(r)[:4] for r in edges.collect()) == [("S", "F", "Read", 5), ("S", "G", "Read", 5)]
-    w = {r.label: r.weight for r in class_weights(spark.createDataFrame([("a",), ("a",), ("a",), ("b",)], "label string")).collect()}
-    assert w == {"a": 4 / 6, "b": 2.0}
+    w = {r.label: (r.n, r.weight) for r in class_weights(spark.createDataFrame([("Benign",)] * 3 + [("C2Beacon",)], "label string")).collect()}
+    rare = (1, 5 / (1 / 3 + 4))  # absent classes weigh as much as a class of one row
+    assert w.keys() == set(CLASSES) and w["Benign"] == (3, pytest.approx(rare[1] / 3)) and w["C2Beacon"] == (1, pytest.approx(rare[1]))
+    assert w["Exfiltration"] == (0, pytest.approx(rare[1])) and sum(x for _, x in w.values()) == pytest.approx(5)
+
+
+def test_threat_labels(spark):
+    edges = [("u", "h", "Auth"), ("u", "p", "Execute"), ("p", "q", "Execute"), ("q", "i", "Read"), ("f", "p", "Read"), ("b", "i", "Connect"), ("v", "h", "Auth")]
+    g = as_graph(spark, [("u", "User"), ("v", "User"), ("h", "Host"), ("p", "Process"), ("q", "Process"), ("b", "Process"), ("f", "File"), ("i", "IP")], [(*e, 1) for e in edges])
+    bad = spark.createDataFrame([(x,) for x in ("u", "p", "q", "b", "f", "u", "nobody")], "id string")
+    assert {r.id: r.label for r in threat_labels(g, bad).collect()} == {
+        "u": "PrivilegeEscalation", "p": "LateralMovement", "q": "C2Beacon", "b": "C2Beacon", "f": "Exfiltration", "v": "Benign", "h": "Benign", "i": "Benign",
+    }
 
 
 def test_tensors(spark):
@@ -201,17 +213,21 @@ def test_tensors(spark):
     assert adjacent == [(0, 1), (1, 3), (2, 0)]
 
 
-def test_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("least", [100_000, 5])
+def test_stream_equals_batch(spark, tmp_path, monkeypatch, least):
+    """With all batches apart, and with whole graphs written on the way and old ones deleted."""
+    monkeypatch.setattr(streaming, "LEAST", least)
     rows = [{"user": f"u{i % 3}", "process": f"p{i % 2}", "time": 100 + i} for i in range(12)]
     (tmp_path / "in").mkdir()
-    for k in range(3):
-        (tmp_path / "in" / f"{k}.json").write_text("\n".join(map(json.dumps, rows[4 * k : 4 * k + 4])))
+    for k in range(6):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(map(json.dumps, rows[2 * k : 2 * k + 2])))
     sink, seen = GraphSink(spark, f"file://{tmp_path}/graph"), []
     stream_logs(spark, f"file://{tmp_path}/in", sink, f"file://{tmp_path}/check", on_progress=lambda *x: seen.append(x)).awaitTermination()
     batch, _ = graphs.ingest(graphs.Graph.empty(spark), parse_text(spark, "\n".join(map(json.dumps, rows)), "generic"))
     g = sink.graph()
     assert {r.id for r in g.entities.collect()} == {r.id for r in batch.entities.collect()}
-    assert g.relations.count() == batch.relations.count() == 12 and len(seen) == 3
+    assert g.relations.count() == batch.relations.count() == 12 and len(seen) == 6
+    assert sum(x[1] for x in seen) == 5 and sorted(r.seq for r in g.relations.collect()) == sorted({r.seq for r in g.relations.collect()}) and len(list((tmp_path / "graph").glob("w=*"))) == (0 if least > 12 else 2)
     assert {r.id: r.freq for r in sink.observations().entities.collect()} == {"u0": 4, "u1": 4, "u2": 4, "p0": 6, "p1": 6}
 
 
