@@ -30,8 +30,8 @@ WINDOW, GRAM = 50, 16
 SPAN, BUCKET = 256, 10_000
 _MINI = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("mini", pa.int64())])
 _KMER = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("pos", pa.int64()), ("n", pa.int64()), ("mini", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("packed", pa.binary())])
-_VERDICT = pa.schema([("s0", pa.int64()), ("s1", pa.int64()), ("at", pa.int64()), ("mins", pa.list_(pa.int64()))])
-_STRING = pa.schema([("s0", pa.int64()), ("s1", pa.int64()), ("at", pa.int64()), ("mini", pa.int64()), ("packed", pa.binary()), ("low", pa.int64())])
+_VERDICT = pa.schema([("s0", pa.int64()), ("s1", pa.int64()), ("mins", pa.list_(pa.int64()))])
+_PART = pa.schema([("s0", pa.int64()), ("s1", pa.int64()), ("at", pa.int64()), ("p0", pa.int64()), ("p1", pa.int64()), ("mini", pa.int64()), ("packed", pa.binary()), ("low", pa.int64())])
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
@@ -141,7 +141,7 @@ def covered(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
         mins = np.empty(len(order), np.int64)
         mins[order] = least[group]
         lists = pa.ListArray.from_arrays(pa.array(starts_of(n), pa.int32()), pa.array(mins))
-        return pa.table([table.column("s0"), table.column("s1"), table.column("at"), lists], schema=_VERDICT)
+        return pa.table([table.column("s0"), table.column("s1"), lists], schema=_VERDICT)
 
     def again(batch: pa.RecordBatch) -> Iterator[dict]:
         """Parts of strings by minimisers of another order, of which equal windows have the same."""
@@ -153,15 +153,19 @@ def covered(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
                 last, words = d, texts[d].as_py().split(b" ")
             packed.append(b" ".join(words[p : p + k + window - 1]))
         at = pa.array(own)
-        yield {x: batch.column(x).take(at) for x in ("s0", "s1", "low")} | {"at": pos, "mini": mini ^ batch.column("mini").to_numpy()[own], "packed": packed}
+        two = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, packed)), np.int64).reshape(-1, 2)
+        yield {x: batch.column(x).take(at) for x in ("s0", "s1", "low")} | {"at": pos, "p0": two[:, 0], "p1": two[:, 1], "mini": mini ^ batch.column("mini").to_numpy()[own], "packed": packed}
 
     def sorted_(rows: DataFrame) -> DataFrame:
         return rows.groupBy(F.pmod(F.xxhash64("mini"), F.lit(buckets)).alias("bucket")).applyInArrow(sort_windows, ddl(_VERDICT))
 
-    given = strings.select("s0", "s1", F.lit(0).cast("bigint").alias("at"), "mini", "packed", "low")
-    plain = sorted_(given.join(hot, "mini", "left_anti")).select("s0", "s1", "mins")
-    parts = sorted_(settle(arrow_map(given.join(hot, "mini"), _STRING, again, "packed"), "parts"))
-    whole = parts.groupBy("s0", "s1").agg(F.sort_array(F.collect_list(F.struct("at", "mins"))).alias("x")).select("s0", "s1", F.flatten("x.mins").alias("mins"))
+    given = strings.select("s0", "s1", "mini", "packed", "low")
+    plain = sorted_(given.join(hot, "mini", "left_anti"))
+    # Strings that share a passage share its parts, which collapse as strings did.
+    parts = settle(arrow_map(given.join(hot, "mini"), _PART, again, "packed"), "parts")
+    once = parts.groupBy(F.col("p0").alias("s0"), F.col("p1").alias("s1")).agg(F.first("mini").alias("mini"), F.max("packed").alias("packed"), F.min("low").alias("low"))
+    told = sorted_(once).select(F.col("s0").alias("p0"), F.col("s1").alias("p1"), "mins")
+    whole = parts.select("s0", "s1", "at", "p0", "p1").join(told, ["p0", "p1"]).groupBy("s0", "s1").agg(F.sort_array(F.collect_list(F.struct("at", "mins"))).alias("x")).select("s0", "s1", F.flatten("x.mins").alias("mins"))
     verdicts = settle(plain.union(whole).join(strings.select("s0", "s1", "high"), ["s0", "s1"]).where(F.array_min("mins") < F.col("high")).drop("high"), "verdicts")
     hits = kmers.select("doc_id", "rk", "pos", "s0", "s1").join(verdicts, ["s0", "s1"])
     at = F.filter(F.transform("mins", lambda x, i: F.when(x < F.col("doc_id"), F.col("pos") + i)), lambda x: x.isNotNull())
