@@ -7,14 +7,17 @@ chunk once by vectorised merge rounds (see merges), and gathers ids by chunk.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-from pathloom.llm.common import coded, gather, heavy, starts_of
+from pathloom.llm.common import arrow_map, coded, gather, heavy, keyed, starts_of, unkeyed
 from pathloom.llm.merges import PairTable
 
 MARK = "▁"
@@ -190,6 +193,72 @@ class SentencePieceCodec:
         return out
 
 
+_IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+_DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+
+def _with_end(model: SentencePieceCodec, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids with an end id after each text, number of ids of each text)."""
+    ids, counts = model.encode(texts)
+    counts = counts + 1
+    bounds = starts_of(counts)
+    full = np.full(bounds[-1], model.end_id, "<u4")
+    own = np.ones(len(full), bool)
+    own[bounds[1:] - 1] = False
+    full[own] = ids
+    return full, counts
+
+
+def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id and ids (an end id last) of every document.
+
+    Columns doc_id and text are read, others left aside. Null and empty texts have
+    the end id alone; null ids stay null; texts of any length are encoded whole;
+    repeated rows repeat; an empty table gives an empty result.
+    """
+
+    def step(batch: pa.RecordBatch) -> Iterator[dict]:
+        ids, counts = _with_end(codec(path), batch.column("text"))
+        yield {"doc_id": batch.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(starts_of(counts), pa.int32()), pa.array(ids.astype(np.int32)))}
+
+    return arrow_map(keyed(docs), _IDS, step, keeps=True).select(unkeyed(), "ids")
+
+
+def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id and text of rows (doc_id, ids), as the library's decode() gives it.
+
+    A null list gives a null text and an empty one an empty text; null ids of
+    documents stay null; repeated rows repeat; an empty table gives an empty result.
+    """
+    shape = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+    def step(batch: pa.RecordBatch) -> Iterator[dict]:
+        lists = batch.column("ids")
+        counts = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        texts = codec(path).decode_many(lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"), counts)
+        yield {"doc_id": batch.column("doc_id"), "text": pc.if_else(lists.is_valid(), pa.array(texts, pa.string()), None)}
+
+    return arrow_map(rows.select(rows["doc_id"].cast("bigint").alias("doc_id"), rows["ids"].cast("array<int>").alias("ids")), shape, step, None, keeps=True)
+
+
+def piece_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids of encoded(), and of their decoding; odd rows as there."""
+
+    def step(batch: pa.RecordBatch) -> Iterator[dict]:
+        model = codec(path)
+        full, counts = _with_end(model, batch.column("text"))
+        decimal = [str(i) for i in range(model.size)]
+        spelt, bounds = full.tolist(), starts_of(counts).tolist()
+        yield {
+            "doc_id": batch.column("doc_id"),
+            "n_tokens": counts,
+            "ids_sha256": [hashlib.sha256(" ".join(map(decimal.__getitem__, spelt[a:b])).encode()).hexdigest() for a, b in zip(bounds, bounds[1:], strict=False)],
+            "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in model.decode_many(full, counts)],
+        }
+
+    return arrow_map(keyed(docs), _DIGEST, step, keeps=True).select(unkeyed(), *_DIGEST.names[1:])
+
+
 def _utf8(data: bytes) -> str:
     """Decoded; each byte that no character claims is one U+FFFD."""
     try:

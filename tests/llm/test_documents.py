@@ -510,10 +510,83 @@ def test_pipeline(spark, judged, tmp_path):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
 
 
+def test_sentencepiece_columns(spark, docs, rows, empty):
+    """Null ids, null and empty texts, repeated rows, clashing columns and long texts, against the library."""
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    ids = [[*lib.encode(t or ""), 2] for _, t in rows]
+    got = sentpiece.encoded(docs)
+    assert sorted(((r.doc_id, list(r.ids)) for r in got.collect()), key=repr) == sorted(((i, x) for (i, _), x in zip(rows, ids, strict=True)), key=repr)
+    back = sentpiece.decoded(got)
+    assert sorted(((r.doc_id, r.text) for r in back.collect()), key=repr) == sorted(((i, lib.decode(x)) for (i, _), x in zip(rows, ids, strict=True)), key=repr)
+    want = [(i, len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(lib.decode(x).encode()).hexdigest()) for (i, _), x in zip(rows, ids, strict=True)]
+    assert sorted((tuple(r) for r in sentpiece.piece_digest(docs).collect()), key=repr) == sorted(want, key=repr)
+    assert [x.count() for x in (sentpiece.encoded(empty), sentpiece.piece_digest(empty), sentpiece.decoded(sentpiece.encoded(empty)))] == [0, 0, 0]
+    odd = spark.createDataFrame([(1, None), (None, []), (3, [2])], "doc_id int, ids array<int>")
+    assert sorted(((r.doc_id, r.text) for r in sentpiece.decoded(odd).collect()), key=repr) == sorted([(1, None), (None, ""), (3, "")], key=repr)
+
+
+def test_posterior_and_verdict(spark, docs, rows):
+    """Votes by loops over the counts, expectation-maximisation document by document, and the verdict."""
+    got = weak_rules.judged(docs).collect()
+    measured = weak_rules.measured(docs).collect()
+
+    def votes(m):
+        n, share = m.n_words, lambda part, bad, good, whole: 0 if whole == 0 else -1 if 100 * part > bad * whole else 1 if 100 * part <= good * whole else 0
+        return (
+            share(m.n_symbols, 15, 4, n), 0 if m.n_lines < 3 else share(m.n_dup_lines, 30, 5, m.n_lines), share(m.n_repeat_words, 30, 10, n),
+            0 if n == 0 else -1 if m.word_chars > 14 * n or m.word_chars < 2 * n else 1 if 3 * n <= m.word_chars <= 9 * n else 0, share(m.n_capitals, 30, 6, n),
+            -1 if n < 20 else 1 if n >= 100 else 0, share(m.n_exclaims, 20, 2, n), 0 if n < 50 else 1 if 100 * m.n_stops >= n else -1 if m.n_stops == 0 else 0,
+        )
+
+    each = [votes(m) for m in measured]
+    prior, post = 0.8, [0.0] * len(each)
+    start = [{-1: 0.6, 0: 0.2, 1: 0.2}, {-1: 0.2, 0: 0.2, 1: 0.6}]
+    table = [[dict(start[c]) for _ in range(8)] for c in (0, 1)]
+    for _ in range(200):
+        new = []
+        for v in each:
+            bad, good = (np.log(q) + sum(np.log(table[c][r][x]) for r, x in enumerate(v)) for c, q in ((0, 1 - prior), (1, prior)))
+            new.append(1 / (1 + np.exp(bad - good)))
+        if max(abs(a - b) for a, b in zip(new, post, strict=True)) < 1e-10:
+            break
+        post = new
+        for c in (0, 1):
+            for r in range(8):
+                mass = {x: sum((p if c else 1 - p) for v, p in zip(each, post, strict=True) if v[r] == x) + 2 * start[c][x] for x in (-1, 0, 1)}
+                table[c][r] = {x: m / sum(mass.values()) for x, m in mass.items()}
+        prior = min(max((sum(post) + 4) / (len(post) + 5), 1e-3), 1 - 1e-3)
+    want = sorted(((m.n_words, m.word_chars, p) for m, p in zip(measured, post, strict=True)))
+    assert [x[2] for x in sorted((r.n_words, r.word_chars, r.posterior) for r in got)] == pytest.approx([x[2] for x in want], abs=1e-6)
+    assert all(r.kept == (not r.base_failed and r.posterior >= 0.5) for r in got) and len(set(each)) > 5 and min(post) < 0.1 < 0.9 < max(post)
+
+
+def test_sql_of_near_and_repeated_texts(spark):
+    """op1 and op2 against their SQL over a whole table."""
+    import duckdb
+
+    sf, duck = "/root/testdata/sf0.001", duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for name in ("op1_near_dedup", "op2_substring_dedup"):
+        df, out = queries.queries()[name](spark, sf), duck.execute(queries.oracle_sql()[name])
+        names = [d[0] for d in out.description]
+        assert names == df.columns and sorted(map(tuple, df.collect())) == sorted(out.fetchall())
+
+
+def test_recall_of_near_duplicates(spark):
+    """Every row whose id is divisible by 100 against all rows, by brute force: no link is lost."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    sets = {i: s for i, t in rows for s in [sets_of([(i, t)], 5)[i]]}
+    component = {r.doc_id: r.component_id for r in minhash.near_groups(docs).collect()}
+    links = [(a, b) for a in sets if a % 100 == 0 and sets[a] for b in sets if b != a and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert len(links) >= 2 and all(component[a] == component[b] for a, b in links)
+
+
 def test_queries_carry_the_contract(spark):
     sf = "/root/testdata/sf0.001"
     want = {
-        "op1_near_dedup": ["doc_id", "n_shingles", "component_id", "kept"], "op2_substring_dedup": ["doc_id", "n_words", "n_removed", "kept_sha256"],
+        "op1_near_dedup": ["doc_id", "n_shingles", "component_id", "kept"], "op8_weak_supervision": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+        "op3_telephony_audio": ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"], "op2_substring_dedup": ["doc_id", "n_words", "n_removed", "kept_sha256"],
         "op4_token_shards": ["doc_id", "start", "n_tokens", "ids_crc32"], "op5_sentencepiece": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         "op6_toxic_neighbours": ["doc_id", "held_out", "score", "predicted"], "op9_positive_unlabelled": ["doc_id", "held_out", "score", "predicted"],
         "op10_vector_best_fit": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
