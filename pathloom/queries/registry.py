@@ -481,38 +481,23 @@ def field_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("field", "count", "role", F.element_at("samples", 1).alias("least"))
 
 
-def _merged(spark: SparkSession, sf_dir: str, policy: str, where: str = "true") -> DataFrame:
-    rows = table(spark, sf_dir, "events").where(where).select(F.concat(F.lit("u"), "user_id").alias("id"), F.create_map(F.lit("seen"), F.col("event_type")).alias("metadata"), F.col("event_id").alias("at"))
+def _merged(spark: SparkSession, sf_dir: str, policy: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("id"), F.create_map(F.lit("seen"), F.col("event_type")).alias("metadata"), F.col("event_id").alias("at"))
     return graphs.merged_metadata(rows, policy).select("id", F.element_at("metadata", "seen").alias("seen"))
 
 
-@query("SELECT 'u' || user_id AS id, arg_min(event_type, event_id) AS seen FROM events WHERE event_id < 2000 GROUP BY 1")
+@query("SELECT 'u' || user_id AS id, arg_min(event_type, event_id) AS seen FROM events GROUP BY 1")
 def merge_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(spark, sf_dir, graphs.FIRST, "event_id < 2000")
-
-
-@query()
-def merge_first_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir, graphs.FIRST)
 
 
-@query("SELECT 'u' || user_id AS id, arg_max(event_type, event_id) AS seen FROM events WHERE event_id < 2000 GROUP BY 1")
+@query("SELECT 'u' || user_id AS id, arg_max(event_type, event_id) AS seen FROM events GROUP BY 1")
 def merge_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(spark, sf_dir, graphs.LAST, "event_id < 2000")
-
-
-@query()
-def merge_last_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir, graphs.LAST)
 
 
-@query("SELECT 'u' || user_id AS id, string_agg(event_type, ', ' ORDER BY event_id) AS seen FROM events WHERE event_id < 2000 GROUP BY 1")
+@query("SELECT 'u' || user_id AS id, string_agg(event_type, ', ' ORDER BY event_id) AS seen FROM events GROUP BY 1")
 def merge_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(spark, sf_dir, graphs.APPEND, "event_id < 2000")
-
-
-@query()
-def merge_append_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir, graphs.APPEND)
 
 

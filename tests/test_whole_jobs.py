@@ -30,7 +30,7 @@ def test_merge_takes_all_events(spark, events, name):
     for _, user, kind in sorted(rows):
         seen.setdefault(f"u{user}", []).append(kind)
     pick = {"first": lambda x: x[0], "last": lambda x: x[-1], "append": ", ".join}[name]
-    got = {r.id: r.seen for r in registry.QUERIES[f"merge_{name}_all"](spark, at).collect()}
+    got = {r.id: r.seen for r in registry.QUERIES[f"merge_{name}"](spark, at).collect()}
     assert got == {k: pick(v) for k, v in seen.items()}
 
 
