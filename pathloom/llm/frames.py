@@ -224,7 +224,7 @@ def read_shards(spark: SparkSession, uri: str, shards: list[tuple[int, int, int,
     if not shards:
         return spark.createDataFrame([], ddl(_DOC))
     uri, bases = _at(uri), starts_of(np.asarray([x[2] for x in shards])).tolist()
-    todo = [(shard, base, k, min(k + READ_FRAMES, frames)) for (shard, _, _, frames), base in zip(shards, bases, strict=False) for k in range(0, frames, READ_FRAMES)]
+    known = spark.createDataFrame([(shard, base, frames) for (shard, _, _, frames), base in zip(shards, bases, strict=False)], "shard bigint, base bigint, frames bigint")
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         for shard, base, first, last in zip(*(x.to_pylist() for x in batch.columns), strict=True):
@@ -232,8 +232,9 @@ def read_shards(spark: SparkSession, uri: str, shards: list[tuple[int, int, int,
                 rows = [(doc, base + start, len(ids), zlib.crc32(ids)) for doc, start, ids in reader.between(first, last)]
             yield dict(zip(_DOC.names, map(list, zip(*rows, strict=True)), strict=True))
 
-    parts = spark.createDataFrame(todo, "shard bigint, base bigint, first bigint, last bigint").repartition(max(1, min(len(todo), 4 * partitions(spark))), "shard", "first")
-    return arrow_map(parts, _DOC, step, None)
+    lots = known.select("shard", "base", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("frames") - 1, F.lit(READ_FRAMES).cast("bigint"))).alias("first"), "frames")
+    parts = lots.select("shard", "base", "first", F.least(F.col("first") + READ_FRAMES, "frames").alias("last"))
+    return arrow_map(parts.repartition(max(1, min(sum(-(-x[3] // READ_FRAMES) for x in shards), 4 * partitions(spark))), "shard", "first"), _DOC, step, None)
 
 
 def read_documents(spark: SparkSession, uri: str, shards: list[tuple[int, int, int, int]], wanted: DataFrame) -> DataFrame:

@@ -292,7 +292,10 @@ def test_sentencepiece_equals_the_library(texts):
     assert [codec.decode(x) for x in some] == [lib.decode(x) for x in some]
 
 
-def test_token_shards(docs, rows, empty, tmp_path):
+@pytest.mark.parametrize("limits", [{}, {"SHARD_BYTES": 20_000, "FRAME_IDS": 500, "READ_FRAMES": 2}])
+def test_token_shards(spark, docs, rows, empty, tmp_path, monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(frames, k, v)
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want, start = [], 0
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or "")):
@@ -302,6 +305,11 @@ def test_token_shards(docs, rows, empty, tmp_path):
     got = frames.token_index(docs, uri=f"file://{tmp_path}/t")
     assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == want
     assert frames.token_index(empty, uri=f"file://{tmp_path}/e").count() == 0
+    shards = frames.write_shards(docs, f"file://{tmp_path}/d")
+    asked = spark.createDataFrame([(5,), (72,), (70,), (70,), (None,), (999,)], "doc_id int")
+    found = sorted((r.doc_id, list(r.ids)) for r in frames.read_documents(spark, f"file://{tmp_path}/d", shards, asked).collect())
+    assert found == sorted((i, [*lib.encode(t or "", add_special_tokens=False).ids, 0]) for i, t in rows if i in (5, 72, 70))
+    assert frames.read_documents(spark, "nowhere", [], asked).count() == 0 and sum(x[1] for x in shards) == len(rows)
     path = sorted((tmp_path / "t").glob("shard-*.zst"))[0]
     with path.open("rb") as f:
         reader = frames.ShardReader(f)
