@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import arrow_map, coded_words, ddl, gather, keyed, partitions, settle, starts_of, unkeyed, word_hashes
+from pathloom.llm.common import arrow_map, coded_words, ddl, distinct, gather, keyed, partitions, settle, starts_of, unkeyed, word_hashes
 
 SAMPLES, BANDS, ROWS = 128, 25, 5
 #: Bits of an odd sketch, in four 64-bit words.
@@ -73,7 +73,7 @@ def shingle_sets(texts: pa.Array, size: int = 4) -> list[np.ndarray]:
     out = []
     for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
         if b - a >= size:
-            out.append(np.unique(_mix(rolled[a : b - size + 1])))
+            out.append(distinct(_mix(rolled[a : b - size + 1])))
         elif b > a:
             whole = hashes[a : a + 1]
             for i in range(a + 1, b):

@@ -33,7 +33,7 @@ from pyspark import BarrierTaskContext, SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import arrow_map, coded_words, keyed, learn_rows, light, settle, text_slices, word_hashes
+from pathloom.llm.common import arrow_map, coded_words, distinct, keyed, learn_rows, light, settle, starts_of, text_slices
 from pathloom.llm.weak_rules import measure
 
 #: Trusted positives that the fit takes, chosen by hash of their id: its documented bound. Unlabelled text has none.
@@ -58,11 +58,30 @@ class Evidence:
     documents: int
 
 
+_LETTER = np.random.default_rng(16).integers(0, 2**64, 256, np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_buckets(vocab: pa.Array) -> np.ndarray:
+    """A bucket of each string: a polynomial of its bytes, which needs no loop over strings."""
+    sizes = pc.binary_length(vocab).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = starts_of(sizes)
+    data = np.frombuffer(b"".join(vocab.cast(pa.binary()).to_pylist()), np.uint8)
+    power = np.cumprod(np.full(max(1, int(sizes.max(initial=0))), _ODD))
+    place = np.arange(len(data)) - np.repeat(at[:-1], sizes)
+    total = np.zeros(len(sizes), np.uint64)
+    some = sizes > 0
+    if some.any():
+        total[some] = np.add.reduceat(_LETTER[data] * power[place], at[:-1][some])
+    total = (total ^ (total >> np.uint64(32))) * _ODD
+    return (total >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def buckets(words: tuple[np.ndarray, np.ndarray, pa.Array]) -> tuple[np.ndarray, np.ndarray]:
     """(document, bucket) of the distinct words of each document, lower case."""
     codes, counts, vocab = words
-    own = (word_hashes(pc.utf8_lower(vocab)) >> np.uint64(64 - BITS)).astype(np.int64)
-    key = np.unique(np.repeat(np.arange(len(counts)), counts) << BITS | own[codes])
+    own = word_buckets(pc.utf8_lower(vocab))
+    key = distinct(np.repeat(np.arange(len(counts)), counts) << BITS | own[codes])
     return key >> BITS, key & (1 << BITS) - 1
 
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import arrow_map, coded, coded_words, keyed, settle, unkeyed
+from pathloom.llm.common import arrow_map, coded, coded_words, distinct, keyed, settle, unkeyed
 
 RULES = ("symbols", "dup_lines", "repeats", "word_length", "capitals", "length", "exclaim", "sentences")
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -53,7 +53,7 @@ def line_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     worded = pc.match_substring_regex(vocab, r"[^\x20\x09-\x0D]").to_numpy(zero_copy_only=False)
     doc = np.repeat(np.arange(len(counts)), counts)
     keep = worded[codes]
-    key = np.unique(doc[keep].astype(np.int64) * max(1, len(vocab)) + codes[keep])
+    key = distinct(doc[keep].astype(np.int64) * max(1, len(vocab)) + codes[keep])
     lines = np.bincount(doc[keep], minlength=len(counts))
     return lines, lines - np.bincount(key // max(1, len(vocab)), minlength=len(counts))
 
