@@ -101,8 +101,10 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None, notices: l
     two known texts share a digest, the smallest name). notices holds the
     licences that the document's lines announce, sorted, distinct, joined by
     commas; n_notices counts such lines. A null text has a null digest and no
-    notice; repeated rows repeat; other columns are left aside. The known tables
-    are parameters of the caller, so they may be broadcast.
+    notice; an empty text has the digest of nothing; null ids stay null; texts and
+    lines of any length count whole; repeated rows repeat; an empty table gives an
+    empty result; other columns are left aside. The known tables are parameters of
+    the caller, so they may be broadcast.
     """
     spark = docs.sparkSession
     whole = known(spark, TEXTS if texts is None else texts).select("digest", "license")

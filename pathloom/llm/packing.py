@@ -117,9 +117,10 @@ def pieces_of(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, c
 def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, capacity: int = 1024, documents: int | None = None, attention: int | None = None, rule: str = "norm") -> DataFrame:
     """Each piece of each document with its sequence and offset.
 
-    docs has columns doc_id and text; others are left aside. Null text is an
-    empty document (its end id alone). Repeated rows are packed each. An empty
-    table gives an empty result.
+    docs has columns doc_id and text; others are left aside. Null and empty texts
+    are their end id alone. Texts of any length are encoded whole; documents of
+    more than `capacity` ids are cut. Null ids stay null; repeated rows are packed
+    each. An empty table gives an empty result.
     """
     pieces = settle(pieces_of(docs, vocabulary, end_id, capacity), "pieces")
     counts = pieces.groupBy("length", "task").agg((F.max("k") + 1).alias("n"))
