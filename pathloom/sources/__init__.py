@@ -55,7 +55,8 @@ def parse_text(spark: SparkSession, text: str, format: str = "auto", limit: int
 
 def read_logs(spark: SparkSession, path: str, format: str = "auto") -> DataFrame:
     """Triples of log files. One format and one layout (JSON array or lines) for all files of the path."""
-    head = "\n".join(r.value for r in spark.read.text(path).limit(64).collect())[:HEAD]
+    starts = spark.read.text(path).where("_metadata.file_block_start = 0")  # a later block of a split file would not show a file's beginning
+    head = "\n".join(r.value for r in starts.select("value").limit(64).collect())[:HEAD]
     format = detect(head) if format == "auto" else format
     if format != "csv" and head.lstrip("﻿ \t\r\n").startswith("["):
         return triples_of(read_json(spark, path, array=True), format)
