@@ -14,6 +14,7 @@ from pathloom.operators.anomaly import threat_of_logits
 from pathloom.operators.explore import degrees
 from pathloom.operators.graph import Graph
 from pathloom.schema import ENTITY_TYPES
+from pathloom.storage import settle
 
 #: Nodes of a tensor and numbers of a node; 32 * 16 features and 32 * 32 adjacency make 1536.
 NODES, WIDTH = 32, 16
@@ -24,11 +25,17 @@ def around(graph: Graph, centers: DataFrame, hops: int = 2, limit: int = NODES)
     """(center, id, place): the first `limit` nodes by breadth, out before in, then in order of relations.
 
     Each hop is one join of the frontier, cut to `limit` nodes a center before the next.
+    Of a node's neighbours only the first 2 * `limit` can be among them, as no more
+    than `limit` of these have a place already: a hub gives no more rows than that.
+    These neighbours and each hop are written out, as several joins read them.
     """
     centers = centers.select(F.col("id").alias("center"))
     out = graph.relations.select(F.col("source_id").alias("a"), F.col("dest_id").alias("b"), F.lit(0).alias("way"), "seq")
     both = out.unionByName(graph.relations.select(F.col("dest_id").alias("a"), F.col("source_id").alias("b"), F.lit(1).alias("way"), "seq"))
     both = both.join(graph.entities.select(F.col("id").alias("b")), "b", "left_semi").groupBy("a", "b").agg(F.min(F.struct("way", "seq")).alias("o"))
+    nearest = Window.partitionBy("a").orderBy("o", "b")
+    both = both.withColumn("i", F.row_number().over(nearest)).where(F.col("i") <= 2 * limit).drop("i")
+    both = settle(both, "nearest")
     seen = centers.select("center", F.col("center").alias("id"), F.lit(0).alias("place"))
     frontier = seen
     for _ in range(hops):
@@ -39,11 +46,31 @@ def around(graph: Graph, centers: DataFrame, hops: int = 2, limit: int = NODES)
         ranked = fresh.withColumn("i", F.row_number().over(first)).where(F.col("i") <= limit)
         have = seen.groupBy("center").agg(F.count("*").cast("int").alias("n"))
         place = F.col("n") + F.col("i") - 1
-        frontier = ranked.join(have, "center").where(place < limit).select("center", F.col("b").alias("id"), place.alias("place"))
+        frontier = settle(ranked.join(have, "center").where(place < limit).select("center", F.col("b").alias("id"), place.alias("place")), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
 
+def among(relations: DataFrame, members: DataFrame) -> DataFrame:
+    """(center, p, q): the places of both ends of every different relation between members (center, id, place) of a center.
+
+    A pair of nodes is looked up from the one with fewer neighbours, so that a hub's
+    neighbours are not met once for each center that the hub is a member of.
+    """
+    ends = relations.select(F.least("source_id", "dest_id").alias("a"), F.greatest("source_id", "dest_id").alias("b"), (F.col("source_id") <= F.col("dest_id")).alias("up"))
+    pairs = ends.groupBy("a", "b").agg(F.max("up").alias("up"), F.max(~F.col("up")).alias("down"))
+    both = F.explode(F.array(F.struct(F.col("a").alias("id")), F.struct(F.col("b").alias("id"))))
+    size = pairs.select(both.alias("e")).groupBy("e.id").agg(F.count("*").alias("n"))
+    for x in ("a", "b"):
+        pairs = pairs.join(size.select(F.col("id").alias(x), F.col("n").alias(f"n{x}")), x)
+    turn = F.col("na") > F.col("nb")
+    pairs = pairs.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("few"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("many"), F.when(turn, F.col("down")).otherwise(F.col("up")).alias("there"), F.when(turn, F.col("up")).otherwise(F.col("down")).alias("back"))
+    x, y = (members.select("center", F.col("id").alias(i), F.col("place").alias(p)) for i, p in (("few", "p"), ("many", "q")))
+    met = x.join(pairs, "few").join(y, ["center", "many"])
+    ways = F.array(F.struct("there", F.col("p"), F.col("q")), F.struct(F.col("back").alias("there"), F.col("q").alias("p"), F.col("p").alias("q")))
+    return met.select("center", F.inline(ways)).where("there").select("center", "p", "q")
+
+
 def tensors(graph: Graph, centers: DataFrame, estimates: DataFrame | None = None, hops: int = 2) -> DataFrame:
     """(id, features array<float> of 1536) for each center.
 
@@ -55,9 +82,7 @@ def tensors(graph: Graph, centers: DataFrame, estimates: DataFrame | None = None
     facts = graph.entities.select("id", "entity_type").join(degrees(graph.relations), "id", "left").fillna(0, ["in_degree", "out_degree"])
     facts = facts.withColumn("estimate", F.lit(0.0)) if estimates is None else facts.join(estimates.select("id", "estimate"), "id", "left").fillna(0.5, ["estimate"])
     nodes = members.join(facts, "id").groupBy("center").agg(F.array_sort(F.collect_list(F.struct("place", "entity_type", "out_degree", "in_degree", "estimate"))).alias("nodes"))
-    a, b = (members.select("center", F.col("id").alias(x), F.col("place").alias(p)) for x, p in (("a", "p"), ("b", "q")))
-    pairs = graph.relations.select(F.col("source_id").alias("a"), F.col("dest_id").alias("b")).distinct()
-    inside = a.join(pairs, "a").join(b, ["center", "b"]).groupBy("center").agg(F.collect_list(F.struct("p", "q")).alias("edges"))
+    inside = among(graph.relations, members).groupBy("center").agg(F.collect_list(F.struct("p", "q")).alias("edges"))
     rows = nodes.join(inside, "center", "left").select("center", "nodes", F.coalesce("edges", F.array().cast("array<struct<p:int,q:int>>")).alias("edges"))
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
