@@ -3,11 +3,17 @@
 Each step scans relations once, with its relation type, time window and
 destination type in the scan; time order along the path and the bound on repeated
 nodes are residual predicates of the join, so nothing is filtered after the fact.
-Columns stay scalar (n0..nL, t1..tL) and Catalyst picks the join.
+Columns stay scalar (n0..nL, t1..tL) and Catalyst picks the join, but for relations
+that a window leaves few of: those are broadcast and paths dealt out evenly, since a
+few hubs as keys would leave the work to as many tasks.
+
+Where only the nodes of a path matter (scores), node_paths() joins pairs instead of
+relations, and times come in when that is done.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +24,8 @@ from pathloom.schema import ANY
 
 #: Paths that a hunt returns unless told otherwise.
 CAP = 10_000
+#: Relations of a window that are broadcast to a join; beyond, both sides are shuffled.
+FEW = 500_000
 
 
 def _edges(relations: DataFrame, entities: DataFrame | None, relation: str, dest: str, window: tuple[int, int] | None, step: int, seq: bool) -> DataFrame:
@@ -42,6 +50,16 @@ def visits_below(node: Column, earlier: list[Column], k: int) -> Column:
     return reduce(lambda a, b: a + b, ((node == e).cast("int") for e in earlier)) < k
 
 
+def _few(relations: DataFrame, window: tuple[int, int] | None) -> bool:
+    """Whether the relations of a window may be broadcast: one count of at most FEW + 1."""
+    return window is not None and relations.where(F.col("timestamp").between(*window)).limit(FEW + 1).count() <= FEW
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt out evenly, to some tasks for each core."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def paths(entities: DataFrame, relations: DataFrame, hypothesis: Hypothesis, window: tuple[int, int] | None = None, with_edges: bool = False) -> DataFrame:
     """All paths: n0..nL and t1..tL, one row for each combination of relations.
 
@@ -51,6 +69,7 @@ def paths(entities: DataFrame, relations: DataFrame, hypothesis: Hypothesis, win
     hypothesis.validate()
     k = max(1, hypothesis.k)
     starts = entities if hypothesis.steps[0].origin == ANY else entities.where(F.col("entity_type") == hypothesis.steps[0].origin)
+    few = len(hypothesis.steps) > 1 and _few(relations, window)
     out = None
     for i, step in enumerate(hypothesis.steps, 1):
         edges = _edges(relations, entities, step.relation, step.dest, window, i, with_edges)
@@ -58,9 +77,10 @@ def paths(entities: DataFrame, relations: DataFrame, hypothesis: Hypothesis, win
         if out is None:
             first = edges.join(starts.select(F.col("id").alias("s1")), "s1", "left_semi")
             out = first.withColumnRenamed("s1", "n0").where(visits_below(node, [F.col("n0")], k))
+            out = _dealt(out) if few else out
         else:
             fits = (F.col(f"n{i - 1}") == F.col(f"s{i}")) & (F.col(f"t{i}") >= F.col(f"t{i - 1}")) & visits_below(node, [F.col(f"n{j}") for j in range(i)], k)
-            out = out.join(edges, fits).drop(f"s{i}")
+            out = out.join(F.broadcast(edges) if few else edges, fits).drop(f"s{i}")
     n = len(hypothesis.steps)
     return out.select(*(f"n{i}" for i in range(n + 1)), *(f"t{i}" for i in range(1, n + 1)), *(f"e{i}" for i in range(1, n + 1) if with_edges))
 
