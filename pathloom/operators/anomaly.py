@@ -12,6 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.operators.graph import Graph
+from pathloom.plans import hunt
+from pathloom.plans.pattern import Hypothesis
+
+#: Scores of a node that a path takes the mean of.
+_PARTS = ("er", "nc", "tn", "threat")
 
 
 @dataclass(frozen=True)
@@ -105,23 +110,40 @@ def finalize(graph: Graph, seen: Observations | None = None, weights: Weights =
 def path_scores(found: DataFrame, scorer: Scorer) -> DataFrame:
     """found (n0..nL, ...) with er, pair_rarity, nc, tn, threat (means over the path, within 0 and 1) and their weighted mean `anomaly`."""
     n = sum(c.startswith("n") and c[1:].isdigit() for c in found.columns)
-    parts = ("er", "nc", "tn", "threat")
     rows = found
     for i in range(n):
-        rows = rows.join(scorer.nodes.select(F.col("id").alias(f"n{i}"), *(F.col(p).alias(f"_{p}{i}") for p in parts)), f"n{i}", "left")
+        rows = rows.join(scorer.nodes.select(F.col("id").alias(f"n{i}"), *(F.col(p).alias(f"_{p}{i}") for p in _PARTS)), f"n{i}", "left")
         if i:
             rows = rows.join(scorer.pairs.select(F.col("source_id").alias(f"n{i - 1}"), F.col("dest_id").alias(f"n{i}"), F.col("rarity").alias(f"_rarity{i}")), [f"n{i - 1}", f"n{i}"], "left")
+    return _weighed(rows, found.columns, n, scorer.weights)
+
+
+def _weighed(rows: DataFrame, keep: list[str], n: int, w: Weights) -> DataFrame:
+    """keep, the means over n nodes of _er0.., _rarity1.. and so on, and `anomaly`."""
 
     def mean(part: str, first: int, missing: float) -> Column:
         return clamp(sum((F.coalesce(f"_{part}{i}", F.lit(missing)) for i in range(first, n)), F.lit(0.0)) / max(1, n - first))
 
-    w = scorer.weights
-    out = rows.select(*found.columns, mean("er", 0, 0.0).alias("er"), mean("rarity", 1, 1.0).alias("pair_rarity"), mean("nc", 0, 1.0).alias("nc"), mean("tn", 0, 0.0).alias("tn"), mean("threat", 0, 0.0).alias("threat"))
+    out = rows.select(*keep, mean("er", 0, 0.0).alias("er"), mean("rarity", 1, 1.0).alias("pair_rarity"), mean("nc", 0, 1.0).alias("nc"), mean("tn", 0, 0.0).alias("tn"), mean("threat", 0, 0.0).alias("threat"))
     total = w.entity + w.pair + w.concentration + w.novelty + w.threat
     score = (w.entity * F.col("er") + w.pair * F.col("pair_rarity") + w.concentration * F.col("nc") + w.novelty * F.col("tn") + w.threat * F.col("threat")) / total if total > 0 else F.lit(0.0)
     return out.withColumn("anomaly", score)
 
 
+def scored_hunt(graph: Graph, hypothesis: Hypothesis, scorer: Scorer, window: tuple[int, int] | None = None, digits: int | None = None) -> DataFrame:
+    """(n0..nL, t1..tL, anomaly) of all paths of a hunt: path_scores() of paths(), scored once for each path of nodes, before times multiply it.
+
+    digits rounds the scores.
+    """
+    n = len(hypothesis.steps) + 1
+    nodes = scorer.nodes.select("id", *(F.col(p).alias(f"_{p}") for p in _PARTS))
+    pairs = scorer.pairs.select("source_id", "dest_id", F.col("rarity").alias("_rarity"))
+    rows = hunt.node_paths(graph.entities, graph.relations, hypothesis, window, nodes, pairs, times=True)
+    names, times = [f"n{i}" for i in range(n)], [f"ts{i}" for i in range(1, n)]
+    rows = _weighed(rows, [*names, *times], n, scorer.weights).select(*names, *times, (F.col("anomaly") if digits is None else F.round("anomaly", digits)).alias("anomaly"))
+    return hunt.with_times(rows).select(*names, *(f"t{i}" for i in range(1, n)), "anomaly")
+
+
 def threat_of_logits(logits: Column) -> Column:
     """1 - softmax(logits)[0] of an array of class logits, the first of which is benign."""
     most = F.array_max(logits)

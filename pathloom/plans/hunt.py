@@ -123,6 +123,83 @@ def ranked(found: DataFrame, nodes: DataFrame, pairs: DataFrame, top: int) -> Da
     return rows.select(*names, *times, (total / n).alias("anomaly")).orderBy(F.desc("anomaly"), *names, *times).limit(top)
 
 
+def node_paths(entities: DataFrame, relations: DataFrame, hypothesis: Hypothesis, window: tuple[int, int] | None = None, nodes: DataFrame | None = None, pairs: DataFrame | None = None, times: bool = False) -> DataFrame:
+    """The different n0..nL of paths(), each once, with columns of nodes (id, x: as x0..xL) and of pairs (source_id, dest_id, x: as x1..xL), null where they have no row.
+
+    Parallel relations are one pair with its times, so a row stands for any number of
+    paths. The earliest arrival tells whether there is one. times adds ts1..tsL, the
+    pairs' times in order, for with_times().
+    """
+    hypothesis.validate()
+    k, n = max(1, hypothesis.k), len(hypothesis.steps)
+    starts = entities if hypothesis.steps[0].origin == ANY else entities.where(F.col("entity_type") == hypothesis.steps[0].origin)
+    few = _few(relations, window)
+    out = None
+    for i, step in enumerate(hypothesis.steps, 1):
+        edges = _edges(relations, entities, step.relation, step.dest, window, i, False)
+        ways = [F.array_sort(F.collect_list(f"t{i}")).alias(f"ts{i}")] if times or 1 < i < n else []
+        edges = edges.groupBy(f"s{i}", f"n{i}").agg(F.min(f"t{i}").alias(f"lo{i}"), F.max(f"t{i}").alias(f"hi{i}"), *ways)
+        if pairs is not None:
+            own = pairs.select(F.col("source_id").alias(f"s{i}"), F.col("dest_id").alias(f"n{i}"), *(F.col(c).alias(f"{c}{i}") for c in pairs.columns if c not in ("source_id", "dest_id")))
+            edges = edges.join(own, [f"s{i}", f"n{i}"], "left")
+        if i == 1:
+            out = edges.join(starts.select(F.col("id").alias("s1")), "s1", "left_semi").withColumnRenamed("s1", "n0").where(visits_below(F.col("n1"), [F.col("n0")], k))
+            out = _facts(out, nodes, 0).withColumn("arrival", F.col("lo1"))
+            out = _dealt(_facts(out, nodes, 1)) if few else _facts(out, nodes, 1)
+            continue
+        edges = _facts(edges, nodes, i)
+        fits = (F.col(f"n{i - 1}") == F.col(f"s{i}")) & (F.col(f"hi{i}") >= F.col("arrival")) & visits_below(F.col(f"n{i}"), [F.col(f"n{j}") for j in range(i)], k)
+        out = out.join(F.broadcast(edges) if few else edges, fits).drop(f"s{i}")
+        if i < n:
+            out = out.withColumn("arrival", F.array_min(F.filter(f"ts{i}", lambda t: t >= F.col("arrival"))))
+    drop = ["arrival", *(f"{x}{i}" for i in range(1, n + 1) for x in ("lo", "hi", *(() if times else ("ts",))))]
+    names = [f"n{i}" for i in range(n + 1)]
+    return out.select(*names, *(c for c in out.columns if c not in drop and c not in names))
+
+
+def _facts(rows: DataFrame, nodes: DataFrame | None, i: int) -> DataFrame:
+    """rows with the columns of nodes for n{i}."""
+    if nodes is None:
+        return rows
+    return rows.join(nodes.select(F.col("id").alias(f"n{i}"), *(F.col(c).alias(f"{c}{i}") for c in nodes.columns if c != "id")), f"n{i}", "left")
+
+
+def with_times(rows: DataFrame) -> DataFrame:
+    """rows of node_paths(times=True), one for each combination of relations: t1..tL instead of ts1..tsL."""
+    n = sum(c.startswith("ts") and c[2:].isdigit() for c in rows.columns)
+    for i in range(1, n + 1):
+        before = F.col(f"t{i - 1}") if i > 1 else None
+        fit = F.col("ts1") if before is None else F.filter(f"ts{i}", _not_before(before))
+        rows = rows.select(*(c for c in rows.columns if c != f"ts{i}"), F.explode(fit).alias(f"t{i}"))
+    return rows
+
+
+def _not_before(time: Column) -> Callable[[Column], Column]:
+    return lambda t: t >= time
+
+
+def ranked_hunt(entities: DataFrame, relations: DataFrame, hypothesis: Hypothesis, nodes: DataFrame, pairs: DataFrame, top: int, window: tuple[int, int] | None = None, digits: int | None = None) -> DataFrame:
+    """ranked() of paths() without all paths: every path of the same nodes scores the same, so the best `top` node paths hold the best `top` paths.
+
+    digits rounds the scores before they are put in order.
+    """
+    n = len(hypothesis.steps) + 1
+    rows = node_paths(entities, relations, hypothesis, window, nodes.select("id", F.col("estimate").alias("a")), pairs.select("source_id", "dest_id", F.col("estimate").alias("b")))
+    total = F.lit(0.0)
+    for i in range(n):
+        total = total + F.coalesce(f"a{i}", F.lit(0.5)) * (1.0 if i == 0 else 0.5)
+        if i:
+            total = total + F.coalesce(f"b{i}", F.lit(0.5)) * 0.5
+    score = total / n if digits is None else F.round(total / n, digits)
+    names, times = [f"n{i}" for i in range(n)], [f"t{i}" for i in range(1, n)]
+    out = F.broadcast(rows.select(*names, score.alias("anomaly")).orderBy(F.desc("anomaly"), *names).limit(top))
+    for i, step in enumerate(hypothesis.steps, 1):
+        edges = _edges(relations, entities, step.relation, step.dest, window, i, False).withColumnRenamed(f"n{i}", f"d{i}")
+        fits = (F.col(f"n{i - 1}") == F.col(f"s{i}")) & (F.col(f"n{i}") == F.col(f"d{i}"))
+        out = edges.join(out, fits if i == 1 else fits & (F.col(f"t{i}") >= F.col(f"t{i - 1}"))).drop(f"s{i}", f"d{i}")
+    return out.select(*names, *times, "anomaly").orderBy(F.desc("anomaly"), *names, *times).limit(top)
+
+
 def untyped_walks(relations: DataFrame, entities: DataFrame, hypothesis: Hypothesis) -> DataFrame:
     """The baseline: all simple walks of the length first, then the pattern; no pruning, no window, k = 1."""
     hypothesis.validate()
