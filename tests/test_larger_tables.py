@@ -1,12 +1,13 @@
 """Queries whose results or sizes once changed with the number of partitions or the size of hubs."""
 
+import random
 from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import anomaly
+from pathloom.operators import anomaly, scoring
 from pathloom.operators.graph import Graph
 from pathloom.operators.tensors import among, around
 from pathloom.plans import hunt
@@ -109,3 +110,23 @@ def _rows_of_joins(plan):
     own = [metrics.apply("numOutputRows").value()] if "Join" in plan.nodeName() and metrics.contains("numOutputRows") else []
     kids = plan.children()
     return own + [x for i in range(kids.size()) for x in _rows_of_joins(kids.apply(i))]
+
+
+@pytest.mark.parametrize("component, own_runs", [(10**6, 64), (10**6, 3), (20, 64), (0, 64)])
+def test_betweenness_by_components(spark, monkeypatch, component, own_runs):
+    """Components in tasks, level by level, and both, as over a broadcast adjacency; relations without an entity count nowhere."""
+    rng = random.Random(5)
+    names = [f"v{i}" for i in range(60)]
+    pairs = [(f"v{a}", f"v{b}") for a, b in ((rng.randrange(20), rng.randrange(20)) for _ in range(45))] + [(f"v{20 + rng.randrange(8)}", f"v{20 + rng.randrange(8)}") for _ in range(14)]
+    pairs += [(f"v{i}", f"v{i + 1}") for i in range(30, 36)] + [("v30", "none"), ("none", "v20"), ("v40", "v41"), ("v40", "v41")]
+    g = Graph(spark.createDataFrame([(x,) for x in names], "id string"), spark.createDataFrame(pairs, "source_id string, dest_id string").repartition(5))
+    want = {r.id: r.betweenness for r in scoring.betweenness(g, 40).collect()}
+    by_level = scoring._dependencies_by_level
+    levels = []
+    monkeypatch.setattr(scoring, "ADJACENCY_LIMIT", 8 * len(names))
+    monkeypatch.setattr(scoring, "COMPONENT_LIMIT", component, raising=False)
+    monkeypatch.setattr(scoring, "SOURCES", own_runs, raising=False)
+    monkeypatch.setattr(scoring, "_dependencies_by_level", lambda *a: levels.append(1) or by_level(*a))
+    got = {r.id: r.betweenness for r in scoring.betweenness(g, 40).collect()}
+    assert got == pytest.approx(want) and max(want.values()) == 100
+    assert len(levels) == (component < 10**6)
