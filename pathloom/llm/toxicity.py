@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import arrow_map, coded_words, gather, heavy, keyed, learn_rows, settle, starts_of, text_slices
+from pathloom.llm.common import arrow_map, coded_words, gather, heavy, keyed, learn_rows, light, settle, starts_of, text_slices
 
 #: Documented bounds of the fit: labelled rows that the index may hold of each class (toxic, other), and bytes of their texts.
 EXAMPLES, EXAMPLE_BYTES = (700, 1300), 50_000
@@ -32,8 +32,8 @@ NEIGHBOURS, BLOCK = 15, 64
 BEGINNINGS = (6,)
 #: Weight of a term that tells nothing.
 LEAST = 0.01
-#: Documents whose cosines are found at a time, and postings expanded at a time.
-DOCS, POSTINGS = 512, 1_000_000
+#: Documents whose cosines are found at a time, postings expanded at a time, and blocks that the terms of these documents meet (one document may meet more).
+DOCS, POSTINGS, MEETINGS = 512, 1_000_000, 1_000_000
 #: Learn from rows whose crc32(doc_id) mod FOLDS is not HELD.
 FOLDS, HELD = 5, 0
 
@@ -87,8 +87,11 @@ class Index:
         """
         docs = len(bounds) - 1
         who, sims = np.zeros((docs, k), np.int64), np.full((docs, k), -1.0)
-        for a in range(0, docs, DOCS):
-            b = min(a + DOCS, docs)
+        met = starts_of(self.by_dim[dim + 1] - self.by_dim[dim])[bounds]
+        b = 0
+        while b < docs:
+            a, most = b, int(np.searchsorted(met, met[b] + MEETINGS, side="right")) - 1
+            b = min(max(a + 1, most), a + DOCS, docs)
             at = slice(bounds[a], bounds[b])
             who[a:b], sims[a:b] = self._nearest(bounds[a : b + 1] - bounds[a], dim[at], weight[at], k, None if without is None else without[a:b])
         return who, sims
@@ -262,6 +265,7 @@ def fit(docs: DataFrame, labelled: DataFrame) -> Index:
     shared = spark.sparkContext.broadcast(terms)  # bounded by EXAMPLES and EXAMPLE_BYTES
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        light()
         total = np.zeros(width + 1, np.int64)
         for batch in batches:
             for part in text_slices(batch):
@@ -272,6 +276,7 @@ def fit(docs: DataFrame, labelled: DataFrame) -> Index:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["dim", "n"])
 
     got = base.select("text").mapInArrow(frequencies, "dim bigint, n bigint").groupBy("dim").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the examples
+    shared.unpersist()
     frequency = np.zeros(width + 1, np.int64)
     frequency[got.column("dim").to_numpy()] = got.column("n").to_numpy()
     n1, n0 = int(y.sum()), len(y) - int(y.sum())
@@ -288,6 +293,7 @@ def fit(docs: DataFrame, labelled: DataFrame) -> Index:
         yield {"x": own.votes(found), "y": batch.column("y")}
 
     votes = arrow_map(examples, pa.schema([("x", pa.float64()), ("y", pa.int32())]), left_out, keeps=True).toArrow()  # at most sum(EXAMPLES) rows
+    left.unpersist()
     order = np.lexsort((votes.column("x").to_numpy(), votes.column("y").to_numpy()))  # sums in one order whatever the tasks' order
     index.calibrate(votes.column("x").to_numpy()[order], votes.column("y").to_numpy()[order].astype(np.int64))
     return index
