@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import arrow_map, coded_words, ddl, distinct, gather, keyed, partitions, settle, starts_of, unkeyed, word_hashes
+from pathloom.llm.common import arrow_map, coded_words, ddl, distinct, keyed, partitions, settle, starts_of, unkeyed, word_hashes
 
 SAMPLES, BANDS, ROWS = 128, 25, 5
 #: Bits of an odd sketch, in four 64-bit words.
@@ -39,8 +39,10 @@ FAR = 80
 FINE_SAMPLES, FINE_BITS, FINE_FAR = 2048, 4096, 815
 #: Members of a bucket from which it gets a second round of hubs, and hubs of that round.
 LARGE, PARTNERS = 1000, 8
-#: Members of a block (of smaller components, of all), and bytes that a task groups at once.
-MINOR_BLOCK, BLOCK, GROUP_BYTES = 256, 1024, 16_000_000
+#: Members of a block (of smaller components, of all), bytes that a task groups at once, bytes of full sets from which a block is cut.
+MINOR_BLOCK, BLOCK, GROUP_BYTES, BLOCK_BYTES = 256, 1024, 16_000_000, 64_000_000
+#: Hashes that are compared at once, and bits of a hash that tell where it is marked.
+AT_ONCE, MARKS = 500_000, 20
 #: Links that one task may unite; more are contracted over the cluster first.
 LOCAL_LINKS = 200_000
 _SIGN = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), ("bands", pa.list_(pa.int64())), *((f"s{i}", pa.int64()) for i in range(4))])
@@ -132,8 +134,8 @@ def sign(docs: DataFrame, size: int = 4) -> DataFrame:
 
 
 def fine_sketches(texts: DataFrame, size: int = 4) -> DataFrame:
-    """(rep, fine) of documents (doc_id, text) that have words."""
-    shape = pa.schema([("rep", pa.int64()), ("fine", pa.binary())])
+    """(rep, fine, bytes) of documents (doc_id, text) that have words; bytes: of the full set."""
+    shape = pa.schema([("rep", pa.int64()), ("fine", pa.binary()), ("bytes", pa.int64())])
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         sets = shingle_sets(batch.column("text"), size)
@@ -141,7 +143,7 @@ def fine_sketches(texts: DataFrame, size: int = 4) -> DataFrame:
         for a in range(0, len(full), 256):  # a document's samples take 16 KB
             own = full[a : a + 256]
             sketch = odd_sketches(minhashes([sets[i] for i in own], FINE_SAMPLES), FINE_BITS)
-            yield {"rep": batch.column("doc_id").take(pa.array(own)), "fine": [x.tobytes() for x in sketch]}
+            yield {"rep": batch.column("doc_id").take(pa.array(own)), "fine": [x.tobytes() for x in sketch], "bytes": [sets[i].nbytes for i in own]}
 
     return arrow_map(texts, shape, step).dropDuplicates(["rep"])
 
@@ -194,13 +196,13 @@ def _unite(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(v, component) for every end of a link: the smallest id that it reaches.
+    """(v, component) for every end of a link: the smallest id that it reaches. links, a written table, are read again and again.
 
     Beyond LOCAL_LINKS links, rounds contract them: every node points to its smallest
     neighbour, pointers are followed, and links are rewritten to what their ends
     point to. What is left is united in one task.
     """
-    edges = settle(links.select("a", "b").where("a != b").distinct(), "edges")
+    edges = links.select("a", "b").where("a != b")
     reached = None
     while edges.count() > LOCAL_LINKS:
         both = edges.union(edges.select("b", "a"))
@@ -276,19 +278,42 @@ def _hopeful(table: pa.Table) -> np.ndarray:
     return hit
 
 
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - MARKS)).view(np.int64)
+
+
+def _reach(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """Whether two sets reach threshold hundredths."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= threshold * (len(x) + len(y) - common)
+
+
+def _cut(left: DataFrame) -> DataFrame:
+    """Members of blocks (role, block, bytes): blocks of more than BLOCK_BYTES are cut, so that each member still meets the same ones, each in one part."""
+    of_role = lambda role: F.sum(F.when(F.col("role") == role, F.col("bytes")).otherwise(0))
+    parts = lambda role: F.ceil(2 * of_role(role) / BLOCK_BYTES).cast("int")
+    large = left.groupBy("block").agg(F.sum("bytes").alias("all_bytes"), parts(0).alias("ni"), parts(1).alias("nj")).where(F.col("all_bytes") > BLOCK_BYTES)
+    large = large.where("ni > 0 and nj > 0").select(F.col("block").alias("whole"), "ni", "nj")
+    i, j = (F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int") for salt, n in ((3, "ni"), (4, "nj")))
+    of = lambda n, place: F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda k: F.xxhash64("block", *place(k)))
+    places = F.when(F.col("whole").isNull(), F.array("block")).when(F.col("role") == 0, of("nj", lambda k: (i, k))).otherwise(of("ni", lambda k: (k, j)))
+    return left.join(F.broadcast(large), F.col("block") == F.col("whole"), "left").withColumn("block", F.explode(places)).drop("whole", "ni", "nj")
+
+
 def _forest(table: pa.Table, threshold: int) -> list[tuple[int, int]]:
-    """Links (larger, smaller id) that join components in the blocks of a table: of each block at most its members less one."""
+    """Links (larger, smaller id) that join components in the blocks of a table: of each block at most its members less one.
+
+    Sets are read where they lie. Marks of a member's hashes count what others share
+    with it, or a few more; who may reach the threshold by that is compared in full.
+    """
     rep = table.column("rep").to_numpy()
-    raw = table.column("shingles").to_pylist()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    at = np.zeros(len(rep), np.int64)  # place of a row in its block
+    mark = np.zeros(1 << MARKS, bool)
     out = []
     for few, all_, component, fine, part in _blocks(table):
-        sets = [np.frombuffer(raw[i], np.uint64) for i in part.tolist()]
-        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        code = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        begin = starts_of(sizes)
-        at = np.zeros(len(rep), np.int64)  # place of a row in the block
         at[part] = np.arange(len(part))
-        mark = np.zeros(len(code) and int(code.max()) + 1, bool)
         names, root = np.unique(component[part], return_inverse=True)
         del names
         for x in few.tolist():
@@ -296,31 +321,37 @@ def _forest(table: pa.Table, threshold: int) -> list[tuple[int, int]]:
             near_, _ = _allowed(x, others, fine)
             if not len(near_):
                 continue
-            own = code[begin[at[x]] : begin[at[x] + 1]]
-            mark[own] = True
-            size = sizes[at[near_]]
-            hits = mark[code[gather(begin[at[near_]], size)]]
-            both = np.add.reduceat(hits, starts_of(size)[:-1], dtype=np.int64)
-            mark[own] = False
-            for y in near_[100 * both >= threshold * (len(own) + size - both)].tolist():
-                mine, other = root[at[x]], root[at[y]]
-                if mine != other:
-                    out.append((max(rep[x], rep[y]), min(rep[x], rep[y])))
-                    root[root == other] = mine
+            mark[_slots(sets[x])] = True
+            for some in np.split(near_, np.flatnonzero(np.diff(np.cumsum(sizes[near_]) // AT_ONCE)) + 1):
+                size = sizes[some]
+                hits = mark[_slots(np.concatenate([sets[y] for y in some.tolist()]))]
+                both = np.add.reduceat(hits, starts_of(size)[:-1], dtype=np.int64)
+                for y in some[100 * both >= threshold * (sizes[x] + size - both)].tolist():
+                    mine, other = root[at[x]], root[at[y]]
+                    if mine != other and _reach(sets[x], sets[y], threshold):
+                        out.append((max(rep[x], rep[y]), min(rep[x], rep[y])))
+                        root[root == other] = mine
+            mark[_slots(sets[x])] = False
     return out
 
 
+def _fewer(df: DataFrame) -> DataFrame:
+    """In a quarter of the partitions: for a row of each bucket, written out, files need not be as many as tasks."""
+    return df.coalesce(max(1, partitions(df.sparkSession) // 4))
+
+
 def _block_links(rows: DataFrame, texts: DataFrame, threshold: int, size: int) -> DataFrame:
     """Links (a, b) between components that share a bucket: its smaller components against all, in blocks.
 
     Blocks of a bucket are dealt out over tasks, so no bucket meets in one. What
     leaves them is linear in their members: first the members that sketches give a
-    chance, then a spanning forest of the links that the full sets confirm.
+    chance, then, where their full sets are not too large for one task, else in
+    parts of the block, a spanning forest of the links that the full sets confirm.
     """
     spark = rows.sparkSession
     each = rows.groupBy("key", "component").count()
     keys = each.groupBy("key").agg(F.max_by("component", "count").alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
-    keys = settle(keys.select("key", "main", F.ceil((F.col("n") - F.col("most")) / MINOR_BLOCK).cast("int").alias("ni"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nj"), (F.col("n") * F.ceil((F.col("n") - F.col("most")) / MINOR_BLOCK) + (F.col("n") - F.col("most")) * F.ceil(F.col("n") / BLOCK)).alias("sent")), "buckets")
+    keys = settle(_fewer(keys).select("key", "main", F.ceil((F.col("n") - F.col("most")) / MINOR_BLOCK).cast("int").alias("ni"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nj"), (F.col("n") * F.ceil((F.col("n") - F.col("most")) / MINOR_BLOCK) + (F.col("n") - F.col("most")) * F.ceil(F.col("n") / BLOCK)).alias("sent")), "buckets")
     i, j = (F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int") for salt, n in ((1, "ni"), (2, "nj")))  # int as the sequence below: hashes tell types apart
     of = lambda role, own, other, n: F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda k: F.struct(F.lit(role).alias("role"), F.xxhash64("key", *((own, k) if role == 0 else (k, own))).alias("block")))
     places = F.when(F.col("component") != F.col("main"), F.concat(of(0, i, j, "nj"), of(1, j, i, "ni"))).otherwise(of(1, j, i, "ni"))
@@ -332,7 +363,7 @@ def _block_links(rows: DataFrame, texts: DataFrame, threshold: int, size: int) -
         groups = max(4 * partitions(spark), -(-bytes_ // GROUP_BYTES))
         return df.groupBy(F.pmod("block", F.lit(groups)).alias("g")).applyInArrow(run, ddl(shape))
 
-    member = pa.schema([("rep", pa.int64()), ("component", pa.int64()), ("role", pa.int32()), ("block", pa.int64())])
+    member = pa.schema([("rep", pa.int64()), ("component", pa.int64()), ("role", pa.int32()), ("block", pa.int64()), ("bytes", pa.int64())])
 
     def hopeful(table: pa.Table) -> pa.Table:
         return table.select(member.names).filter(pa.array(_hopeful(table))).cast(member)
@@ -344,9 +375,9 @@ def _block_links(rows: DataFrame, texts: DataFrame, threshold: int, size: int) -
     sent = keys.agg(F.sum("sent")).first()[0] or 0
     left = settle(grouped(dealt.join(fine, "rep"), sent * FINE_BITS // 8, hopeful, member), "hopeful")
     sets = settle(full_sets(open_texts.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), size), "sets")
-    with_sets = left.join(sets, "rep").join(fine, "rep")
-    total = with_sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
-    return grouped(with_sets, total, forest, _LINK).distinct()
+    left = _cut(left)
+    total = left.agg(F.sum(F.col("bytes") + FINE_BITS // 8)).first()[0] or 0
+    return grouped(left.drop("bytes").join(sets, "rep").join(fine.drop("bytes"), "rep"), total, forest, _LINK).distinct()
 
 
 def _more_hub_pairs(rows: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -387,7 +418,7 @@ def near_groups(docs: DataFrame, threshold: int = 80, size: int = 5) -> DataFram
         """Members of buckets that span several components; two members have met their hub."""
         at = members.select("rep", "key").join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("rep", "key", F.coalesce("component", "rep").alias("component"))
         each = at.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("parts"))
-        return settle(at.join(settle(each.where((F.col("parts") > 1) & (F.col("n") > 2)).select("key"), "open"), "key"), "apart")
+        return settle(at.join(settle(_fewer(each.where((F.col("parts") > 1) & (F.col("n") > 2)).select("key")), "open"), "key"), "apart")
 
     links = settle(confirm(_hub_pairs(rows, sketches), texts, threshold, size), "links").union(settle(tied, "tied"))
     comps = components(links)
