@@ -4,11 +4,14 @@ Documents and labelled examples are TF-IDF vectors over all terms of the example
 words, and the beginnings of longer ones. A term's weight is its IDF over the whole
 corpus times how well it tells the classes of the examples apart, which never is
 zero; a plain IDF finds half of the toxic texts (see the README). The examples lie in
-an inverted index whose postings are cut in blocks, each with its largest weight. A
-slice of documents bounds its cosines by these, visits blocks by falling bound, all
-documents at a time, and a document stops when no further block can reach its k-th
-neighbour: exactly the nearest by cosine. Their votes, weighted by distance and by
-class share, are calibrated on the examples themselves, each left out in turn.
+an inverted index whose postings are cut in blocks, each with its largest weight; the
+terms that many examples hold lie in a matrix, too, and one product with it, in single
+precision, stands for their postings. A slice of documents bounds its cosines by both,
+visits blocks by falling bound, all documents at a time, and a document stops when no
+further block can reach its k-th neighbour. What single precision leaves in doubt is
+summed again from the exact weights: exactly the nearest by cosine. Their votes,
+weighted by distance and by class share, are calibrated on the examples themselves,
+each left out in turn.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,8 @@ NEIGHBOURS, BLOCK = 15, 64
 BEGINNINGS = (6,)
 #: Weight of a term that tells nothing.
 LEAST = 0.01
+#: Terms that are held by at least this share of the examples, and how many of them at most, lie in a matrix besides the postings.
+SHARE, OFTEN = 0.025, 1024
 #: Documents whose cosines are found at a time, postings expanded at a time, and blocks that the terms of these documents meet (one document may meet more).
 DOCS, POSTINGS, MEETINGS = 512, 1_000_000, 1_000_000
 #: Learn from rows whose crc32(doc_id) mod FOLDS is not HELD.
@@ -98,38 +104,68 @@ class Index:
 
     def _nearest(self, bounds: np.ndarray, dim: np.ndarray, weight: np.ndarray, k: int, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         docs, blocks, n = len(bounds) - 1, self.blocks, len(self.y)
-        # Every document's terms meet the blocks that hold them.
-        sizes = self.by_dim[dim + 1] - self.by_dim[dim]
-        entry = gather(self.by_dim[dim], sizes)
-        asked = np.repeat(weight, sizes)
-        doc = np.repeat(np.repeat(np.arange(docs), np.diff(bounds)), sizes)
+        row, columns, single = self._often
+        doc = np.repeat(np.arange(docs), np.diff(bounds))
+        often = np.flatnonzero(row[dim] >= 0)
+        own_row, own_weight, own = row[dim[often]], weight[often], starts_of(np.bincount(doc[often], minlength=docs))
+        # Terms of many examples: all their products at once, in single precision; these bound the blocks, too.
+        asks = np.zeros((docs, single.shape[1]), np.float32)
+        asks[doc[often], own_row] = own_weight
+        near = (asks @ single.T).reshape(docs, blocks, BLOCK)
+        slack = 2 * (single.shape[1] + 4) * float(np.finfo(np.float32).eps) + 1e-9  # of two such sums of at most 1
+        # The other terms of every document meet the blocks that hold them.
+        few = np.flatnonzero(row[dim] < 0)
+        sizes = self.by_dim[dim[few] + 1] - self.by_dim[dim[few]]
+        entry = gather(self.by_dim[dim[few]], sizes)
+        asked = np.repeat(weight[few], sizes)
+        doc = np.repeat(doc[few], sizes)
         cell = doc * blocks + self.block[entry]
-        bound = np.bincount(cell, asked * self.most[entry], minlength=docs * blocks).reshape(docs, blocks)
+        bound = np.bincount(cell, asked * self.most[entry], minlength=docs * blocks).reshape(docs, blocks) + near.max(2)
         order = np.argsort(-bound, axis=1, kind="stable")
         falling = np.take_along_axis(bound, order, 1)
-        cosines = np.full((docs, blocks * BLOCK), -1.0)
-        open_, done, step = np.arange(docs), 0, 2
+        rest, cosines = np.zeros((docs, blocks * BLOCK)), np.full((docs, blocks * BLOCK), -1.0)
+        take, open_, done, step = min(k, blocks * BLOCK), np.arange(docs), 0, 2
         while done < blocks and len(open_):
             visit = np.zeros((docs, blocks), bool)
             visit[open_[:, None], order[open_, done : done + step]] = True
-            chosen = np.flatnonzero(visit.ravel()[cell])
-            self._add(cosines, doc, asked, entry, chosen)
-            rows, columns = np.nonzero(visit)
-            seen = cosines.reshape(docs, blocks, BLOCK)
-            seen[rows, columns] = np.where(seen[rows, columns] < 0, 0, np.round(seen[rows, columns], 12))
+            self._add(rest, doc, asked, entry, np.flatnonzero(visit.ravel()[cell]))
+            at = np.nonzero(visit)
+            cosines.reshape(near.shape)[at] = rest.reshape(near.shape)[at] + near[at]
             cosines[:, n:] = -1
             if without is not None:
                 cosines[np.arange(docs), without] = -1
             done, step = done + step, 2 * step
             if done < blocks:
-                worst = -np.partition(-cosines[open_], k - 1, axis=1)[:, k - 1] if k <= cosines.shape[1] else np.full(len(open_), -1.0)
-                open_ = open_[falling[open_, done] >= worst - 1e-9]
-        take = min(k, cosines.shape[1])
-        best = np.argsort(-cosines, axis=1, kind="stable")[:, :take]
+                worst = -np.partition(-cosines[open_], take - 1, axis=1)[:, take - 1] if take == k else np.full(len(open_), -1.0)
+                open_ = open_[falling[open_, done] >= worst - slack]
+        # Whatever single precision leaves in doubt is told by the exact sums.
+        worst = -np.partition(-cosines, take - 1, axis=1)[:, take - 1]
+        likely = (cosines >= worst[:, None] - slack) & (cosines >= 0)
+        idle = np.flatnonzero(worst <= slack)  # of the examples that share no term, the first k are enough
+        likely[idle] &= (cosines[idle] > 0) | (np.cumsum(cosines[idle] == 0, axis=1) <= k)
+        at, example = np.nonzero(likely)
+        exact = np.round(rest[at, example] + _products(at, example, own, own_row, own_weight, columns), 12)
+        best = np.lexsort((example, -exact, at))
+        heads = starts_of(np.bincount(at, minlength=docs))
+        rank = np.arange(len(best)) - heads[at]
+        best, rank = best[rank < k], rank[rank < k]
         who, sims = np.zeros((docs, k), np.int64), np.full((docs, k), -1.0)
-        who[:, :take], sims[:, :take] = best, np.take_along_axis(cosines, best, 1)
+        who[at[best], rank], sims[at[best], rank] = example[best], exact[best]
         return who, sims
 
+    @cached_property
+    def _often(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The OFTEN terms of the most examples, each held by a share of SHARE at least: (row of each dimension or -1, weights by example and row, the same in single precision)."""
+        held = np.diff(self.first[self.by_dim])
+        most = np.argsort(-held, kind="stable")[:OFTEN]
+        dims = np.sort(most[held[most] >= max(1, SHARE * len(self.y))])
+        row = np.full(len(held), -1)
+        row[dims] = np.arange(len(dims))
+        columns = np.zeros((self.blocks * BLOCK, len(dims)))
+        posting = gather(self.first[self.by_dim[dims]], held[dims])
+        columns[self.example[posting], np.repeat(np.arange(len(dims)), held[dims])] = self.value[posting]
+        return row, columns, columns.astype(np.float32)
+
     def _add(self, cosines: np.ndarray, doc: np.ndarray, asked: np.ndarray, entry: np.ndarray, chosen: np.ndarray) -> None:
         """The products of the chosen (document, term, block), POSTINGS at a time; a document's cosine adds up in order of terms."""
         width = cosines.shape[1]
@@ -185,6 +221,18 @@ class Index:
         return score, [self.ids[w[s > 0]] for w, s in zip(*found, strict=True)]
 
 
+def _products(doc: np.ndarray, example: np.ndarray, bounds: np.ndarray, row: np.ndarray, weight: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """For each pair of a document and an example the sum over the document's terms (row, weight), in their order, POSTINGS at a time."""
+    sizes = np.diff(bounds)[doc]
+    before = starts_of(sizes)
+    cuts = [*np.flatnonzero(np.diff(before[:-1] // POSTINGS, prepend=-1)).tolist(), len(doc)]
+    sums = np.zeros(len(doc))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        term = gather(bounds[doc[a:b]], sizes[a:b])
+        sums[a:b] = np.bincount(np.repeat(np.arange(b - a), sizes[a:b]), weight[term] * columns[np.repeat(example[a:b], sizes[a:b]), row[term]], minlength=b - a)
+    return sums
+
+
 def term_counts(texts: pa.Array, terms: list[pa.Array]) -> Counts:
     codes, sizes, vocab = coded_words(texts)
     doc = np.repeat(np.arange(len(sizes)), sizes)

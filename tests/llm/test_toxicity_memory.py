@@ -1,4 +1,4 @@
-"""Bounds of what a worker holds while it looks for neighbours."""
+"""Bounds of what a worker holds and does while it looks for neighbours."""
 
 import numpy as np
 import pyarrow as pa
@@ -27,3 +27,42 @@ def test_nearest_in_parts_of_bounded_size(monkeypatch, meetings):
     got = index.nearest(*index.vectors(counts))
     assert all(np.array_equal(x, y) for x, y in zip(got, want, strict=True))
     assert sum(n for n, _ in held) == 300 and all(n == 1 or met <= meetings for n, met in held)
+
+
+def _word(kind: str, k: int) -> str:
+    return kind + chr(97 + k // 26) + chr(97 + k % 26)
+
+
+def test_postings_of_frequent_terms_are_not_expanded(monkeypatch):
+    """Words that most examples hold cost one matrix product; neighbours are those of whole vectors, ties by place."""
+    rng = np.random.default_rng(6)
+    said = [" ".join([_word("b", x) for x in rng.integers(0, 60, 40)] + [_word("f", x) for x in rng.integers(0, 900, 2)]) for _ in range(500)]
+    texts, asked = pa.array(said + said[:100] + ["", _word("f", 1)]), pa.array([*said[50:150], "", "unheard of", _word("f", 2), _word("b", 3)])
+    terms = toxicity._terms(texts)
+    width, y = sum(map(len, terms)), (np.arange(602) % 3 == 0).astype(np.int64)
+    counts, asks = toxicity.term_counts(texts, terms), toxicity.term_counts(asked, terms)
+    index = toxicity.build(terms, counts, y, np.arange(602), np.bincount(counts[1], minlength=width), 602)
+    work, gather = [], toxicity.gather
+    monkeypatch.setattr(toxicity, "gather", lambda starts, lengths: work.append(int(lengths.sum())) or gather(starts, lengths))
+    index.nearest(*index.vectors(asks))  # makes the matrix
+    work.clear()
+    who, sims = index.nearest(*index.vectors(asks))
+    assert sum(work) < np.bincount(counts[1], minlength=width)[asks[1]].sum() / 4
+
+    def plain(counts):
+        full, (bounds, dim, weight) = np.zeros((counts[3], width)), index.vectors(counts)
+        full[np.repeat(np.arange(counts[3]), np.diff(bounds)), dim] = weight
+        return full
+
+    cosine = np.round((plain(asks) @ plain(counts).T)[:, index.ids], 9)
+    assert np.array_equal(np.round(sims, 9), -np.sort(-cosine, axis=1)[:, :15])
+    assert np.array_equal(who, np.argsort(-cosine, axis=1, kind="stable")[:, :15])
+
+
+@pytest.mark.parametrize("examples", [1, 5, 70])
+def test_fewer_examples_than_neighbours(examples):
+    texts = pa.array([f"same {_word('b', i)} {_word('f', i // 2)}" for i in range(examples)])
+    terms = toxicity._terms(texts)
+    index = toxicity.build(terms, toxicity.term_counts(texts, terms), np.arange(examples) % 2, np.arange(examples), np.ones(sum(map(len, terms)), np.int64), examples)
+    score, evidence = index.score(pa.array(["same " + _word("b", 1), "unheard of", ""]))
+    assert np.isfinite(score).all() and [len(x) for x in evidence] == [min(15, examples), 0, 0]
