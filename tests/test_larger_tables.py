@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from pathloom import storage
 from pathloom.operators import anomaly, scoring
 from pathloom.operators.graph import Graph
 from pathloom.operators.tensors import among, around
@@ -130,3 +131,35 @@ def test_betweenness_by_components(spark, monkeypatch, component, own_runs):
     got = {r.id: r.betweenness for r in scoring.betweenness(g, 40).collect()}
     assert got == pytest.approx(want) and max(want.values()) == 100
     assert len(levels) == (component < 10**6)
+
+
+@pytest.mark.parametrize("task", [10**6, 20, 0])
+def test_betweenness_keeps_disk_bounded(spark, monkeypatch, task):
+    """Components in shared tasks and large ones in processes of one task, none level by level; written relations take few bytes and are gone at the end."""
+    rng = random.Random(6)
+    names = [f"v{i:03d}" for i in range(400)]
+    pairs = [(rng.choice(names[:150]), rng.choice(names[:150])) for _ in range(4000)] + [(f"v{150 + rng.randrange(100)}", f"v{150 + rng.randrange(100)}") for _ in range(120)]
+    pairs += [(f"v{i}", f"v{i + 1}") for i in range(260, 300)] + [(f"v{i}", f"v{i + 1}") for i in range(310, 390, 2)]
+    g = Graph(spark.createDataFrame([(x,) for x in names], "id string"), spark.createDataFrame(pairs, "source_id string, dest_id string").repartition(2))
+    want = {r.id: r.betweenness for r in scoring.betweenness(g, 90).collect()}
+
+    def level(*a):
+        raise AssertionError("level by level")
+
+    size = {}
+
+    def delete(spark, path, run=storage.delete):
+        size[path] = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).selectExpr("coalesce(sum(length), 0)").first()[0]
+        run(spark, path)
+
+    monkeypatch.setattr(scoring, "ADJACENCY_LIMIT", 8 * len(names))
+    monkeypatch.setattr(scoring, "COMPONENT_LIMIT", 10**6)
+    monkeypatch.setattr(scoring, "TASK", task, raising=False)
+    monkeypatch.setattr(scoring, "BIN", 150, raising=False)
+    monkeypatch.setattr(scoring, "_dependencies_by_level", level)
+    monkeypatch.setattr(scoring, "delete", delete, raising=False)
+    with storage.recorded() as written:
+        got = {r.id: r.betweenness for r in scoring.betweenness(g, 90).collect()}
+    assert got == pytest.approx(want) and max(want.values()) == 100
+    assert set(written) == set(size)
+    assert sum(v for k, v in size.items() if "edges" in k) < 5 * len(pairs)
