@@ -135,7 +135,7 @@ def test_betweenness_by_components(spark, monkeypatch, component, own_runs):
 
 @pytest.mark.parametrize("task", [10**6, 20, 0])
 def test_betweenness_keeps_disk_bounded(spark, monkeypatch, task):
-    """Components in shared tasks and large ones in processes of one task, none level by level; written relations take few bytes and are gone at the end."""
+    """Components in shared tasks and large ones in a task of each executor, none level by level; written relations take few bytes and are gone at the end."""
     rng = random.Random(6)
     names = [f"v{i:03d}" for i in range(400)]
     pairs = [(rng.choice(names[:150]), rng.choice(names[:150])) for _ in range(4000)] + [(f"v{150 + rng.randrange(100)}", f"v{150 + rng.randrange(100)}") for _ in range(120)]
